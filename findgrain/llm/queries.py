@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from findgrain.functions.events import event_code, event_name
 from findgrain.functions.paths import plain_path
-from findgrain.llm import quantiles, runs, terms
-from findgrain.session import read_table
+from findgrain.llm import leakage, mixing, quantiles, runs, sentences, terms
+from findgrain.session import read_table, through_table
 
 CHECKPOINT = 255
 PCTS = [50, 90, 99]
@@ -77,5 +77,59 @@ def p7_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(F.col("record").alias("doc_id"), "term", "n", F.col("records").alias("files"), F.round("llr", 4).alias("llr"), F.round("weight", 4).alias("weight"))
 
 
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the items in them, with matching windows; without verbatim ones the item is re-parameterised."""
+    return leakage.find_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    leaks = leakage.find_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"), reparameterised=False)
+    return leaks.select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    sized = mixing.sized_documents(read_table(spark, sf, "documents"))
+    sources, total = mixing.read_sources(sized, read_table(spark, sf, "mix_targets"))
+    plan = mixing.plan_mix(sources, total)
+    return spark.createDataFrame([(p.source.name,) for p in plan if not p.reachable], "source string")
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, list[mixing.Planned]]:
+    sized = through_table(mixing.sized_documents(read_table(spark, sf, "documents")), "sized-documents")
+    plan = mixing.plan_mix(*mixing.read_sources(sized, read_table(spark, sf, "mix_targets")))
+    return mixing.realise(sized, plan), plan
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    mix, _ = _mix(spark, sf)
+    return mix.select(F.col("doc").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Planned and really reached shares of the mix."""
+    return mixing.actual_shares(*_mix(spark, sf))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(read_table(spark, sf, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_terms, p5_found, p5_percentiles, p7_found, p7_scores)}
+    every = (
+        p1_found,
+        p1_collapsed,
+        p2_found,
+        p2_terms,
+        p5_found,
+        p5_percentiles,
+        p7_found,
+        p7_scores,
+        p8_found,
+        p8_leaks,
+        p9_found,
+        p9_mix,
+        p9_shares,
+        p10_found,
+    )
+    return {f.__name__: f for f in every}

@@ -55,6 +55,24 @@ def _g(o: str, row: str, col: str) -> str:
 _LLR = f"2 * ({_g('ka', 'ka + kb', 'ka + kc')} + {_g('kb', 'ka + kb', 'kb + kd')} + {_g('kc', 'kc + kd', 'ka + kc')} + {_g('kd', 'kc + kd', 'kb + kd')})"
 P7_SCORES = _TFIDF + f"SELECT doc_id, term, n, files, round(CASE WHEN ka * (kb + kd) >= kb * (ka + kc) THEN 1 ELSE -1 END * {_LLR}, 4) AS llr, round(weight, 4) AS weight FROM s"
 
+_SINGLE = r"[\p{Han}\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}\x{30fc}-\x{30ff}]"
+
+
+def _words(text: str) -> str:
+    """Runs of letters and digits of a text, each Han or kana letter by itself."""
+    folded = f"nfc_normalize(lower({text}))"
+    return f"regexp_extract_all(regexp_replace({folded}, '({_SINGLE})', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')".replace("\\\\", "\\")
+
+
+P8 = f"""
+WITH i AS (SELECT item_id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+il AS (SELECT item_id, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM il)),
+d AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT doc_id, w, ks.k, unnest(range(1, len(w) - ks.k + 2)) AS s FROM d, (SELECT DISTINCT k FROM il) ks))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (k, g)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -65,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": P5,
         "p7_found": P7,
         "p7_scores": P7_SCORES,
+        "p8_found": P8,
     }
