@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findgrain.plans import data_queries, data_sql
+from findgrain.plans import data_queries, data_sql, health_queries, search_queries
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return data_queries.p6_found(spark, sf)
+    return search_queries.search_batch_topk(spark, sf)
 
 
 def queries() -> dict:
-    return data_queries.queries()
+    return search_queries.queries() | health_queries.queries() | data_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
