@@ -9,7 +9,7 @@ import shutil
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findgrain.operators.index import Index
@@ -181,7 +181,7 @@ def click_counts(clicks: DataFrame) -> DataFrame:
     return once.select(F.explode(ancestors(F.col("path"))).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("clicks"))
 
 
-def recent_folders(clicks: DataFrame, n: int = 3) -> Column | DataFrame:
-    """Folders of the last ``n`` distinct clicked paths."""
+def recent_folders(clicks: DataFrame, n: int = 3) -> DataFrame:
+    """Folders of the last ``n`` distinct clicked paths; of clicks at one time the later number, then the greater path counts."""
     last = clicks.groupBy("path").agg(F.max(F.struct("ts", "click_id")).alias("at"))
-    return last.orderBy(F.desc("at")).limit(n).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    return last.orderBy(F.desc("at"), F.desc("path")).limit(n).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()

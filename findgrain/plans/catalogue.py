@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findgrain.plans import data_queries, data_sql, health_queries, search_queries
+from findgrain.plans import data_queries, data_sql, health_queries, health_sql, search_queries, search_sql
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return data_sql.oracle_sql()
+    return search_sql.oracle_sql() | health_sql.oracle_sql() | data_sql.oracle_sql()

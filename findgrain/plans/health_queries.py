@@ -145,12 +145,12 @@ def _rankings(spark, sf):
 
 def rbo_eval(spark, sf):
     scores = health.rank_biased_overlap(*_rankings(spark, sf))
-    return scores.select("list_id", F.round("rbo", 6).alias("rbo"))
+    return scores.select("list_id", F.round("rbo", 12).alias("rbo"))
 
 
 def rbo_gate(spark, sf):
     row = health.shadow_gate(health.rank_biased_overlap(*_rankings(spark, sf)))
-    return row.select(F.round("p10", 6).alias("p10"), "passes")
+    return row.select(F.round("p10", 12).alias("p10"), "passes")
 
 
 def duplicate_ids(spark, sf):

@@ -49,23 +49,48 @@ def dedup_stream(changes: DataFrame, late: str = "10 seconds") -> DataFrame:
     return timed.groupBy("path").applyInPandasWithState(one, "seq long, ts timestamp, event_type string, path string, size long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def dedup_batch(changes: DataFrame, time_us: str = "us") -> DataFrame:
-    """The same over a finished table: ``(path, us, seq)`` kept.
+def bursts(changes: DataFrame, time_us: str, gap_us: int, block_us: int = 3_600_000_000) -> DataFrame:
+    """``(path, us, seq, burst)``: events of a path cut where ``gap_us`` or more passes without one; burst is the time of its first event.
 
-    Quiet gaps of 100 ms or more cut a path's events into bursts; the first of a burst is always kept, so bursts stand alone
-    and a path with any number of events is spread over its bursts.
+    Neighbours are looked for inside hours; ends of hours then meet per path. A path with any number of events costs one row an hour there.
     """
-    by_path = Window.partitionBy("path").orderBy(time_us, "seq")
     rows = changes.select("path", F.col(time_us).alias("us"), "seq").where("path is not null and us is not null")
-    rows = rows.withColumn("starts", F.coalesce(F.col("us") - F.lag("us").over(by_path) >= DEDUP_US, F.lit(True)))
-    rows = rows.withColumn("burst", F.sum(F.col("starts").cast("int")).over(by_path))
+    rows = rows.withColumn("block", F.expr(f"us div {block_us}"))
+    across = Window.partitionBy("path").orderBy("block")
+    ends = rows.groupBy("path", "block").agg(F.max("us").alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(across)).drop("last")
+    inside = Window.partitionBy("path", "block").orderBy("us", "seq")
+    rows = rows.join(ends, ["path", "block"])
+    rows = rows.withColumn("starts", F.coalesce(F.col("us") - F.coalesce(F.lag("us").over(inside), F.col("before")) >= gap_us, F.lit(True)))
+    begun = F.when(F.col("starts"), F.col("us"))
+    carried = rows.groupBy("path", "block").agg(F.max(begun).alias("b"))
+    carried = carried.withColumn("carry", F.max("b").over(across.rowsBetween(Window.unboundedPreceding, -1))).drop("b")
+    rows = rows.withColumn("own", F.max(begun).over(inside)).join(carried, ["path", "block"])
+    return rows.select("path", "us", "seq", F.coalesce("own", "carry").alias("burst"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        keep, _ = kept_times(pdf["us"].tolist(), None)
-        return pdf.loc[keep, ["path", "us", "seq"]]
 
-    return rows.groupBy("path", "burst").applyInPandas(one, "path string, us long, seq long")
+def dedup_batch(changes: DataFrame, time_us: str = "us") -> DataFrame:
+    """The same over a finished table: ``(path, us, seq)`` kept.
+
+    The first event of a burst without a gap of 100 ms is always kept, so bursts stand alone; each is walked through once,
+    in partitions of many.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, None
+        for pdf in batches:
+            keep = []
+            for key, t in zip(zip(pdf["path"], pdf["burst"]), pdf["us"]):
+                if key != at:
+                    at, last = key, None
+                ok = last is None or t - last >= DEDUP_US
+                keep.append(ok)
+                if ok:
+                    last = t
+            yield pdf.loc[keep, ["path", "us", "seq"]]
+
+    cut = bursts(changes, time_us, DEDUP_US).repartition("path", "burst").sortWithinPartitions("path", "burst", "us", "seq")
+    return cut.mapInPandas(walk, "path string, us long, seq long")
 
 
 def debounce(changes: DataFrame, gap_ms: int = GAP_MS, watermark: str = "10 seconds") -> DataFrame:
