@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findgrain.functions.text import nfc
 
-NEEDS_RESOLVING = r"//|/\.{1,2}(/|$)|.+/$|^\.{1,2}(/|$)"
+NEEDS_RESOLVING = r"//|/\.{1,2}(/|$)|[^/]/$|^\.{1,2}(/|$)"
 
 
 def resolve_dots(p: Column) -> Column:
@@ -38,6 +38,11 @@ def plain_path(p: Column) -> Column:
     return nfc(resolve_dots(p))
 
 
+def with_plain_path(df: DataFrame, source: str, name: str) -> DataFrame:
+    """Adds the plain form in two steps, so that neither is computed again where the other uses it twice."""
+    return df.withColumn(name, resolve_dots(F.col(source))).withColumn(name, nfc(F.col(name)))
+
+
 def file_name(p: Column) -> Column:
     return F.substring_index(p, "/", -1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findgrain.functions.paths import plain_path
+from findgrain.functions.paths import with_plain_path
 
 
 def snapshot_order(snapshots: DataFrame, snapshot: str, taken: str) -> DataFrame:
@@ -44,9 +44,8 @@ def snapshot_changes(
         *[F.col(c).alias(f"c_{c}") for c in carry],
     )
     order = snapshot_order(snapshots, snapshot, taken)
-    rows = snapshots.where(F.col(snapshot).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(snapshot).alias("snap"), plain_path(F.col(key)).alias("k"), attrs.alias("a")
-    )
+    rows = snapshots.where(F.col(snapshot).isNotNull() & F.col(key).isNotNull()).select(F.col(snapshot).alias("snap"), F.col(key).alias("k"), attrs.alias("a"))
+    rows = with_plain_path(rows, "k", "k")
     # partial aggregation first: a key walked very often is reduced before it is sent
     last = rows.groupBy("snap", "k").agg(F.max("a").alias("a"))
     last = last.join(order.select(F.col(snapshot).alias("snap"), "idx"), "snap").drop("snap")
