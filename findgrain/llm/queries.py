@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findgrain.functions.events import event_code, event_name
-from findgrain.functions.paths import plain_path
+from findgrain.functions.paths import with_plain_path
 from findgrain.llm import leakage, mixing, quantiles, runs, sentences, terms
 from findgrain.session import read_table, through_table
 
@@ -16,8 +16,8 @@ PCTS = [50, 90, 99]
 
 def _runs(spark: SparkSession, sf: str, least: int) -> DataFrame:
     log = read_table(spark, sf, "wal_entries").where("path is not null and event_type is not null")
-    code = event_code(F.col("event_type"))
-    return runs.collapse_runs(log, plain_path(F.col("path")), F.when(code != CHECKPOINT, code), least=least)
+    log = with_plain_path(log.withColumn("code", event_code(F.col("event_type"))), "path", "file")
+    return runs.collapse_runs(log.where(F.col("code") != CHECKPOINT), F.col("file"), F.col("code"), least=least)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
