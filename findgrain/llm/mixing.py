@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrain.functions.text import strip_blank
+from findgrain.session import through_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The word pattern published with this vocabulary.
@@ -136,7 +137,8 @@ def read_sources(sized: DataFrame, targets: DataFrame) -> tuple[list[Source], in
     """
     wanted = targets.select(source_key(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target"), F.coalesce("max_repeats", F.lit(0)).alias("repeats"))
     wanted = wanted.where("source is not null").groupBy("source").agg(F.max(F.struct("target", "repeats")).alias("w"))
-    per = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    # tokenised once: the sums are read twice
+    per = through_table(sized.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source-tokens")
     # the total rides along as the row of no source
     all_rows = per.groupBy().agg(F.sum("tokens").alias("tokens")).select(F.lit(None).cast("string").alias("source"), "tokens")
     known = wanted.select("source").join(per, "source", "left")
