@@ -15,7 +15,7 @@ WINDOW = 13
 #: A window is generalised only where this many of its words stay literal; below that its slots keep their words.
 LITERALS = 7
 #: Item windows held in memory at once; larger item sets are taken block by block.
-BLOCK_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 200_000
 
 NUMBER, UNIT, NAME = 1, 2, 3
 FIRST_LITERAL = 16
