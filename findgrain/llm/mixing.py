@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The word pattern published with this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 1 << 24
+#: Longer texts are tokenised in pieces of at most so many characters.
+PIECE_CHARS = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -29,13 +32,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts(text: str) -> Iterator[str]:
+    """A text in pieces short enough for the word pattern, cut before a blank where there is one; all of it, in order."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        cut = max(text.rfind(" ", at + 1, at + PIECE_CHARS), text.rfind("\n", at + 1, at + PIECE_CHARS))
+        cut = cut if cut > at else at + PIECE_CHARS
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
     """Tokens of the whole text; null and empty texts have none. Special-token strings are ordinary text."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         encode = _encoding(tokenizer).encode_ordinary
-        return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
+        return texts.map(lambda t: sum(len(encode(part)) for part in parts(t)) if t else 0).astype("int64")
 
     return count(text)
 

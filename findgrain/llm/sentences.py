@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +28,9 @@ ORDINAL_AFTER = frozenset("am im vom zum beim ab seit bis".split())
 CLOSERS = "\"”’»)]」』》）】〉›"
 OPENING = {"”": "“", "»": "«", "」": "「", "』": "『", "》": "《", "“": "„"}
 CLOSE_SET = frozenset(CLOSERS)
-ANY_OPEN = re.compile("[“«「『《„]")
+QUOTE_MARKS = "\"“”«»「」『』《》„"
+OPENERS = frozenset(OPENING.values())
+QUOTE_MARK = re.compile(f"[{QUOTE_MARKS}]")
 QUOTE_STARTS = "“「『«„\""
 HAN_KANA = "々-〇ぁ-ヿ㐀-鿿豈-﫿"
 DEVANAGARI = "ऀ-ॣ०-ॿ"
@@ -52,6 +54,9 @@ LEFT_WORD = re.compile(rf"(?:(?<!\w){_LETTER}{{1,2}}\.[^\S\r\n]?(?:\r\n|\n|\r)?)
 LEFT_NUMBER = re.compile(rf"({_LETTER}+)?\.?\s*\d[\d.,:/-]*$")
 CHAIN = re.compile(r"\.\s+")
 NO_CASE = re.compile(f"[{HAN_KANA}{DEVANAGARI}{THAI}؀-ۿ]")
+BARE_WORD = re.compile(r"(?<!\w)(\w+)(?![\w.])")
+SHORTENED = re.compile(r"(?<!\w)(\w+)\.(?=,|\s+[^\W\d_A-ZÀ-ÞА-ЯЁ]|\s+\d)")
+INNER_NAME = re.compile(r"(?<=[^\W\d_A-Z])\s+(\w+)")
 HELD = re.compile(f"[{HAN_KANA}{DEVANAGARI}]")
 #: Words that go on after dots.
 CJK_GOES_ON = re.compile("但|而|却|不过|然而|可是|しかし|だが|でも|ただ|けれど|が|と")
@@ -70,16 +75,6 @@ class Lexicon:
     not_ordinals: frozenset = frozenset()
 
 
-@dataclass
-class Evidence:
-    """Occurrences of one word before a point, by what follows."""
-
-    n: int = 0
-    lower: int = 0
-    digit: int = 0
-    end: int = 0
-
-
 def next_kind(s: str, j: int, b: int) -> str:
     """What starts at ``j``: E end of paragraph, l small letter, f file or other odd start, U capital, d digit, n letter without case, p mark that goes on, o other."""
     if j >= b:
@@ -117,41 +112,56 @@ def _skip(s: str, j: int, b: int) -> int:
     return j
 
 
-def _is_inside(s: str, start: int, end: int, b: int) -> bool:
-    if ANY_OPEN.search(s, start, end) is None:
-        return False
-    for close, opened in OPENING.items():
-        n = s.count(opened, start, end)
-        if n and n > s.count(close, start, end) and s.find(close, end, b) >= 0:
-            return True
-    return False
+class Quotes:
+    """Open quotation marks of the current sentence. Marks are read once, in order, however long the paragraph is."""
+
+    def __init__(self, s: str, a: int, b: int):
+        self.marks = [(m.start(), m.group()) for m in QUOTE_MARK.finditer(s, a, b)]
+        self.at, self.opened = 0, False
+        self.seen = dict.fromkeys(QUOTE_MARKS, 0)
+        self.last = {mark: pos for pos, mark in self.marks}
+
+    def advance(self, to: int) -> dict[str, int]:
+        while self.at < len(self.marks) and self.marks[self.at][0] < to:
+            mark = self.marks[self.at][1]
+            self.seen[mark] += 1
+            self.opened = self.opened or mark in OPENERS
+            self.at += 1
+        return self.seen
+
+    def restart(self, start: int) -> None:
+        self.advance(start)
+        self.seen = dict.fromkeys(QUOTE_MARKS, 0)
+        self.opened = False
+
+    def inside(self, end: int) -> bool:
+        """Whether a quotation is open at ``end`` that closes later in the paragraph."""
+        seen = self.advance(end)
+        return self.opened and any(seen[opened] > seen[close] and self.last.get(close, -1) >= end for close, opened in OPENING.items())
 
 
-@dataclass
 class Document:
-    """Local evidence, gathered only when a word is in doubt."""
+    """What a document shows of its own words, gathered in one pass when a word is first in doubt."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words: set[str] | None = None
 
-    text: str
-    known: dict = field(default_factory=dict)
+    def _gather(self) -> None:
+        if self.words is None:
+            self.words = set(BARE_WORD.findall(self.text))
+            self.shortened = set(SHORTENED.findall(self.text))
+            self.names = set(INNER_NAME.findall(self.text))
 
     def abbreviation(self, word: str) -> bool:
         """Whether this document has the word with a point before a small letter, a digit or a comma, and never without a point."""
-        if word not in self.known:
-            w = re.escape(word)
-            shows = re.search(rf"(?<!\w){w}\.(?:,|\s+[^\W\d_A-ZÀ-ÞА-ЯЁ]|\s+\d)", self.text)
-            bare = re.search(rf"(?<!\w){w}(?![\w.])", self.text)
-            self.known[word] = bool(shows) and not bare
-        return self.known[word]
+        self._gather()
+        return word in self.shortened and word not in self.words
 
     def proper_name(self, word: str) -> bool:
         """Whether this document has the capitalised word inside a clause and never with a small first letter."""
-        key = ("name", word)
-        if key not in self.known:
-            w = re.escape(word)
-            inside = re.search(rf"[^\W\d_A-Z]\s+{w}\b", self.text)
-            small = re.search(rf"\b{re.escape(word[0].lower() + word[1:])}\b", self.text)
-            self.known[key] = bool(inside) and not small
-        return self.known[key]
+        self._gather()
+        return word in self.names and word[0].lower() + word[1:] not in self.words
 
 
 def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexicon, doc: Document, spaced: bool) -> bool:
@@ -190,7 +200,7 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
     """Sentences of one paragraph."""
     start = _skip(s, a, b)
     guillemets = s.find("»", a, b) >= 0
-    quoted = ANY_OPEN.search(s, a, b) is not None
+    quotes = Quotes(s, a, b) if QUOTE_MARK.search(s, a, b) else None
     candidates = CANDIDATE_THAI if HAS_THAI.search(s, a, b) else CANDIDATE
     for m in candidates.finditer(s, a, b):
         pos = m.start()
@@ -200,6 +210,8 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
         if mark.isspace():
             yield start, pos
             start = m.end()
+            if quotes:
+                quotes.restart(start)
             continue
         end = m.end()
         after = s[end : end + 1]
@@ -208,7 +220,7 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
         # a straight quote closes only where one is open; so does the mark that closes in German and opens elsewhere
         k = end
         while k < closers:
-            if s[k] == '"' and s.count('"', start, k) % 2 == 0:
+            if s[k] == '"' and quotes and quotes.advance(k)['"'] % 2 == 0:
                 break
             if not s[k].isspace():
                 quote += s[k]
@@ -216,9 +228,11 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
         closers = k
         while closers > end and s[closers - 1].isspace():
             closers -= 1
-        if closers < b and s[closers] == "“" and s.count("„", start, closers) > s.count("“", start, closers):
-            quote += "“"
-            closers += 1
+        if closers < b and s[closers] == "“" and quotes:
+            seen = quotes.advance(closers)
+            if seen["„"] > seen["“"]:
+                quote += "“"
+                closers += 1
         end = closers
         if end < b and s[end] in ".!?…" and not quote:
             continue
@@ -228,7 +242,7 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
             break
         kind = next_kind(s, j, b)
         # inside a quotation that is still open and closes later
-        if quoted and _is_inside(s, start, end, b):
+        if quotes and quotes.inside(end):
             continue
         full = mark[0] in _FULL
         if quote and any(q in "\"”»」』“’" for q in quote):
@@ -262,6 +276,8 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
             continue
         yield start, end
         start = j
+        if quotes:
+            quotes.restart(start)
     end = b
     while end > start and s[end - 1].isspace():
         end -= 1
