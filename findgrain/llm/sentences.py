@@ -18,10 +18,10 @@ NEVER_FINAL = frozenset(
     "Nr Abb Abs Kap Bd Hr Hrn Fr Fa vgl Vgl bzw ggf evtl inkl exkl zzgl sog S ff z.B d.h u.a i.d.R "
     "M MM Mme Mlle env éd chap janv févr avr juil sept oct nov déc "
     "Sr Sra Srta Dra Ud Uds pág págs núm tel ext p.ej EE EE.UU "
-    "см См рис Рис стр ул тыс млн млрд др г гг т.е т.к т.п напр проф акад им "
+    "см См рис Рис стр ул тыс млн млрд др г гг т.е т.к напр проф акад им "
     "डॉ श्री पृ सं د ص น พ".split()
 )
-MAY_END = frozenset("etc Inc Ltd Co Corp Jr Sr.Jr a.m p.m usw U.S U.K".split())
+MAY_END = frozenset("etc Inc Ltd Co Corp Jr Sr.Jr a.m p.m usw h U.S U.K т.д т.п".split())
 #: Words before a number with a point that make it an ordinal.
 ORDINAL_AFTER = frozenset("am im vom zum beim ab seit bis".split())
 
@@ -55,7 +55,7 @@ LEFT_NUMBER = re.compile(rf"({_LETTER}+)?\.?\s*\d[\d.,:/-]*$")
 CHAIN = re.compile(r"\.\s+")
 NO_CASE = re.compile(f"[{HAN_KANA}{DEVANAGARI}{THAI}؀-ۿ]")
 BARE_WORD = re.compile(r"(?<!\w)(\w+)(?![\w.])")
-SHORTENED = re.compile(r"(?<!\w)(\w+)\.(?=,|\s+[^\W\d_A-ZÀ-ÞА-ЯЁ]|\s+\d)")
+SHORTENED = re.compile(r"(?<!\w)(\w+)\.(?:(?=,|\s+[^\W\d_A-ZÀ-ÞА-ЯЁ])|(?=\s+(\d)))")
 INNER_NAME = re.compile(r"(?<=[^\W\d_A-Z])\s+(\w+)")
 HELD = re.compile(f"[{HAN_KANA}{DEVANAGARI}]")
 #: Words that go on after dots.
@@ -150,13 +150,19 @@ class Document:
     def _gather(self) -> None:
         if self.words is None:
             self.words = set(BARE_WORD.findall(self.text))
-            self.shortened = set(SHORTENED.findall(self.text))
+            self.shortened = Counter((w, "d" if d else "l") for w, d in SHORTENED.findall(self.text))
             self.names = set(INNER_NAME.findall(self.text))
 
-    def abbreviation(self, word: str) -> bool:
-        """Whether this document has the word with a point before a small letter, a digit or a comma, and never without a point."""
+    def abbreviation(self, word: str, kind: str) -> bool:
+        """Whether this document shows the word elsewhere with a point before a small letter, a comma or a digit, and never without a point.
+
+        ``kind`` is what follows here, which is no evidence for itself; a digit is none against a sentence that starts with one.
+        """
         self._gather()
-        return word in self.shortened and word not in self.words
+        if word in self.words:
+            return False
+        inside, number = self.shortened[word, "l"], self.shortened[word, "d"]
+        return inside > 0 if kind == "d" else inside + number > (kind in "lp")
 
     def proper_name(self, word: str) -> bool:
         """Whether this document has the capitalised word inside a clause and never with a small first letter."""
@@ -188,9 +194,9 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
         return last in lex.ordinary
     if not spaced and len(last) <= 2 and last[0].isupper():
         return False
-    if kind in "ldp" and len(last) <= 5 and doc.abbreviation(last):
+    if kind in "ldp" and len(last) <= 5 and doc.abbreviation(last, kind):
         return False
-    if kind == "U" and len(last) <= 4 and doc.abbreviation(last):
+    if kind == "U" and len(last) <= 4 and doc.abbreviation(last, kind):
         m = re.compile(r"\w+").match(s, j, b)
         return not (m and doc.proper_name(m.group()))
     return kind != "p"
