@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 
 from findgrain.functions import analyze, paths
 from findgrain.functions.scoring import FIELD_CONTENT, FIELD_NAME, FIELD_PATH
+from findgrain.session import through_table
 
 
 @dataclass
 class Index:
-    """``files`` (doc_id, path, size, mtime_ns, tag, doc_len), ``postings`` (term, doc_id, field, tf), with whether terms are stems."""
+    """``files`` (doc_id, path, size, mtime_ns, tag, doc_len), ``postings`` (term, doc_id, field, tf), with whether terms are stems.
+
+    ``terms`` is the vocabulary where it is kept as a table; otherwise it is counted from the postings.
+    """
 
     files: DataFrame
     postings: DataFrame
     stems: bool = False
+    terms: DataFrame | None = None
 
     @property
     def vocabulary(self) -> DataFrame:
         """``(term, is_name, df)``; df counts postings, so a file with a term in both name and content counts twice."""
-        return vocabulary(self.postings)
+        return vocabulary(self.postings) if self.terms is None else self.terms
 
     @property
     def stats(self) -> DataFrame:
@@ -82,7 +87,9 @@ def build_index(files: DataFrame, *, stems: bool = False) -> Index:
     Rows without id or path are left out; of rows with one id the first path counts. Null content has no terms.
     """
     ok = files.where("doc_id is not null and path is not null")
-    postings = postings_of(ok, stems)
+    # as a table: lengths, vocabulary and searches read it, texts are analysed once
+    postings = through_table(postings_of(ok, stems), "postings")
     meta = ok.select("doc_id", "path", "root", "size", "mtime_ns", "tag")
     lengths = doc_lengths(postings)
-    return Index(meta.join(lengths, "doc_id", "left").fillna(0, ["doc_len"]), postings, stems)
+    rows = through_table(meta.join(lengths, "doc_id", "left").fillna(0, ["doc_len"]), "files")
+    return Index(rows, postings, stems, through_table(vocabulary(postings), "vocabulary"))

@@ -46,7 +46,8 @@ def expand(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     A name is added once per query, by the first word that brings it; a typed term is always there.
     """
     names = vocabulary.where("is_name")
-    near = fuzzy_matches(terms, names)
+    # read three times
+    near = through_table(fuzzy_matches(terms, names), "near-names")
     few = terms.select("term").distinct().join(near.groupBy("term").agg(F.count("*").alias("n")), "term", "left").where("coalesce(n, 0) < 3")
     by_sound = phonetic_matches(few, names).join(near, ["term", "name"], "left_anti").withColumn("distance", F.lit(None).cast("int"))
     found = near.unionByName(by_sound)
@@ -65,11 +66,11 @@ def expand(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def index_hits(index: Index, expanded: DataFrame) -> DataFrame:
     """``(query_id, doc_id, raw, exact)``: BM25 of expanded terms, any of which may match, summed per file."""
     df = index.postings.join(expanded.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    wanted = expanded.join(df, "term").join(F.broadcast(index.stats)).select(
-        "query_id", "term", "weight", "exact", "avg_len", scoring.idf(F.col("n_docs"), F.col("df")).alias("idf")
-    )
+    # one row for the driver: size and average length of the collection
+    stats = index.stats.first()
+    wanted = expanded.join(df, "term").select("query_id", "term", "weight", "exact", scoring.idf(F.lit(stats["n_docs"]), F.col("df")).alias("idf"))
     hits = index.postings.join(wanted, "term").join(index.files.select("doc_id", "doc_len"), "doc_id")
-    score = scoring.bm25(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("idf")) * scoring.field_boost(F.col("field")) * F.col("weight")
+    score = scoring.bm25(F.col("tf"), F.col("doc_len"), F.lit(stats["avg_len"]), F.col("idf")) * scoring.field_boost(F.col("field")) * F.col("weight")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(score).alias("raw"), F.max("exact").alias("exact"))
 
 
@@ -111,16 +112,19 @@ def name_hits(files: DataFrame, queries: DataFrame, now_ns: int, blocks: int = 1
     return _union([one(p) for p in _against_files(files.select("doc_id", "path", "mtime_ns"), wanted, blocks)])
 
 
-def trigram_hits(files: DataFrame, queries: DataFrame, blocks: int = 1) -> DataFrame:
-    """``(query_id, doc_id, score)``: sums of similarities of at least one half between query words and names."""
-    def one(pairs: DataFrame) -> DataFrame:
-        name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-        likes = F.filter(F.transform(F.col("words"), lambda w: scoring.trigram_similarity(w, name)), lambda x: x >= TRIGRAM_LEAST)
-        total = F.aggregate(likes, F.lit(0.0), lambda a, x: a + x)
-        return pairs.withColumn("score", INDEX_WEIGHT * total).where("score > 0").select("query_id", "doc_id", "path", "score")
+def trigram_hits(files: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, path, score)``: sums of similarities of at least one half between query words and names.
 
-    wanted = queries.select("query_id", "words")
-    return _union([one(p) for p in _against_files(files.select("doc_id", "path"), wanted, blocks)])
+    Words meet names on the letter triples they share, so only names with something in common are looked at.
+    """
+    name = F.lower(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""))
+    named = files.select("doc_id", "path", name.alias("name")).withColumn("triples", F.length("name") - 2)
+    left = named.select("doc_id", "path", "triples", F.explode(scoring.trigrams(F.col("name"))).alias("t"))
+    words = queries.select("query_id", F.posexplode("words").alias("at", "word"))
+    right = words.select("query_id", "at", (F.length("word") - 2).alias("own"), F.explode(scoring.trigrams(F.col("word"))).alias("t"))
+    shared = left.join(right, "t").groupBy("query_id", "at", "own", "doc_id", "path", "triples").agg(F.count("*").alias("k"))
+    like = shared.withColumn("like", F.col("k") / (F.col("own") + F.col("triples") - F.col("k"))).where(F.col("like") >= TRIGRAM_LEAST)
+    return like.groupBy("query_id", "doc_id", "path").agg((INDEX_WEIGHT * F.sum("like")).alias("score"))
 
 
 def approximate_tail(rows: DataFrame) -> DataFrame:
@@ -166,7 +170,9 @@ def search(
     expanded = expand(terms, index.vocabulary) if fuzzy else terms.select("query_id", "term", F.lit(1.0).alias("weight"), F.lit(True).alias("exact"))
     # used for document frequencies and for postings; as a table its size is known to the joins
     expanded = through_table(expanded, "query-terms")
-    found = allowed(normalised(index_hits(index, expanded)))
+    # as a table: once for the best of each query, once for all
+    hits = through_table(index_hits(index, expanded), "index-hits")
+    found = allowed(normalised(hits))
     near = F.col("path").rlike("^$")
     for folder in recent_folders or []:
         near = near | (F.regexp_replace("path", "/[^/]*$", "") == folder)
@@ -188,7 +194,7 @@ def search(
     exact = merged.where("exact")
     n_exact = asked.select("query_id").join(exact.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").fillna(0, ["n"])
     thin = n_exact.where(F.col("n") < FALLBACK_BELOW).select("query_id")
-    alike = trigram_hits(files, asked.where(~F.col("literal")).join(thin, "query_id", "left_semi"), blocks)
+    alike = trigram_hits(files, asked.where(~F.col("literal")).join(thin, "query_id", "left_semi"))
     if filter_mode == "push":
         alike = allowed(alike.drop("path")).select("query_id", "doc_id", "path", "score")
     loose = (

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findgrain.functions import analyze, distance, paths, scoring
+from findgrain.operators import client, maintenance
 from findgrain.operators import index as ix
-from findgrain.operators import maintenance, requests, search, snippets
+from findgrain.operators import requests, search, snippets
 from findgrain.plans import fixtures
 from findgrain.plans.fixtures import NOW_NS
-from findgrain.session import read_table, through_table
+from findgrain.session import read_table
 from findgrain.sources import files as sources
 
 
 def _index(spark: SparkSession, sf: str, stems: bool = False) -> ix.Index:
-    built = ix.build_index(fixtures.files(spark, sf), stems=stems)
-    # read several times by one search
-    return ix.Index(through_table(built.files, "files"), through_table(built.postings, "postings"), stems)
+    return ix.build_index(fixtures.files(spark, sf), stems=stems)
 
 
 def tokenize_terms(spark, sf):
@@ -259,6 +258,30 @@ def external_hits(spark, sf):
     return search.outside_hits(own, extra)
 
 
+def query_chips(spark, sf):
+    found = client.chips(F.col("query"))
+    return fixtures.queries(spark).select("query_id", *[c.alias(n) for n, c in found.items()])
+
+
+def row_details(spark, sf):
+    """Size and time of indexed files on disk, and which are missing."""
+    rows = fixtures.indexed(spark, sf).select(F.xxhash64("path").alias("doc_id"), "path")
+    return client.row_details(rows, fixtures.disk(spark, sf)).select("path", "size", "modified", "missing")
+
+
+def content_phrase(spark, sf):
+    return fixtures.files(spark, sf).where(client.content_phrase(F.col("content"), F.lit("joke of the Week"))).select("doc_id")
+
+
+def provider_union(spark, sf):
+    """Ranked hits and counts of matching terms, each normalised, summed."""
+    index = _index(spark, sf)
+    terms = _plain_terms(spark, [(1, "index"), (1, "snapshot"), (2, "archive")])
+    counted = client.word_counts(index.postings, terms).withColumn("exact", F.lit(False))
+    both = client.union_providers(search.index_hits(index, terms), counted)
+    return both.select("query_id", "doc_id", F.round("score", 6).alias("score"), "exact")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -267,6 +290,7 @@ def queries() -> dict:
             bm25_normalized, search_exact_batch, search_batch_topk, search_post_filtered, name_score, recency_boost, location_boost,
             click_boost, proximity_folders, top_clicked_terms, path_bonus, filter_files, parse_requests, query_intent, fuzzy_terms_k1,
             fuzzy_terms_k2, phonetic_terms, stemmed_terms, snippet, trigram_jaccard, trigram_fallback, prefix_cache_topk, prefix_search,
-            substring_search, path_scope, path_parts, display_path, content_kinds, in_scope, file_kinds, content_fingerprints, external_hits,
+            substring_search, path_scope, path_parts, display_path, content_kinds, in_scope, file_kinds, content_fingerprints, external_hits, query_chips, row_details,
+            content_phrase, provider_union,
         )
     }

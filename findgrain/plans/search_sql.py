@@ -168,5 +168,10 @@ SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY doc_id DESC)::INT
         "display_path": "SELECT doc_id, regexp_replace(path, '^/Users/[^/]+', '~') AS shown, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d') AS modified FROM documents WHERE path IS NOT NULL",
         "content_kinds": f"""SELECT CASE WHEN {EXT} = 'pdf' THEN 'pdf' WHEN {EXT} IN ('docx','doc','rtf','odt') THEN 'rich' WHEN {EXT} IN ('txt','md','markdown','rst','org','tex','log','csv','tsv','json','yaml','yml','toml','xml','html','htm','css','py','rs','sh','sql') THEN 'text' ELSE 'unsupported' END AS kind, count(*) AS n FROM documents WHERE path IS NOT NULL GROUP BY 1""",
         "file_kinds": f"SELECT doc_id, array_to_string(list_append({_DOC}, {EXT}), ',') AS kinds FROM documents WHERE path IS NOT NULL",
+        "content_phrase": "SELECT doc_id FROM documents WHERE contains(lower(text), 'joke of the week')",
+        "provider_union": _hits("(1, 'index'), (1, 'snapshot'), (2, 'archive')")
+        + """, w AS (SELECT query_id, doc_id, count(DISTINCT term) AS n FROM q JOIN p USING (term) GROUP BY query_id, doc_id),
+u AS (SELECT query_id, doc_id, raw / max(raw) OVER (PARTITION BY query_id) AS s FROM h UNION ALL SELECT query_id, doc_id, n / max(n) OVER (PARTITION BY query_id) FROM w)
+SELECT query_id, doc_id, round(sum(s), 6) AS score, true AS exact FROM u GROUP BY query_id, doc_id""",
         "content_fingerprints": "SELECT min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1",
     }
