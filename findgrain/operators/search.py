@@ -144,7 +144,6 @@ def search(
     fuzzy: bool = True,
     filter_mode: str = "push",
     limit: int = RESULT_LIMIT,
-    blocks: int = 1,
     extra_hits: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, rank, doc_id, path, score, exact)`` for queries ``(query_id, query)``.
@@ -155,6 +154,7 @@ def search(
     ``extra_hits`` ``(query_id, doc_id, path)`` of an outside provider fill up queries with fewer than five rows.
     """
     asked = through_table(requests.prepared(requests.parse_requests(queries), index.stems), "queries")
+    blocks = -(-asked.count() // QUERY_BLOCK)
     keys = asked.columns
     files = index.files
 

@@ -57,6 +57,9 @@ SELECT term, doc_id, field, sum(tf)::BIGINT AS tf FROM x WHERE term IN ('rewritt
         "change_log_latest_state": f"WITH {_CHANGES} SELECT path, seq, event_type, size FROM ch QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1",
         "log_monotonicity": "WITH s AS (SELECT seq, lead(seq) OVER (ORDER BY seq) AS next_seq FROM (SELECT DISTINCT seq FROM wal_entries)) SELECT seq, next_seq FROM s WHERE next_seq <> seq + 1",
         "replay_after_seq": "SELECT DISTINCT seq FROM wal_entries WHERE seq > 41000 AND seq < coalesce((SELECT min(seq) FROM wal_entries WHERE event_type = '?' AND seq > 41000), 1e18)",
+        "event_dedup_100ms": """WITH RECURSIVE e AS (SELECT seq, min(path) AS path, min(timestamp_us) AS us FROM wal_entries WHERE path <> '' GROUP BY seq),
+k AS (SELECT path, min(us) AS us FROM e GROUP BY path UNION ALL SELECT k.path, min(e.us) AS us FROM k JOIN e ON e.path = k.path AND e.us >= k.us + 100000 GROUP BY k.path)
+SELECT path, us, min(seq) AS seq FROM k JOIN e USING (path, us) GROUP BY path, us""",
         "event_debounce": """WITH e AS (SELECT DISTINCT path, timestamp_us AS us FROM wal_entries WHERE path <> ''),
 b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY path ORDER BY us) < 300000 THEN 0 ELSE 1 END AS s FROM e),
 g AS (SELECT *, sum(s) OVER (PARTITION BY path ORDER BY us) AS k FROM b)

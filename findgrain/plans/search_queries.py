@@ -144,7 +144,7 @@ def filter_files(spark, sf):
 def parse_requests(spark, sf):
     r = requests.parse_requests(fixtures.queries(spark))
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return r.select("query_id", "text", *[joined(c) for c in ("kinds", "folders", "excluded", "tags", "unrecognised")], "from_day", "before_day", "min_bytes", "max_bytes")
+    return r.select("query_id", "text", *[joined(c) for c in ("kinds", "folders", "excluded", "tags", "unrecognised")], "from_day", "before_day", F.col("min_bytes").cast("string").alias("min_bytes"), F.col("max_bytes").cast("string").alias("max_bytes"))
 
 
 def query_intent(spark, sf):

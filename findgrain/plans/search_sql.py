@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from findgrain.functions.analyze import STOP_WORDS
+from findgrain.operators.client import CHIPS
 from findgrain.plans.fixtures import NOW_NS, QUERIES
 
 _BLANK = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -61,6 +62,11 @@ _TEXTS = {
 _A = ", ".join(f"({i}, '{t}')" for i, t in _TEXTS.items())
 _ASKED = f"""r(query_id, txt) AS (VALUES {_A}), a AS (SELECT query_id, lower(trim(txt)) AS q, {words('lower(trim(txt))')} AS w, regexp_matches(txt, '[./]') AS literal FROM r)"""
 
+_OF = lambda key, alias: f"list_transform(list_filter(s, lambda x: starts_with(lower(x), '{key}:')), lambda x: substr(lower(x), {len(key) + 2})) AS {alias}"
+_PARSED = f"""WITH r(query_id, query) AS (VALUES {_Q}), l AS (SELECT query_id, string_split(query, ' ') AS s FROM r),
+v AS (SELECT query_id, s, {", ".join(_OF(k, a) for k, a in (("kind", "kind"), ("in", "inn"), ("tag", "tag"), ("after", "after"), ("before", "before"), ("size", "size")))} FROM l)
+"""
+
 _LOC = "CASE WHEN contains(lower(path), '/downloads/') THEN 35 WHEN contains(lower(path), '/documents/') THEN 30 WHEN contains(lower(path), '/desktop/') THEN 25 ELSE 0 END"
 _DAYS = f"floor(greatest({NOW_NS} - mtime_ns, 0)::DOUBLE / 86400000000000)"
 _AGE = f"CASE WHEN {_DAYS} <= 1 THEN 8.0 WHEN {_DAYS} <= 7 THEN 5.0 WHEN {_DAYS} <= 30 THEN 2.0 ELSE 0.0 END"
@@ -137,6 +143,20 @@ SELECT doc_id, {FOLDER} AS folder, 1.5 AS boost FROM documents WHERE {FOLDER} IN
         "path_bonus": f"WITH {_ASKED}, b AS (SELECT query_id, doc_id, round({_BONUS}, 6) AS bonus FROM documents, a WHERE path IS NOT NULL) SELECT * FROM b WHERE bonus > 0",
         "filter_files": " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id FROM documents WHERE path IS NOT NULL AND ({p})" for i, p in _PASSES.items()),
         "fuzzy_terms_k1": f"{_SPLIT_NAMES}, w(term) AS (VALUES ('scna'), ('plna'), ('lgo'), ('note'), ('idea'), ('spce'), ('copi')) SELECT w.term, v.term AS name, damerau_levenshtein(w.term, v.term)::INT AS distance FROM w, v WHERE damerau_levenshtein(w.term, v.term) <= 1",
+        "parse_requests": _PARSED
+        + """SELECT query_id, array_to_string(list_filter(s, lambda x: NOT regexp_matches(lower(x), '^(kind|in|after|before|size|tag):') AND NOT (starts_with(x, '-') AND length(x) > 1)), ' ') AS text,
+array_to_string(kind, ',') AS kinds, array_to_string(inn, ',') AS folders,
+array_to_string(list_transform(list_filter(s, lambda x: starts_with(x, '-') AND length(x) > 1), lambda x: substr(lower(x), 2)), ',') AS excluded, array_to_string(tag, ',') AS tags, '' AS unrecognised,
+after[-1] || substr('0000-01-01', length(after[-1]) + 1) AS from_day, before[-1] || substr('0000-01-01', length(before[-1]) + 1) AS before_day,
+CASE WHEN starts_with(size[-1], '>') THEN substr(size[-1], 2) END AS min_bytes, CASE WHEN starts_with(size[-1], '<') THEN substr(size[-1], 2) END AS max_bytes FROM v""",
+        "query_intent": f"""WITH r(query_id, query) AS (VALUES {_Q}, (21, 'check report exists'), (22, 'find in:/Users/me draft ext:pdf')), s AS (SELECT query_id, string_split(query, ' ') AS s FROM r),
+x AS (SELECT query_id, s, list_filter(s, lambda x: contains(x, ':') AND NOT starts_with(x, 'in:')) AS f, list_filter(s, lambda x: NOT contains(x, ':')) AS rest FROM s),
+y AS (SELECT *, list_sort(list_distinct(list_transform(f, lambda x: regexp_replace(x, ':.*', '')))) AS keys, {terms("array_to_string(rest, ' ')")} AS t FROM x)
+SELECT query_id, array_to_string(t, ' ') AS terms, CASE WHEN list_has_any(keys, ['after', 'before']) THEN 'Recovery' WHEN list_has_any(t, ['exist', 'find', 'check']) THEN 'Verification' ELSE 'Lookup' END AS intent,
+substr(list_filter(s, lambda x: starts_with(x, 'in:'))[-1], 4) AS scope, array_to_string(keys, ',') AS filter_keys FROM y""",
+        "query_chips": f"WITH r(query_id, query) AS (VALUES {_Q}) SELECT query_id, "
+        + ", ".join(f"nullif(regexp_extract(query, '{pattern}', 1), '') AS \"{name}\"" for name, pattern in CHIPS.items())
+        + " FROM r",
         "fuzzy_terms_k2": f"{_SPLIT_NAMES}, w(term) AS (VALUES ('inventry'), ('sumary'), ('reprot'), ('skecth'), ('budgte'), ('trvl')), x AS (SELECT w.term, v.term AS name, damerau_levenshtein(w.term, v.term)::INT AS distance FROM w, v) SELECT * FROM x WHERE distance <= CASE WHEN length(term) >= 5 THEN 2 ELSE 1 END",
         "in_scope": f"""WITH s AS (SELECT doc_id, path, CASE WHEN starts_with(path, '/Users/baba/') THEN '/Users/baba' WHEN starts_with(path, '/Volumes/team/') THEN '/Volumes/team' END AS r FROM documents WHERE path IS NOT NULL),
 t AS (SELECT *, string_split(substr(path, length(r) + 2), '/') AS parts FROM s)
