@@ -43,9 +43,10 @@ NUMBERED = re.compile(r"\d{1,4}[.)][^\S\r\n]")
 _FULL = "。！？｡।॥؟"
 _CLOSE = re.compile(rf"(?:[{re.escape(CLOSERS)}]|[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*»)*")
 #: Where a sentence may end: marks of scripts without case anywhere; a point, ! or ? before a blank, a closing mark or a capital.
-_ENDS = rf"[{_FULL}!?…]+[!?]*|\.{{2,}}|(?<!\s)\.(?=\s|$|[\"”»)\]“’]|[A-ZА-ЯÀ-ÖØ-ÞЁ](?:[^\W\d_A-Z]|\s)|[«„¿¡(`“])|(?<=\s)[!?]"
+#: Every alternative begins with a mark itself, which lets the scan skip from mark to mark.
+_ENDS = rf"[{_FULL}!?…]+[!?]*|\.{{2,}}|\.(?=\s|$|[\"”»)\]“’]|[A-ZА-ЯÀ-ÖØ-ÞЁ](?:[^\W\d_A-Z]|\s)|[«„¿¡(`“])"
 CANDIDATE = re.compile(_ENDS)
-CANDIDATE_THAI = re.compile(rf"{_ENDS}|(?<=[{THAI}])\s+(?=[{THAI}])")
+CANDIDATE_THAI = re.compile(rf"{_ENDS}|[{THAI}]\s+(?=[{THAI}])")
 HAS_THAI = re.compile(f"[{THAI}]")
 #: A token that starts small and is still no ordinary word: a file, a path, a name with inner capitals.
 ODD_START = re.compile(r"\w[\w-]+[./]\w|\w+_\w|[^\W\d_A-Z]+[A-Z]|\w+\s+v\d")
@@ -212,14 +213,16 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
         pos = m.start()
         if pos < start:
             continue
-        mark = m.group()
-        if mark.isspace():
-            yield start, pos
-            start = m.end()
+        mark, end = m.group(), m.end()
+        if mark[-1].isspace():
+            # blanks between Thai letters
+            yield start, pos + 1
+            start = end
             if quotes:
                 quotes.restart(start)
             continue
-        end = m.end()
+        if mark == "." and pos and s[pos - 1].isspace():
+            continue
         after = s[end : end + 1]
         closers = _CLOSE.match(s, end, b).end() if after in CLOSE_SET or guillemets and after.isspace() else end
         quote = ""
