@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import time
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +24,15 @@ class IndexLocked(RuntimeError):
 
 
 class SearchIndex:
-    """An index in a folder. ``base`` is an immutable generation, ``delta`` holds what came since, ``dead`` the ids it replaces."""
+    """An index in a folder that all executors share (any URI Spark can write to). ``base`` is an immutable generation, ``delta`` holds what came since, ``dead`` the ids it replaces."""
 
     def __init__(self, spark: SparkSession, folder: str, scope: Scope | None = None, stems: bool = True):
-        self.spark, self.folder, self.stems = spark, folder, stems
+        self.spark, self.stems = spark, stems
         self.store = Generations(spark, folder)
-        config = f"{folder}/config.json"
-        self.scope = (scope or Scope.load(config)).normalised()
+        self.folder = self.store.folder
+        self.scope = (scope or Scope.of(self.folder.read_json("config.json"))).normalised()
         if scope is not None:
-            self.scope.save(config)
+            self.folder.write_json("config.json", asdict(self.scope))
         self.contents: DataFrame | None = None
         self.base = self.store.load() or build_index(self._no_files(), stems=stems)
         self.delta, self.dead = self._nothing()
@@ -85,7 +85,7 @@ class SearchIndex:
         """Writes base and delta as the next generation and removes older ones."""
         with self.store.writer() as mine:
             if not mine:
-                raise IndexLocked(self.folder)
+                raise IndexLocked(self.folder.uri)
             n = self.store.save(self.current, snapshot_seq)
             self.base = self.store.load()
             self.delta, self.dead = self._nothing()
@@ -100,12 +100,13 @@ class SearchIndex:
         return False
 
     def _appended(self, name: str, schema: str) -> DataFrame:
-        at = f"{self.folder}/{name}"
-        return self.spark.read.schema(schema).parquet(at) if os.path.isdir(at) else self.spark.createDataFrame([], schema)
+        if not self.folder.exists(name):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.folder.at(name))
 
     def record_click(self, query: str, path: str) -> None:
         row = self.spark.createDataFrame([(query, path)], "query string, path string")
-        row.select(F.current_timestamp().alias("ts"), "query", "path").coalesce(1).write.mode("append").parquet(f"{self.folder}/clicks")
+        row.select(F.current_timestamp().alias("ts"), "query", "path").coalesce(1).write.mode("append").parquet(self.folder.at("clicks"))
 
     @property
     def clicks(self) -> DataFrame:
@@ -121,7 +122,7 @@ class SearchIndex:
         began = time.time()
         rows = through_table(self.search_many(self.spark.createDataFrame([(0, query)], "query_id int, query string"), **options).drop("query_id"), "hits")
         took = self.spark.createDataFrame([(int((time.time() - began) * 1000), rows.count())], "latency_ms long, result_count long")
-        took.select(F.current_timestamp().alias("ts"), "latency_ms", "result_count").coalesce(1).write.mode("append").parquet(f"{self.folder}/query_log")
+        took.select(F.current_timestamp().alias("ts"), "latency_ms", "result_count").coalesce(1).write.mode("append").parquet(self.folder.at("query_log"))
         return rows
 
     def snippets(self, hits: DataFrame, query: str) -> DataFrame:
@@ -142,6 +143,6 @@ class SearchIndex:
     def reconfigure(self, scope: Scope) -> None:
         """A new scope; files outside it leave the index."""
         self.scope = scope.normalised()
-        self.scope.save(f"{self.folder}/config.json")
+        self.folder.write_json("config.json", asdict(self.scope))
         out = self.current.files.where(sources.root_of(F.col("path"), self.scope).isNull()).select("doc_id")
         self.apply(self._nothing()[0], out)

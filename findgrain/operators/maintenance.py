@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import fcntl
-import json
-import os
-import shutil
 import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findgrain.operators.index import Index
+from findgrain.operators.index import Index, vocabulary
+from findgrain.sources.store import Folder
 
 
 def reconcile(disk: DataFrame, indexed: DataFrame, readable_roots: list[str] | None = None) -> DataFrame:
@@ -97,7 +94,7 @@ def snapshot_due(changes: int, since_s: float, on_mains: bool = True) -> bool:
 
 
 class Generations:
-    """Index generations in a folder: tables are written under a new number, then the manifest is swapped.
+    """Index generations in a folder all executors share: tables are written under a new number, then the manifest is swapped.
 
     A reader that holds an old generation keeps it until ``remove_old``; a crash before the swap leaves the old manifest.
     """
@@ -105,63 +102,61 @@ class Generations:
     VERSION = 1
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.folder = spark, Folder(spark, root)
 
     @property
     def manifest(self) -> dict | None:
-        try:
-            with open(f"{self.root}/manifest.json") as f:
-                found = json.load(f)
-        except (OSError, ValueError):
-            return None
-        return found if migration(found["version"], self.VERSION) == "none" else None
+        found = self.folder.read_json("manifest.json")
+        return found if found and migration(found["version"], self.VERSION) == "none" else None
 
     def save(self, index: Index, snapshot_seq: int = 0) -> int:
         old = self.manifest
         n = (old["generation"] if old else 0) + 1
-        at = f"{self.root}/generation={n}"
-        shutil.rmtree(at, ignore_errors=True)
+        at = self.folder.at(f"generation={n}")
         # sorted by term: a lookup reads the row groups of its terms only
-        index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
-        index.files.repartitionByRange("path").sortWithinPartitions("path", "doc_id").write.parquet(f"{at}/files")
+        postings = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        postings.write.mode("overwrite").parquet(f"{at}/postings")
+        files = index.files.repartitionByRange("path").sortWithinPartitions("path", "doc_id")
+        files.write.mode("overwrite").parquet(f"{at}/files")
+        written = self.spark.read.parquet(f"{at}/postings")
+        vocabulary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/vocabulary")
         count = self.spark.read.parquet(f"{at}/files").count()
         new = {"version": self.VERSION, "generation": n, "stems": index.stems, "snapshot_seq": snapshot_seq, "doc_count": count, "written_at": int(time.time())}
-        with open(f"{self.root}/manifest.json.new", "w") as f:
-            json.dump(new, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{self.root}/manifest.json.new", f"{self.root}/manifest.json")
+        self.folder.write_json("manifest.json", new)
         return n
 
     def load(self, verify: bool = False) -> Index | None:
         m = self.manifest
         if m is None:
             return None
-        at = f"{self.root}/generation={m['generation']}"
+        at = self.folder.at(f"generation={m['generation']}")
         files = self.spark.read.parquet(f"{at}/files")
         if verify and files.count() != m["doc_count"]:
             return None
-        return Index(files, self.spark.read.parquet(f"{at}/postings"), m["stems"])
+        return Index(files, self.spark.read.parquet(f"{at}/postings"), m["stems"], self.spark.read.parquet(f"{at}/vocabulary"))
 
     def remove_old(self) -> list[str]:
         m = self.manifest
         keep = f"generation={m['generation']}" if m else ""
-        old = [d for d in os.listdir(self.root) if d.startswith("generation=") and d != keep]
+        old = [d for d in self.folder.names() if d.startswith("generation=") and d != keep]
         for d in old:
-            shutil.rmtree(f"{self.root}/{d}", ignore_errors=True)
-        return sorted(old)
+            self.folder.delete(d)
+        return old
 
     @contextmanager
-    def writer(self):
-        """The one writer; yields False in a second process, which may only read."""
-        with open(f"{self.root}/lock", "w") as f:
-            try:
-                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-            except OSError:
-                yield False
-                return
-            yield True
+    def writer(self, stale_s: int = 6 * 3600):
+        """The one writer; yields False to a second one, which may only read. A lock older than ``stale_s`` was left by a crash."""
+        held = self.folder.read_json("lock")
+        if held and time.time() - held["at"] > stale_s:
+            self.folder.delete("lock")
+        mine = self.folder.create("lock")
+        if mine:
+            self.folder.write_json("lock", {"at": time.time()})
+        try:
+            yield mine
+        finally:
+            if mine:
+                self.folder.delete("lock")
 
 
 def prefix_cache(files: DataFrame, k: int, longest: int = 4) -> DataFrame:

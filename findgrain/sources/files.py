@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field, replace
-import json
+from dataclasses import dataclass, field, replace
 import os
 
 import pandas as pd
@@ -50,19 +49,10 @@ class Scope:
         kept = [r for r in full if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in full)]
         return replace(self, roots=kept, max_depth=min(64, max(1, self.max_depth)), memory_budget_mb=max(16, self.memory_budget_mb))
 
-    def save(self, path: str) -> None:
-        with open(path + ".new", "w") as f:
-            json.dump(asdict(self), f)
-        os.replace(path + ".new", path)
-
     @classmethod
-    def load(cls, path: str) -> Scope:
-        try:
-            with open(path) as f:
-                known = {k: v for k, v in json.load(f).items() if k in cls.__dataclass_fields__}
-        except (OSError, ValueError):
-            known = {}
-        return cls(**known)
+    def of(cls, stored: dict | None) -> Scope:
+        """A stored scope; what it does not have or know takes the defaults."""
+        return cls(**{k: v for k, v in (stored or {}).items() if k in cls.__dataclass_fields__})
 
 
 def excluded_name(name: Column, scope: Scope) -> Column:

@@ -1,8 +1,10 @@
 import os
+from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
 from findgrain.sources import files
+from findgrain.sources.store import Folder
 
 
 def test_scan_extract(spark, tmp_path):
@@ -35,12 +37,15 @@ def test_read_text():
     assert files.read_text(b"\xff\xfeabc")[0].endswith("abc")
 
 
-def test_scope_config(tmp_path):
+def test_scope_config(spark, tmp_path):
     s = files.Scope(roots=["/a/b", "/a", "/a/", "/c"], max_depth=99, memory_budget_mb=1).normalised()
     assert (s.roots, s.max_depth, s.memory_budget_mb) == (["/a", "/c"], 64, 16)
-    s.save(str(tmp_path / "c.json"))
-    assert files.Scope.load(str(tmp_path / "c.json")) == s
-    assert files.Scope.load(str(tmp_path / "none.json")) == files.Scope()
+    folder = Folder(spark, str(tmp_path / "store"))
+    folder.write_json("c.json", {**asdict(s), "unknown": 1})
+    folder.write_json("c.json", {**asdict(s), "unknown": 2})
+    assert files.Scope.of(folder.read_json("c.json")) == s and folder.names() == ["c.json"]
+    assert files.Scope.of(folder.read_json("none.json")) == files.Scope() and files.Scope.of({"max_depth": 3}).max_depth == 3
+    assert folder.create("commits/1") and not folder.create("commits/1") and folder.names("commits") == ["1"]
 
 
 def test_predicates(spark):
