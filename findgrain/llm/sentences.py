@@ -44,7 +44,7 @@ _FULL = "。！？｡।॥؟"
 _CLOSE = re.compile(rf"(?:[{re.escape(CLOSERS)}]|[^\S\r\n]*(?:\r\n|\n|\r)?[^\S\r\n]*»)*")
 #: Where a sentence may end: marks of scripts without case anywhere; a point, ! or ? before a blank, a closing mark or a capital.
 #: Every alternative begins with a mark itself, which lets the scan skip from mark to mark.
-_ENDS = rf"[{_FULL}!?…]+[!?]*|\.{{2,}}|\.(?=\s|$|[\"”»)\]“’]|[A-ZА-ЯÀ-ÖØ-ÞЁ](?:[^\W\d_A-Z]|\s)|[«„¿¡(`“])"
+_ENDS = rf"[{_FULL}!?…]+[!?]*|\.{{2,}}|\.(?=\s|$|[\"”»)\]“’]|[A-ZА-ЯÀ-ÖØ-ÞЁ](?:[^\W\d_A-Z]|\s)|[«„¿¡(`“]|[a-z][A-Z]|~/)"
 CANDIDATE = re.compile(_ENDS)
 CANDIDATE_THAI = re.compile(rf"{_ENDS}|[{THAI}]\s+(?=[{THAI}])")
 HAS_THAI = re.compile(f"[{THAI}]")
@@ -223,6 +223,9 @@ def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple
             continue
         if mark == "." and pos and s[pos - 1].isspace():
             continue
+        if mark == ".." and end < b and s[end].isalpha():
+            # a point and a file name that begins with one
+            mark, end = ".", end - 1
         after = s[end : end + 1]
         closers = _CLOSE.match(s, end, b).end() if after in CLOSE_SET or guillemets and after.isspace() else end
         quote = ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,9 @@ def term_frequencies(tokens: DataFrame, *, common_share: float = 0.1, **columns)
     everything = union_bitmaps(index).first()["records"] or 0
     # the words of one term differ already, so its cardinality is the sum over its words
     per = index.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum(F.bit_count("bits").cast("long")).alias("records"))
-    mark = F.when(F.col("records") == 1, "rare").when(F.col("records") > F.lit(common_share * everything), "common")
+    # records > share * everything, in whole numbers
+    limit = int(Fraction(str(common_share)) * everything)
+    mark = F.when(F.col("records") == 1, "rare").when(F.col("records") > limit, "common")
     return per.withColumn("mark", mark)
 
 
