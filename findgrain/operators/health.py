@@ -31,12 +31,26 @@ def retention(log: DataFrame, now, days: int = 7) -> DataFrame:
     return log.where(F.col("ts") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS"))
 
 
+def order_statistic(rows: DataFrame, value: str, index: Column, bucket: Column) -> DataFrame:
+    """One row ``(value)``: the value at ``index`` (a function of the number of rows ``whole``, from 0) in sorted order.
+
+    ``bucket`` is a coarse, order-keeping form of the value with few different results. Counts per bucket tell which one holds the
+    index; only that one's distinct values are sorted. No rows give no row.
+    """
+    ok = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), bucket.alias("bucket"))
+    per = ok.groupBy("bucket").agg(F.count("*").alias("n"))
+    run = per.withColumn("upto", F.sum("n").over(Window.orderBy("bucket"))).withColumn("whole", F.sum("n").over(Window.partitionBy()))
+    run = run.withColumn("index", index.cast("long"))
+    one = run.where("upto > index and upto - n <= index").select("bucket", (F.col("index") - F.col("upto") + F.col("n")).alias("left"))
+    inside = ok.join(F.broadcast(one), "bucket").groupBy("v", "left").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("v"))
+    return inside.withColumn("upto", upto).where("upto > left and upto - n <= left").select(F.col("v").alias("value"))
+
+
 def oldest_dropped(log: DataFrame, share: float = 0.1) -> DataFrame:
     """The log without its oldest share, by the exact time under which it falls."""
-    counts = log.groupBy("ts").agg(F.count("*").alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy("ts"))).withColumn("whole", F.sum("n").over(Window.partitionBy()))
-    edge = run.where(F.col("upto") > share * F.col("whole")).agg(F.min("ts").alias("edge"))
-    return log.join(F.broadcast(edge), F.col("ts") >= F.col("edge")).drop("edge")
+    edge = order_statistic(log, "ts", F.floor(F.col("whole") * share), F.date_trunc("hour", F.col("ts")))
+    return log.join(F.broadcast(edge), F.col("ts") >= F.col("value")).drop("value")
 
 
 def integrity(indexed: DataFrame, disk: DataFrame, share: float | None = None) -> DataFrame:
@@ -108,7 +122,5 @@ def rank_biased_overlap(a: DataFrame, b: DataFrame, p: float = 0.9) -> DataFrame
 
 def shadow_gate(scores: DataFrame, least: float = 0.7) -> DataFrame:
     """One row: the tenth percentile of scores at index 10 * (n - 1) / 100 and whether it reaches ``least``."""
-    order = Window.orderBy("rbo", "list_id")
-    numbered = scores.withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    row = numbered.where(F.col("k") == F.expr("10 * (n - 1) div 100")).select(F.col("rbo").alias("p10"))
+    row = order_statistic(scores, "rbo", F.expr("10 * (whole - 1) div 100"), F.floor(F.col("rbo") * 1000)).select(F.col("value").alias("p10"))
     return row.withColumn("passes", F.col("p10") >= least)
