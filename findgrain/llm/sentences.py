@@ -190,6 +190,9 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
         return kind not in "lp"
     if key in lex.never_final or (key != last and last in lex.never_final):
         return False
+    if key != last and len(last) > 2:
+        # a file name
+        return kind != "p"
     if len(last) == 1:
         # an initial, unless this letter was seen to end paragraphs
         return last in lex.ordinary
