@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from findgrain.functions import analyze, paths
 from findgrain.functions.scoring import FIELD_CONTENT, FIELD_NAME, FIELD_PATH
-from findgrain.session import through_table
+from findgrain.session import spread, through_table
 
 
 @dataclass
 class Index:
     """``files`` (doc_id, path, size, mtime_ns, tag, doc_len), ``postings`` (term, doc_id, field, tf), with whether terms are stems.
 
-    ``terms`` is the vocabulary where it is kept as a table; otherwise it is counted from the postings.
+    ``terms`` is the vocabulary as a table; where it is missing it is counted when first asked for, and kept.
     """
 
     files: DataFrame
@@ -27,7 +27,9 @@ class Index:
     @property
     def vocabulary(self) -> DataFrame:
         """``(term, is_name, df)``; df counts postings, so a file with a term in both name and content counts twice."""
-        return vocabulary(self.postings) if self.terms is None else self.terms
+        if self.terms is None:
+            self.terms = through_table(vocabulary(self.postings), "vocabulary")
+        return self.terms
 
     @property
     def stats(self) -> DataFrame:
@@ -82,14 +84,13 @@ def collection_stats(files: DataFrame) -> DataFrame:
 
 
 def build_index(files: DataFrame, *, stems: bool = False) -> Index:
-    """An index over ``files`` (doc_id, path, root, size, mtime_ns, tag, content).
+    """An index over ``files`` (doc_id, path, root, size, mtime_ns, tag, content), one row per id.
 
-    Rows without id or path are left out; of rows with one id the first path counts. Null content has no terms.
+    Rows without id or path are left out. Null content has no terms.
     """
     ok = files.where("doc_id is not null and path is not null")
     # as a table: lengths, vocabulary and searches read it, texts are analysed once
-    postings = through_table(postings_of(ok, stems), "postings")
+    postings = through_table(postings_of(spread(ok), stems), "postings")
     meta = ok.select("doc_id", "path", "root", "size", "mtime_ns", "tag")
     lengths = doc_lengths(postings)
-    rows = through_table(meta.join(lengths, "doc_id", "left").fillna(0, ["doc_len"]), "files")
-    return Index(rows, postings, stems, through_table(vocabulary(postings), "vocabulary"))
+    return Index(through_table(meta.join(lengths, "doc_id", "left").fillna(0, ["doc_len"]), "files"), postings, stems)

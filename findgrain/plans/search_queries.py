@@ -11,7 +11,7 @@ from findgrain.operators import index as ix
 from findgrain.operators import requests, search, snippets
 from findgrain.plans import fixtures
 from findgrain.plans.fixtures import NOW_NS
-from findgrain.session import read_table
+from findgrain.session import read_table, spread
 from findgrain.sources import files as sources
 
 
@@ -37,7 +37,7 @@ def query_tokens(spark, sf):
 
 
 def postings(spark, sf):
-    return ix.postings_of(fixtures.files(spark, sf))
+    return ix.postings_of(spread(fixtures.files(spark, sf)))
 
 
 def vocab(spark, sf):

@@ -56,5 +56,11 @@ def through_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.schema(df.schema).parquet(at) if not partition_by else spark.read.parquet(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where their source has fewer partitions than that, as one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
