@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findgrain.session import spread
+
 WINDOW = 13
 #: A window is generalised only where this many of its words stay literal; below that its slots keep their words.
 LITERALS = 7
@@ -216,7 +218,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", i
                 yield finder.value("doc", pdf)
 
         kind = dict(docs.dtypes)["doc"]
-        hits = docs.mapInPandas(candidates, f"doc {kind}, {DOC_SCHEMA}").alias("d")
+        hits = spread(docs).mapInPandas(candidates, f"doc {kind}, {DOC_SCHEMA}").alias("d")
         held = spark.createDataFrame(windows, ITEM_SCHEMA).alias("i")
         verbatim = F.col("d.words") == F.col("i.words")
         mapped = F.col("d.slots") == F.col("i.slots")

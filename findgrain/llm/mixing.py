@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrain.functions.text import strip_blank
-from findgrain.session import through_table
+from findgrain.session import spread, through_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The word pattern published with this vocabulary.
@@ -60,7 +60,8 @@ def source_key(c: Column) -> Column:
 
 def sized_documents(documents: DataFrame, *, doc: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``(doc, source, tokens)`` with the source trimmed and lower-cased; a null source stays null and belongs to no target."""
-    return documents.select(F.col(doc).alias("doc"), source_key(F.col(source)).alias("source"), token_count(F.col(text), tokenizer).alias("tokens"))
+    rows = spread(documents.select(F.col(doc).alias("doc"), source_key(F.col(source)).alias("source"), F.col(text).alias("text")))
+    return rows.select("doc", "source", token_count(F.col("text"), tokenizer).alias("tokens"))
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findgrain.session import spread, through_table
+
 # Abbreviations that are followed by what they belong to, and those that may also end a sentence.
 NEVER_FINAL = frozenset(
     "Mr Mrs Ms Dr Prof Gen Sen Rev Hon Capt Lt Col Sgt St st Mt Ft vs cf e.g i.e a.k.a viz approx ca Fig fig Figs Eq Sec sec Ch ch Vol vol "
@@ -427,19 +429,15 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> DataFrame:
                         r[i] += n
             yield pd.DataFrame([(k, *r) for k, r in rows.items()], columns=["key", "n", "lower", "digit", "upper", "ends"])
 
-    part = documents.where(F.length(text) > 0).select(F.col(text).alias("text")).mapInPandas(count, COUNTS)
+    texts = documents.where(F.length(text) > 0).select(F.col(text).alias("text"))
+    part = spread(texts).mapInPandas(count, COUNTS)
     return part.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "lower", "digit", "upper", "ends")])
 
 
 def corpus_lexicon(documents: DataFrame, text: str = "text") -> Lexicon:
     counts = corpus_counts(documents, text)
+    counts = through_table(counts, "points")
     # at most 1 / LEXICON_SHARE rows pass, whatever the corpus; rare words are left to their document
-    spark = documents.sparkSession
-    from findgrain.session import fresh_dir
-
-    at = fresh_dir(spark, "points")
-    counts.write.parquet(at)
-    counts = spark.read.parquet(at)
     points = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where((F.col("n") >= 30) & (F.col("n") >= LEXICON_SHARE * points)).collect()
     return learn((r["key"], r["n"], r["lower"], r["digit"], r["upper"], r["ends"]) for r in rows)
@@ -472,4 +470,4 @@ def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text",
             yield pd.DataFrame({doc: pd.Series(ids, dtype=pdf["doc"].dtype), "start_char": pd.Series(starts, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")})
 
     rows = documents.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInPandas(cut, f"`{doc}` {kind}, start_char int, end_char int")
+    return spread(rows).mapInPandas(cut, f"`{doc}` {kind}, start_char int, end_char int")
