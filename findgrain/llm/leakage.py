@@ -19,6 +19,9 @@ LITERALS = 7
 #: Item windows held in memory at once; larger item sets are taken block by block.
 BLOCK_WINDOWS = 200_000
 
+#: Characters whose words a task holds at once.
+SLICE_CHARS = 2_000_000
+
 NUMBER, UNIT, NAME = 1, 2, 3
 FIRST_LITERAL = 16
 #: Exact codes of words that no item has.
@@ -33,6 +36,8 @@ _SINGLE = "々-〇ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿ㐀-䶿一-鿿豈-龎ｦ-
 #: Runs of letters and digits; each Han or kana letter by itself.
 WORD = re.compile(rf"[^\W_{_SINGLE}]+|[{_SINGLE}]")
 
+BLANK = re.compile(r"\s")
+
 ITEM_SCHEMA = "item long, hash long, words array<string>, slots array<int>"
 DOC_SCHEMA = "hash long, words array<string>, slots array<int>"
 
@@ -150,26 +155,56 @@ class _Finder:
         seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         return seen
 
-    def __call__(self, key: str, texts: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, key: str, texts: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Matches of a batch, in slices of about ``SLICE_CHARS`` characters; a longer text goes through in pieces that overlap by a window less one word."""
+        held: list[tuple[object, list[str], int]] = []
+        size = 0
+        for d, text in zip(texts[key], texts["text"]):
+            before: list[str] = []
+            for piece in pieces(text):
+                words = WORD.findall(fold(piece))
+                held.append((d, before + words, len(before)))
+                before = (before + words)[-(WINDOW - 1) :]
+                size += len(piece)
+                if size >= SLICE_CHARS:
+                    yield self._slice(key, held)
+                    held, size = [], 0
+        yield self._slice(key, held)
+
+    def _slice(self, key: str, held: list[tuple[object, list[str], int]]) -> pd.DataFrame:
         words: list[str] = []
-        starts = [0]
-        for t in texts["text"]:
-            words += WORD.findall(fold(t))
+        starts, overlaps = [0], []
+        for _, own, overlap in held:
+            words += own
             starts.append(len(words))
+            overlaps.append(overlap)
         codes = np.array(self.lexicon.encode(words), dtype=np.int64)
-        start = np.array(starts)
+        start, overlapped = np.array(starts), np.array(overlaps, dtype=np.int64)
         found = []
         for length, known in self.by_length.items():
             h, usable = self.lexicon.windows(codes, length)
             at = np.flatnonzero(usable & self.maybe[length][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             at = at[np.isin(h[at], known)]
-            doc = np.searchsorted(start, at, side="right") - 1
-            inside = at + length <= start[doc + 1]
-            for i, d in zip(at[inside].tolist(), doc[inside].tolist()):
-                found.append((texts[key].iat[d], int(h[i].view(np.int64)), words[i : i + length], self.lexicon.slots(codes[i : i + length])))
+            part = np.searchsorted(start, at, side="right") - 1
+            # inside one text, and not seen in the piece before
+            inside = (at + length <= start[part + 1]) & (at + length > start[part] + overlapped[part])
+            for i, p in zip(at[inside].tolist(), part[inside].tolist()):
+                found.append((held[p][0], int(h[i].view(np.int64)), words[i : i + length], self.lexicon.slots(codes[i : i + length])))
         return pd.DataFrame(found, columns=[key, "hash", "words", "slots"])
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text cut at blanks into pieces of at most ``SLICE_CHARS`` characters; a run without blanks is not cut."""
+    at = 0
+    while len(text) - at > SLICE_CHARS:
+        m = BLANK.search(text, at + SLICE_CHARS)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def _same_mapping(i: Column, d: Column, slots: Column) -> Column:
     """Whether slot values of one side map to those of the other one to one."""
     n = F.size(slots)
@@ -215,7 +250,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", i
 
         def candidates(batches: Iterator[pd.DataFrame], finder=finder) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield finder.value("doc", pdf)
+                yield from finder.value("doc", pdf)
 
         kind = dict(docs.dtypes)["doc"]
         hits = spread(docs).mapInPandas(candidates, f"doc {kind}, {DOC_SCHEMA}").alias("d")

@@ -58,6 +58,17 @@ def test_random_texts_match_brute_force(spark):
         assert set(got) == brute(docs, items)
 
 
+def test_pieces_find_each_window_once(monkeypatch):
+    lexicon = leakage.Lexicon(t for _, t in ITEMS if t)
+    finder = leakage._Finder(lexicon, leakage.item_windows(lexicon, [x for x in ITEMS if x[1]]))
+    text = "so what is 12 ms " * 7 + ITEMS[0][1] + " and more " + ITEMS[0][1] + " what is 12 ms"
+    run = lambda: sum(len(x) for x in finder("doc", __import__("pandas").DataFrame({"doc": [1], "text": [text]})))
+    whole = run()
+    for size in (7, 40, 90):
+        monkeypatch.setattr(leakage, "SLICE_CHARS", size)
+        assert run() == whole
+
+
 def test_long_text_and_empty_tables(spark):
     long = "word " * 200_000 + ITEMS[0][1] + " word" * 1000
     assert set(found(spark, [(1, long)])) == {(1, 1)}
