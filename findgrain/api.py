@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from findgrain.operators import health, maintenance, search, snippets
 from findgrain.operators.index import Index, build_index
 from findgrain.operators.maintenance import Generations
-from findgrain.session import through_table
+from findgrain.session import drop_tables, through_table
 from findgrain.sources import files as sources
 from findgrain.sources.files import Scope
 
@@ -37,6 +37,7 @@ class SearchIndex:
         self.base = self.store.load() or build_index(self._no_files(), stems=stems)
         self.delta, self.dead = self._nothing()
         self._changed_at, self._changes = time.time(), 0  # of the last merge; batches since
+        self._current: Index | None = None
 
     def _no_files(self) -> DataFrame:
         return self.spark.createDataFrame([], "doc_id long, path string, root string, size long, mtime_ns long, tag string, content string")
@@ -47,14 +48,16 @@ class SearchIndex:
     @property
     def current(self) -> Index:
         """Base without the dead, and delta; the base alone while nothing has changed."""
-        return self.base if self._changes == 0 else maintenance.merged(self.base, self.delta, self.dead)
+        if self._current is None:
+            self._current = self.base if self._changes == 0 else maintenance.merged(self.base, self.delta, self.dead)
+        return self._current
 
     def build(self, files: DataFrame) -> int:
         """A first or new generation from ``files`` (doc_id, path, root, size, mtime_ns, tag, content)."""
         self.contents = files
         self.base = build_index(files, stems=self.stems)
         self.delta, self.dead = self._nothing()
-        self._changes = 0
+        self._changes, self._current = 0, None
         return self.merge()
 
     def scan(self, extractors=None) -> DataFrame:
@@ -79,7 +82,7 @@ class SearchIndex:
         # as tables: each batch starts from files, not from the plans of all batches before
         self.delta = Index(through_table(delta.files, "delta-files"), through_table(delta.postings, "delta-postings"), delta.stems)
         self.dead = through_table(dead, "dead")
-        self._changes += 1
+        self._changes, self._current = self._changes + 1, None
 
     def merge(self, snapshot_seq: int = 0) -> int:
         """Writes base and delta as the next generation and removes older ones."""
@@ -90,9 +93,13 @@ class SearchIndex:
             self.base = self.store.load()
             self.delta, self.dead = self._nothing()
             self.store.remove_old()
-        self._changed_at, self._changes = time.time(), 0
+        self._changed_at, self._changes, self._current = time.time(), 0, None
         return n
 
+    def close(self) -> None:
+        """Removes the tables this session kept on the way; the index itself stays."""
+        drop_tables(self.spark)
+
     def merge_if_due(self, least_postings: int = 1_000_000) -> bool:
         if maintenance.needs_merge(self.delta, least_postings) or maintenance.snapshot_due(self._changes, time.time() - self._changed_at):
             self.merge()

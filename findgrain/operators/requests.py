@@ -106,8 +106,9 @@ def prepared(requests: DataFrame, stems: bool = False) -> DataFrame:
     """Adds ``q`` (trimmed, cut, lower-case), ``words``, ``terms`` and ``literal``; empty queries fall out."""
     cut = F.substring(F.trim("text"), 1, MAX_QUERY)
     out = requests.withColumn("cut", cut).where("cut <> ''").withColumn("q", F.lower("cut"))
-    out = out.withColumn("words", analyze.query_words(F.col("q"))).withColumn("literal", F.col("q").rlike("[./]"))
-    terms = F.filter(analyze.index_terms(F.col("q")), lambda t: t != "")
+    # words and terms come from the query as typed: inner capitals divide them
+    out = out.withColumn("words", analyze.query_words(F.col("cut"))).withColumn("literal", F.col("q").rlike("[./]"))
+    terms = analyze.index_terms(F.col("cut"))
     return out.withColumn("terms", F.when(F.col("literal"), F.array().cast("array<string>")).otherwise(terms)).drop("cut")
 
 

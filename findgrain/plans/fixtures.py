@@ -26,6 +26,7 @@ QUERIES = [
     (12, "archive snapshot folder"),
     (13, "inventry"),
     (14, "before:2025 sketch"),
+    (15, "lectureNotes"),
 ]
 
 

@@ -60,7 +60,7 @@ _TEXTS = {
     for i, q in QUERIES
 }
 _A = ", ".join(f"({i}, '{t}')" for i, t in _TEXTS.items())
-_ASKED = f"""r(query_id, txt) AS (VALUES {_A}), a AS (SELECT query_id, lower(trim(txt)) AS q, {words('lower(trim(txt))')} AS w, regexp_matches(txt, '[./]') AS literal FROM r)"""
+_ASKED = f"""r(query_id, txt) AS (VALUES {_A}), a AS (SELECT query_id, lower(trim(txt)) AS q, {words('trim(txt)')} AS w, {terms('trim(txt)')} AS t, regexp_matches(txt, '[./]') AS literal FROM r)"""
 
 _OF = lambda key, alias: f"list_transform(list_filter(s, lambda x: starts_with(lower(x), '{key}:')), lambda x: substr(lower(x), {len(key) + 2})) AS {alias}"
 _PARSED = f"""WITH r(query_id, query) AS (VALUES {_Q}), l AS (SELECT query_id, string_split(query, ' ') AS s FROM r),
@@ -97,7 +97,7 @@ _PASSES = {
 _ALLOWED = "ok AS (" + " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id FROM documents WHERE path IS NOT NULL AND ({_PASSES.get(i, 'true')})" for i, _ in QUERIES) + ")"
 
 _SEARCH = f"""WITH {_INDEX}, {_NAME_SCORE.replace('n AS (', 'nm AS (')}, {_ALLOWED},
-qt AS (SELECT query_id, unnest({terms('q')}) AS term FROM a WHERE NOT literal),
+qt AS (SELECT query_id, unnest(t) AS term FROM a WHERE NOT literal),
 h AS (SELECT query_id, doc_id, sum({_BM25}) AS raw FROM qt JOIN p USING (term) JOIN df USING (term) JOIN dl USING (doc_id), sz GROUP BY query_id, doc_id),
 z AS (SELECT h.query_id, h.doc_id, raw / max(raw) OVER (PARTITION BY h.query_id) AS s FROM h),
 b AS (SELECT z.query_id, z.doc_id, d.path, s + {_BONUS} AS s FROM z JOIN ok USING (query_id, doc_id) JOIN (SELECT doc_id, path FROM documents) d USING (doc_id) JOIN a ON a.query_id = z.query_id),

@@ -41,8 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return at
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables this application wrote to the shared folder on its way. DataFrames that still read them are lost."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for at in made:
+        path = path_of(at)
+        path.getFileSystem(conf).delete(path, True)
+    return len(made)
 
 
 def through_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

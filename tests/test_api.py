@@ -35,8 +35,11 @@ def test_life_of_an_index(spark, tmp_path):
     assert again.scope.roots == [str(root)] and sorted(names(again.search("zebrafish"))) == ["plan.txt", "report.txt"]
     row = again.stats().first()
     assert row["n_docs"] == 2 and row["queries"] == 7 and row["p99"] >= row["p50"]
+    assert again.current is again.current
     again.reconfigure(Scope(roots=["/elsewhere"]))
     assert again.current.files.count() == 0
+    again.close()
+    assert sorted(names(SearchIndex(spark, folder).search("zebrafish"))) == ["plan.txt", "report.txt"]
 
 
 def test_client(spark):

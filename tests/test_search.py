@@ -35,13 +35,15 @@ def ask(spark, built, *texts, **options):
 
 
 def test_batch_equals_single_searches(spark, built):
-    texts = ["report", "zebrafish", "reprot", "meeting notes", "", "the", "summary.md"]
+    texts = ["report", "zebrafish", "reprot", "meeting notes", "", "the", "summary.md", "meetingNotes"]
     together = ask(spark, built, *texts)
     assert together == [ask(spark, built, t) for t in texts]
     assert together[0][0] == "quarterly_report.pdf" and "MeetingNotes.txt" in together[0]
     assert together[1][:2] == ["summary.md", "quarterly_report.pdf"]
     assert "quarterly_report.pdf" in together[2] and together[3][0] == "MeetingNotes.txt"
     assert together[4] == [] and together[6] == ["summary.md"]
+    # inner capitals divide a typed word
+    assert together[7][0] == "MeetingNotes.txt"
 
 
 def test_filters(spark, built):
