@@ -65,7 +65,10 @@ def expand(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def index_hits(index: Index, expanded: DataFrame) -> DataFrame:
     """``(query_id, doc_id, raw, exact)``: BM25 of expanded terms, any of which may match, summed per file."""
-    df = index.postings.join(expanded.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    if index.terms is not None:
+        df = index.terms.select("term", "df")
+    else:
+        df = index.postings.join(expanded.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     # one row for the driver: size and average length of the collection
     stats = index.stats.first()
     wanted = expanded.join(df, "term").select("query_id", "term", "weight", "exact", scoring.idf(F.lit(stats["n_docs"]), F.col("df")).alias("idf"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrain.functions.paths import with_plain_path
+from findgrain.session import through_table
 
 
 def snapshot_order(snapshots: DataFrame, snapshot: str, taken: str) -> DataFrame:
@@ -43,7 +44,8 @@ def snapshot_changes(
         F.expr("mtime_ns div 1000").alias("mtime"),
         *[F.col(c).alias(f"c_{c}") for c in carry],
     )
-    order = snapshot_order(snapshots, snapshot, taken)
+    # as a table: it is joined twice, and the listings need be read for it only once
+    order = through_table(snapshot_order(snapshots, snapshot, taken), "snapshot-order")
     rows = snapshots.where(F.col(snapshot).isNotNull() & F.col(key).isNotNull()).select(F.col(snapshot).alias("snap"), F.col(key).alias("k"), attrs.alias("a"))
     rows = with_plain_path(rows, "k", "k")
     # partial aggregation first: a key walked very often is reduced before it is sent
