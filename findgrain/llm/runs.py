@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findgrain.session import through_table
+
 RUN_SCHEMA = (
     "k1 long, k2 long, code int, first_ts long, first_seq long, last_ts long, last_seq long, n long, "
     "chunk_first boolean, chunk_last boolean"
@@ -115,7 +117,8 @@ def collapse_runs(
         .sortWithinPartitions(*order)
         .mapInPandas(_encode(max_gap, least), RUN_SCHEMA)
     )
-    return merge_edges(coded, max_gap, least)
+    # as a table: encoded once, and both readers below see the same chunks, whose bounds come from a sample
+    return merge_edges(through_table(coded, "run-chunks"), max_gap, least)
 
 
 def merge_edges(coded: DataFrame, max_gap: int, least: int) -> DataFrame:
