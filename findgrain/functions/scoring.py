@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,31 +61,54 @@ def click_boost(clicks: Column) -> Column:
 
 def path_bonus(path: Column, words: Column) -> Column:
     """0.2 per query word the path contains, and with several words and hits the share of words hit."""
-    p = F.lower(path)
+    p, n = F.lower(path), F.size(words)
     hits = F.size(F.filter(words, lambda w: p.contains(w)))
-    return 0.2 * hits + F.when((F.size(words) > 1) & (hits > 1), hits / F.size(words)).otherwise(0.0)
+    # through an array of one, so that the words are looked for once
+    bonus = F.transform(F.array(hits), lambda h: 0.2 * h + F.when((n > 1) & (h > 1), h / n).otherwise(0.0))
+    return F.get(bonus, F.lit(0))
+
+
+@dataclass(frozen=True)
+class NameParts:
+    """What scoring by name needs of a path: computed once per file where many queries meet it."""
+
+    name: Column
+    stem: Column
+    path: Column
+    stem_words: Column
+    location: Column
+
+    @classmethod
+    def of(cls, path: Column) -> NameParts:
+        name = paths.file_name(path)
+        stem = paths.stem(name)
+        return cls(F.lower(name), F.lower(stem), F.lower(path), analyze.query_words(stem), location_boost(path))
+
+    @classmethod
+    def named(cls, prefix: str = "n_") -> NameParts:
+        return cls(*[F.col(prefix + f) for f in cls.__dataclass_fields__])
+
+    def columns(self, prefix: str = "n_") -> list[Column]:
+        return [getattr(self, f).alias(prefix + f) for f in self.__dataclass_fields__]
 
 
-def name_score(path: Column, query: Column, words: Column) -> Column:
+def name_score(path: Column | NameParts, query: Column, words: Column) -> Column:
     """How well a file name answers a query: layers for the whole phrase, for each word, for all words and their order.
 
     ``query`` is lower-case, ``words`` are its query words. 0 where nothing fits; above 0 the location boost is added.
     """
-    name = paths.file_name(path)
-    stem = paths.stem(name)
-    fn, st, p = F.lower(name), F.lower(stem), F.lower(path)
-    stem_words = analyze.query_words(stem)
+    f = path if isinstance(path, NameParts) else NameParts.of(path)
 
-    whole = F.when((fn == query) | (st == query), 250.0).when(F.array_contains(stem_words, query), 180.0).otherwise(0.0)
-    prefix = F.when(fn.startswith(query) | st.startswith(query), 160.0).otherwise(0.0)
-    inside = F.when(fn.contains(query) | st.contains(query) | (query.contains("/") & p.contains(query)), 110.0).otherwise(0.0)
+    whole = F.when((f.name == query) | (f.stem == query), 250.0).when(F.array_contains(f.stem_words, query), 180.0).otherwise(0.0)
+    prefix = F.when(f.name.startswith(query) | f.stem.startswith(query), 160.0).otherwise(0.0)
+    inside = F.when(f.name.contains(query) | f.stem.contains(query) | (query.contains("/") & f.path.contains(query)), 110.0).otherwise(0.0)
 
     def points(w: Column) -> Column:
         return (
-            F.when(F.array_contains(stem_words, w), 50.0)
-            .when(st.startswith(w), 35.0)
-            .when(st.contains(w) | fn.contains(w), 22.0)
-            .when(p.contains(w), 6.0)
+            F.when(F.array_contains(f.stem_words, w), 50.0)
+            .when(f.stem.startswith(w), 35.0)
+            .when(f.stem.contains(w) | f.name.contains(w), 22.0)
+            .when(f.path.contains(w), 6.0)
             .otherwise(0.0)
         )
 
@@ -91,18 +116,19 @@ def name_score(path: Column, query: Column, words: Column) -> Column:
     n = F.size(words)
     some = F.aggregate(per_word, F.lit(0.0), lambda a, x: a + x)
     every = F.when((n > 0) & F.forall(per_word, lambda x: x >= 22.0), 80.0).otherwise(0.0)
-    at = F.transform(words, lambda w: F.position(w, fn))
+    at = F.transform(words, lambda w: F.position(w, f.name))
     steps = F.zip_with(F.slice(at, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(at, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a <= b)
     ordered = F.when((n > 1) & F.forall(at, lambda x: x > 0) & F.forall(steps, lambda ok: ok), 50.0).otherwise(0.0)
 
     score = whole + prefix + inside + some + every + ordered
-    wrong_extension = query.contains(".") & ~fn.contains(query) & ~p.contains(query)
-    return F.when(wrong_extension | (score <= 0), 0.0).otherwise(score + location_boost(path))
+    wrong_extension = query.contains(".") & ~f.name.contains(query) & ~f.path.contains(query)
+    return F.when(wrong_extension | (score <= 0), 0.0).otherwise(score + f.location)
 
 
-def name_gate(path: Column, query: Column, words: Column, literal: Column) -> Column:
+def name_gate(path: Column | NameParts, query: Column, words: Column, literal: Column) -> Column:
     """Whether a file is scored by name at all: its name, or for a literal query its path, contains the query or a word."""
-    hay = F.lower(F.when(literal, path).otherwise(paths.file_name(path)))
+    f = path if isinstance(path, NameParts) else NameParts.of(path)
+    hay = F.when(literal, f.path).otherwise(f.name)
     return hay.contains(query) | F.exists(words, lambda w: hay.contains(w))
 
 

@@ -105,14 +105,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def name_hits(files: DataFrame, queries: DataFrame, now_ns: int, blocks: int = 1) -> DataFrame:
     """``(query_id, doc_id, score)``: names scored by query, with the age of the file."""
+    # per file once, before the queries meet it
+    prepared = files.select("doc_id", *scoring.NameParts.of(F.col("path")).columns(), scoring.recency_boost(F.col("mtime_ns"), now_ns).alias("age"))
+    parts = scoring.NameParts.named()
+
     def one(pairs: DataFrame) -> DataFrame:
         q, words = F.col("q"), F.col("words")
-        pairs = pairs.where(scoring.name_gate(F.col("path"), q, words, F.col("literal")))
-        named = pairs.withColumn("name", scoring.name_score(F.col("path"), q, words)).where("name > 0")
-        return named.select("query_id", "doc_id", (F.col("name") + scoring.recency_boost(F.col("mtime_ns"), now_ns)).alias("score"))
+        pairs = pairs.where(scoring.name_gate(parts, q, words, F.col("literal")))
+        named = pairs.withColumn("name", scoring.name_score(parts, q, words)).where("name > 0")
+        return named.select("query_id", "doc_id", (F.col("name") + F.col("age")).alias("score"))
 
     wanted = queries.select("query_id", "q", "words", "literal")
-    return _union([one(p) for p in _against_files(files.select("doc_id", "path", "mtime_ns"), wanted, blocks)])
+    return _union([one(p) for p in _against_files(prepared, wanted, blocks)])
 
 
 def trigram_hits(files: DataFrame, queries: DataFrame) -> DataFrame:
