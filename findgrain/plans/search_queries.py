@@ -154,7 +154,8 @@ def query_intent(spark, sf):
 
 
 def _names(spark, sf):
-    return ix.vocabulary(ix._counted(ix.name_occurrences(fixtures.files(spark, sf)), False)).select("term").where("term rlike '^[a-z]+$'")
+    """All terms of names and folders, whatever their letters and digits."""
+    return ix.vocabulary(ix._counted(ix.name_occurrences(fixtures.files(spark, sf)), False)).select("term")
 
 
 def fuzzy_terms_k1(spark, sf):
@@ -185,7 +186,7 @@ def snippet(spark, sf):
 
 
 def trigram_jaccard(spark, sf):
-    """Names at least half alike to a word in their letter triples."""
+    """Names alike to a word in three tenths of their letter triples at least."""
     words = spark.createDataFrame([("inventory",), ("summaries",), ("quarterly",), ("changelogs",)], "word string")
     pairs = _names(spark, sf).join(F.broadcast(words))
     score = scoring.jaccard(scoring.trigrams(F.col("word")), scoring.trigrams(F.col("term")))
