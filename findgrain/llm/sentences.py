@@ -59,6 +59,11 @@ CHAIN = re.compile(r"\.\s+")
 NO_CASE = re.compile(f"[{HAN_KANA}{DEVANAGARI}{THAI}؀-ۿ]")
 BARE_WORD = re.compile(r"(?<!\w)(\w+)(?![\w.])")
 SHORTENED = re.compile(r"(?<!\w)(\w+)\.(?:(?=,|\s+[^\W\d_A-ZÀ-ÞА-ЯЁ])|(?=\s+(\d)))")
+#: A word without a point that is no part of a path or compound. Before a capital or a digit it may be an abbreviation written without its point.
+PLAIN_WORD = re.compile(r"(?<![\w./̀-ͯ-])(\w++)(?![./̀-ͯ-])(?!\s+[A-ZÀ-ÞА-ЯЁ\d])")
+INNER_POINT = re.compile(r"\.(?:,|\s+([^\W\d_A-Z]))")
+NEXT_WORD = re.compile(r"\w+")
+WORD_BEFORE = re.compile(r"\w+$")
 INNER_NAME = re.compile(r"(?<=[^\W\d_A-Z])\s+(\w+)")
 HELD = re.compile(f"[{HAN_KANA}{DEVANAGARI}]")
 #: Words that go on after dots.
@@ -149,6 +154,8 @@ class Document:
     def __init__(self, text: str):
         self.text = text
         self.words: set[str] | None = None
+        self.inner: Counter | None = None
+        self.plain: set[str] | None = None
 
     def _gather(self) -> None:
         if self.words is None:
@@ -156,6 +163,31 @@ class Document:
             self.shortened = Counter((w, "d" if d else "l") for w, d in SHORTENED.findall(self.text))
             self.names = set(INNER_NAME.findall(self.text))
 
+    def _inner(self) -> Counter:
+        """Words with a point before a comma or an ordinary small word, which no sentence starts with."""
+        if self.inner is None:
+            self.inner, s = Counter(), self.text
+            for m in INNER_POINT.finditer(s):
+                if m.group(1) and next_kind(s, m.start(1), len(s)) != "l":
+                    continue
+                w = WORD_BEFORE.search(s, max(0, m.start() - 40), m.start())
+                if w:
+                    self.inner[w.group()] += 1
+        return self.inner
+
+    def uses_plain(self, word: str) -> bool:
+        """Whether this document uses the word without a point, and nowhere with one inside a clause."""
+        if self.plain is None:
+            self.plain = set(PLAIN_WORD.findall(self.text))
+        return word in self.plain and word not in self._inner()
+
+    def shortens(self, word: str, kind: str) -> bool:
+        """Whether this document has the word elsewhere with a point inside a clause, and nowhere without a point."""
+        if self._inner()[word] <= (kind in "lp"):
+            return False
+        self._gather()
+        return word not in self.words
+
     def abbreviation(self, word: str, kind: str) -> bool:
         """Whether this document shows the word elsewhere with a point before a small letter, a comma or a digit, and never without a point.
 
@@ -173,6 +205,11 @@ class Document:
         return word in self.names and word[0].lower() + word[1:] not in self.words
 
 
+def _name_follows(s: str, j: int, b: int, doc: Document) -> bool:
+    m = NEXT_WORD.match(s, j, b)
+    return bool(m and doc.proper_name(m.group()))
+
+
 def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexicon, doc: Document, spaced: bool) -> bool:
     if "\u0900" <= s[pos - 1] <= "\u097f":
         return False
@@ -186,11 +223,19 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
     if not key:
         return kind not in "p"
     last = key.rpartition(".")[2]
+    never = key in lex.never_final
+    # what the document shows without doubt comes first; an initial shows nothing of itself
+    if key == last and len(last) > 1:
+        if never and spaced and kind not in "ldp" and doc.uses_plain(last):
+            return True
+        if not never and kind in "ldpU" and key not in lex.may_end and doc.shortens(last, kind):
+            return kind == "U" and not _name_follows(s, j, b, doc)
+    # then the corpus, then the seed list
     if key in lex.ordinary:
         return True
     if key in lex.may_end or (key != last and "." in key and last in lex.may_end):
         return kind not in "lp"
-    if key in lex.never_final or (key != last and last in lex.never_final):
+    if never or (key != last and last in lex.never_final):
         return False
     if key != last and len(last) > 2:
         # a file name
@@ -203,8 +248,7 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
     if kind in "ldp" and len(last) <= 5 and doc.abbreviation(last, kind):
         return False
     if kind == "U" and len(last) <= 4 and doc.abbreviation(last, kind):
-        m = re.compile(r"\w+").match(s, j, b)
-        return not (m and doc.proper_name(m.group()))
+        return not _name_follows(s, j, b, doc)
     return kind != "p"
 
 
@@ -447,8 +491,8 @@ def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text",
     """``(doc, start_char, end_char)``: one row per sentence, as code points from 0, end exclusive.
 
     Document-centred disambiguation: whether a word before a point is an abbreviation, a number an ordinal, and a capital
-    a name, is decided by unambiguous occurrences: those of the whole corpus where a word is frequent, else those elsewhere
-    in the document. Terminators follow the script: ideographic and Indic stops need no blank, Thai sentences end at blanks
+    a name, is decided by unambiguous occurrences: those elsewhere in the document first, then those of the whole corpus
+    where a word is frequent, then a seed list. Terminators follow the script: ideographic and Indic stops need no blank, Thai sentences end at blanks
     between Thai letters, a point after Devanagari is an abbreviation.
 
     * Blank lines end sentences; a heading and each list item is one; other line breaks are blanks.

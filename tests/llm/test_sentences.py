@@ -75,3 +75,20 @@ def test_table(spark):
     got = sorted(map(tuple, sn.sentences(df).collect()))
     assert got == [(1, 0, 4), (1, 5, 9), (5, 0, 5), (5, 0, 5), (5, 6, 7), (5, 6, 7)]
     assert sn.sentences(df.limit(0)).count() == 0
+
+
+def test_document_evidence_overrules_lexicon_and_seeds():
+    text = "There is no index and no cache. He said no. Then he left."
+    assert [text[a:b] for a, b in sn.split_text(text, LEX)] == ["There is no index and no cache.", "He said no.", "Then he left."]
+    # also where the corpus holds the word for an abbreviation, at any length
+    lex = sn.Lexicon(never_final=frozenset(["no", "backup"]), ordinary=frozenset(["segment"]))
+    text = "A backup is old. It needs a backup. Then it ends."
+    assert len(sn.split_text(text, lex)) == 3
+    # shown as an abbreviation here though ordinary in the corpus
+    text = "The segment. of it, see the segment. in it. All is well."
+    assert [text[a:b] for a, b in sn.split_text(text, lex)] == ["The segment. of it, see the segment. in it.", "All is well."]
+    # without evidence, or with evidence both ways, the lexicon decides
+    assert len(sn.split_text("He said no. Then he left.", LEX)) == 1
+    assert len(sn.split_text("There is no index, see no. of it. He has no. Then he left.", LEX)) == 2
+    # a word before a capital or a digit may be an abbreviation without its point, and a digit goes on
+    assert len(sn.split_text("We saw Dr Bafo and Fig 3. Then Dr. Bafo left Fig. 3 there.", LEX)) == 2
