@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from findgrain.session import spread
 
 WINDOW = 13
-#: A window is generalised only where this many of its words stay literal; below that its slots keep their words.
-LITERALS = 7
 #: Item windows held in memory at once; larger item sets are taken block by block.
 BLOCK_WINDOWS = 200_000
 
@@ -103,13 +101,17 @@ class Lexicon:
         return [get(w) or (UNSEEN_NUMBER if w[0].isdigit() else UNSEEN_UNIT if w in UNITS else UNSEEN_NAME) for w in words]
 
     def windows(self, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the window that starts at each word, and whether it is usable: one that is not generalised needs known words only."""
+        """Hash of the window that starts at each word, and whether it is usable.
+
+        Every window with a literal word has the hash of its template, which windows of equal words share too. One of slots
+        alone says nothing but its words: it has the hash of those, and needs known ones.
+        """
         n = len(codes) - length + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         literal = np.concatenate([[0], np.cumsum(self.template[codes] >= FIRST_LITERAL)])
         unseen = np.concatenate([[0], np.cumsum(codes < FIRST_LITERAL)])
-        general = literal[length:] - literal[:-length] >= min(LITERALS, length)
+        general = literal[length:] > literal[:-length]
         out = []
         for code in (self.template_code, self.exact_code):
             mixed, h = code[codes], np.zeros(n, np.uint64)

@@ -74,3 +74,24 @@ def test_long_text_and_empty_tables(spark):
     assert set(found(spark, [(1, long)])) == {(1, 1)}
     assert found(spark, []) == {} and found(spark, [(1, "some text")], []) == {}
     assert found(spark, [(1, "some text")], [(3, None)]) == {}
+
+
+def test_windows_of_few_literal_words_are_generalised(spark):
+    short = "Was vergrub Wyndjarl unter der alten Brücke von Umbrnyx?"
+    dense = "Read on, Thulglyn, Phosdrak, Ostixi, Vexnyx, Umbrjarl and Skolost paid 12, 13, 14 and 15"
+    slots = "12 ms 13"
+    items = [(1, short), (2, dense), (3, slots)]
+    docs = [
+        (1, "Was vergrub Gnarlfen unter der alten Mauer von Skolost?"),
+        (2, "on, Alfa, Bravo, Carlo, Delta, Echo and Foxtrot paid 2, 3, 4 and 5"),
+        (3, "on, Alfa, Alfa, Carlo, Delta, Echo and Foxtrot paid 2, 3, 4 and 5"),
+        (4, "5 ms 6"),
+        (5, "so 12 ms 13 it is"),
+        (6, short),
+        (7, dense),
+    ]
+    got = found(spark, docs, items)
+    # nothing but slots is found by its words only, and one value cannot stand for two
+    assert set(got) == {(1, 1), (2, 2), (5, 3), (6, 1), (7, 2)}
+    assert {k for k, v in got.items() if v[1]} == {(5, 3), (6, 1), (7, 2)} == brute(docs, items)
+    assert set(found(spark, docs, items, reparameterised=False)) == brute(docs, items)
