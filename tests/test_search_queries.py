@@ -40,3 +40,10 @@ def test_name_queries_match_brute_force(spark, named):
     want = {(w, n) for w in ("inventory", "summaries", "quarterly", "changelogs") for n in names if alike(w, n) >= 0.3}
     assert {("inventory", "inventory3724"), ("summaries", "summary1636")} <= want
     assert {(r["word"], r["term"]) for r in search_queries.trigram_jaccard(spark, named).collect()} == want
+
+
+def test_copies_agree_in_the_whole_content(spark, tmp_path):
+    long = "x" * 70_000
+    rows = [(1, "/u/a", long + "a"), (2, "/u/b", long + "b"), (3, "/u/c", long + "b"), (4, "/u/d", ""), (5, "/u/e", ""), (6, "/u/f", None), (7, "/u/g", "s"), (8, "/u/h", "s")]
+    got = search_queries.content_fingerprints(spark, documents(spark, tmp_path, rows)).collect()
+    assert {(r["first_doc"], r["copies"]) for r in got} == {(2, 2), (7, 2)}
