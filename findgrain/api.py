@@ -60,9 +60,9 @@ class SearchIndex:
         self._changes, self._current = 0, None
         return self.merge()
 
-    def scan(self, extractors=None) -> DataFrame:
-        """The files in scope on disk with contents and stable ids."""
-        found = sources.extract(sources.scan(self.spark, self.scope).where("not is_dir"), extractors)
+    def scan(self, extractors=None, limit: int | None = None) -> DataFrame:
+        """The files in scope on disk with contents (of each the first ``limit`` bytes where that is given) and stable ids."""
+        found = sources.extract(sources.scan(self.spark, self.scope).where("not is_dir"), extractors, limit=limit)
         known = self.current.files.select("path", "doc_id")
         ids = maintenance.allocate_ids(known, found.select("path"), ["path"])
         content = F.col("content") if self.scope.index_content else F.lit("")

@@ -105,10 +105,11 @@ def in_access_scope(path: Column, access: str, home: str) -> Column:
     return out
 
 
-def read_text(content: bytes | None, limit: int = CONTENT_BYTES) -> tuple[str, bool]:
-    """The first ``limit`` bytes as text and whether that is all; binary content (a NUL byte) has no text. Never cuts inside a character."""
+def read_text(content: bytes | None, limit: int | None = CONTENT_BYTES) -> tuple[str, bool]:
+    """The first ``limit`` bytes (None: all) as text and whether that is all; binary content (a NUL byte) has no text. Never cuts inside a character."""
     if content is None:
         return "", True
+    limit = len(content) if limit is None else limit
     head = content[:limit]
     if b"\0" in head:
         return "", True
@@ -127,9 +128,10 @@ def read_text(content: bytes | None, limit: int = CONTENT_BYTES) -> tuple[str, b
 Extractor = Callable[[str, bytes], str]
 
 
-def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None, max_bytes: dict[str, int] | None = None) -> DataFrame:
+def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None, max_bytes: dict[str, int] | None = None, limit: int | None = None) -> DataFrame:
     """Adds ``content`` and ``full`` to ``(path, length, bytes)``; text is read here, other kinds by the extractor given for them.
 
+    Texts are whole, or their first ``limit`` bytes where that is given; ``full`` tells which.
     A file that its extractor fails on has empty content; so have unsupported and too large ones.
     """
     own = extractors or {}
@@ -141,9 +143,9 @@ def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None, ma
             for kind, path, data in zip(pdf["kind"], pdf["path"], pdf["bytes"]):
                 try:
                     if kind == "text":
-                        done.append(read_text(data))
+                        done.append(read_text(data, limit))
                     elif kind in own and data is not None and len(data) <= largest.get(kind, 1 << 40):
-                        done.append(read_text(own[kind](path, data).encode()))
+                        done.append(read_text(own[kind](path, data).encode(), limit))
                     else:
                         done.append(("", True))
                 except Exception:

@@ -55,3 +55,14 @@ def test_predicates(spark):
     assert [r[0] for r in rows] == [True, True, True, False, False, False]
     assert [r[1] for r in rows] == [True, True, True, True, False, True]
     assert [r[2] for r in rows] == [False] * 5 + [True] and rows[3][3] == "text"
+
+
+def test_extract_reads_whole_texts(spark, tmp_path):
+    (tmp_path / "long.txt").write_bytes(b"word " * 20_000 + b"zebrafish")
+    (tmp_path / "long.pdf").write_bytes(b"pdf")
+    rows = files.scan(spark, files.Scope(roots=[str(tmp_path)])).where("not is_dir")
+    own = {"pdf": lambda p, d: "word " * 20_000 + "walrus"}
+    got = {os.path.basename(r["path"]): (r["content"][-9:].strip(), r["full"]) for r in files.extract(rows, own).collect()}
+    assert got == {"long.txt": ("zebrafish", True), "long.pdf": ("rd walrus", True)}
+    cut = files.extract(rows, own, limit=100).collect()
+    assert all(len(r["content"]) == 100 and not r["full"] for r in cut)
