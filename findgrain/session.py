@@ -72,9 +72,22 @@ def through_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, where their source has fewer partitions than that, as one small file has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """The same rows over all cores, where their files give fewer partitions than that, as one small file does.
+
+    Only names and sizes of files are looked at; nothing of the plan is run.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    largest = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    parts = 0
+    for name in files:
+        path = path_of(spark._jvm.java.net.URI(name))
+        parts += -(-path.getFileSystem(conf).getFileStatus(path).getLen() // largest)
+    return df if parts >= cores else df.repartition(cores)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
