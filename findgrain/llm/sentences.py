@@ -72,15 +72,36 @@ AFTER_QUOTE_GOES_ON = re.compile("と|って|が|を|は|の|も|に|、|，")
 HI_FRAME = re.compile(r"\s*\S+\s+(?:\S+\s+)?ने\s")
 
 
+NEVER, MAY, ORDINARY = "never", "may", "ordinary"
+
+
 @dataclass
 class Lexicon:
-    """What the corpus showed of words before a point: those never and those also found at the end of paragraphs."""
+    """What the corpus showed of words before a point: abbreviations that never end a sentence, those that may, ordinary words; and of numbers by the word before them.
+
+    Where the corpus has nothing on a word, ``seeds`` (the lists above by default) are asked.
+    """
 
-    never_final: frozenset = NEVER_FINAL
-    may_end: frozenset = MAY_END
+    never_final: frozenset = frozenset()
+    may_end: frozenset = frozenset()
     ordinary: frozenset = frozenset()
-    ordinals: frozenset = ORDINAL_AFTER
+    ordinals: frozenset = frozenset()
     not_ordinals: frozenset = frozenset()
+    seeds: tuple[frozenset, frozenset, frozenset] = (NEVER_FINAL, MAY_END, ORDINAL_AFTER)
+
+    def of(self, key: str) -> str | None:
+        if key in self.ordinary:
+            return ORDINARY
+        if key in self.may_end:
+            return MAY
+        if key in self.never_final:
+            return NEVER
+        if key in self.seeds[1]:
+            return MAY
+        return NEVER if key in self.seeds[0] else None
+
+    def ordinal(self, key: str) -> bool:
+        return key in self.ordinals or key in self.seeds[2] and key not in self.not_ordinals
 
 
 def next_kind(s: str, j: int, b: int) -> str:
@@ -103,8 +124,15 @@ def next_kind(s: str, j: int, b: int) -> str:
 
 def left_key(s: str, a: int, pos: int) -> tuple[str, bool]:
     """The word before a point (chains such as "z. B" as one), or for a number the word before it; and whether it is a number."""
-    left = s[max(a, pos - 40) : pos]
-    last = left[max(left.rfind(" "), left.rfind("\n")) + 1 :]
+    back = 40
+    while True:
+        at = max(a, pos - back)
+        left = s[at:pos]
+        last = left[max(left.rfind(" "), left.rfind("\n")) + 1 :]
+        if at == a or len(last) < back - 10 or not (last.isalnum() and last < "\u0e00"):
+            break
+        # a word that fills the view is looked at further back
+        back *= 4
     if len(last) > 3 and last.isalpha() and last < "\u0e00":
         return last, False
     if last[-1:].isdigit():
@@ -170,7 +198,13 @@ class Document:
             for m in INNER_POINT.finditer(s):
                 if m.group(1) and next_kind(s, m.start(1), len(s)) != "l":
                     continue
-                w = WORD_BEFORE.search(s, max(0, m.start() - 40), m.start())
+                w, back = None, 40
+                while w is None or w.start() == m.start() - back // 4 > 0:
+                    # a word that fills the view is looked at further back
+                    w = WORD_BEFORE.search(s, max(0, m.start() - back), m.start())
+                    if w is None:
+                        break
+                    back *= 4
                 if w:
                     self.inner[w.group()] += 1
         return self.inner
@@ -215,27 +249,27 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
         return False
     key, number = left_key(s, a, pos)
     if number:
-        if key in lex.ordinals:
-            return False
-        if kind == "l" and key not in lex.not_ordinals:
-            return False
-        return True
+        return not lex.ordinal(key) and (kind != "l" or key in lex.not_ordinals)
     if not key:
-        return kind not in "p"
+        return kind != "p"
     last = key.rpartition(".")[2]
-    never = key in lex.never_final
-    # what the document shows without doubt comes first; an initial shows nothing of itself
-    if key == last and len(last) > 1:
-        if never and spaced and kind not in "ldp" and doc.uses_plain(last):
-            return True
-        if not never and kind in "ldpU" and key not in lex.may_end and doc.shortens(last, kind):
-            return kind == "U" and not _name_follows(s, j, b, doc)
-    # then the corpus, then the seed list
-    if key in lex.ordinary:
+    word = key == last and len(last) > 1
+    # an initial or a chain shows nothing of itself elsewhere; a word is what the document shows of it without doubt
+    if word and spaced and kind not in "ldp" and doc.uses_plain(last):
+        return True
+    shown = word and kind in "ldpU" and doc.shortens(last, kind)
+    # what the corpus knows of it, else the seed list
+    known = lex.of(key)
+    if shown and known not in (NEVER, MAY):
+        return kind == "U" and not _name_follows(s, j, b, doc)
+    if known == ORDINARY:
         return True
-    if key in lex.may_end or (key != last and "." in key and last in lex.may_end):
+    if known is None and key != last:
+        # a chain is known by its last part
+        known = lex.of(last) if lex.of(last) != ORDINARY else None
+    if known == MAY:
         return kind not in "lp"
-    if never or (key != last and last in lex.never_final):
+    if known == NEVER:
         return False
     if key != last and len(last) > 2:
         # a file name
@@ -245,9 +279,9 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
         return last in lex.ordinary
     if not spaced and len(last) <= 2 and last[0].isupper():
         return False
-    if kind in "ldp" and len(last) <= 5 and doc.abbreviation(last, kind):
+    if kind in "ldp" and doc.abbreviation(last, kind):
         return False
-    if kind == "U" and len(last) <= 4 and doc.abbreviation(last, kind):
+    if kind == "U" and doc.abbreviation(last, kind):
         return not _name_follows(s, j, b, doc)
     return kind != "p"
 
@@ -420,7 +454,7 @@ def gather(texts) -> Counter:
         for m in POINT.finditer(s):
             pos, blank = m.start(), m.group(1)
             key, number = left_key(s, 0, pos)
-            if key and len(key) <= 12:
+            if key:
                 ends = m.end() == b or len(blank) > 1 and len(LINE_END.findall(blank)) > 1
                 seen["#" + key if number else key, "E" if ends else next_kind(s, m.end(), b)] += 1
     return seen
@@ -432,29 +466,30 @@ def learn(counts) -> Lexicon:
     A paragraph's end is a sentence's end for certain, a small letter, a digit or a comma after the point shows an
     abbreviation. A word that never ends a paragraph though it stands often before a point is never final; one with both
     kinds of evidence may end a sentence before a capital; one that ends paragraphs and shows nothing else is ordinary.
+    Words in between have no class.
     """
-    never, may, ordinary, ordinals, not_ordinals = set(NEVER_FINAL), set(MAY_END), set(), set(ORDINAL_AFTER), set()
+    never, may, ordinary, ordinals, not_ordinals = set(), set(), set(), set(), set()
     for key, n, lower, digit, _upper, ends in counts:
+        if n < LEAST:
+            continue
         if key.startswith("#"):
-            if n >= 30 and ends < 0.01 * n:
+            if ends < 0.01 * n:
                 ordinals.add(key[1:])
-            elif ends >= 0.03 * n and n >= 30 and lower < 0.3 * n:
-                ordinals.discard(key[1:])
+            elif ends >= 0.03 * n and lower < 0.3 * n:
                 not_ordinals.add(key[1:])
-        elif n >= 30 and ends < 0.01 * n:
+        elif ends < 0.01 * n:
             size = len(key.rpartition(".")[2])
-            if size <= 4 or size <= 6 and lower + digit >= 0.5 * n:
+            if size <= 4 or lower + digit >= 0.5 * n:
                 never.add(key)
-                may.discard(key)
-        elif n >= 30 and lower >= 0.2 * n:
+        elif lower >= 0.2 * n:
             may.add(key)
-            never.discard(key)
-        elif n >= 30 and ends >= 0.03 * n and key not in MAY_END:
+        elif ends >= 0.03 * n:
             ordinary.add(key)
-            never.discard(key)
     return Lexicon(frozenset(never), frozenset(may), frozenset(ordinary), frozenset(ordinals), frozenset(not_ordinals))
 
 
+#: Points a word must stand before for a class of its own.
+LEAST = 30
 #: A word enters the corpus lexicon from this share of all points on, so it has at most the inverse number of words.
 LEXICON_SHARE = 1e-5
 
@@ -478,21 +513,22 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return part.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "lower", "digit", "upper", "ends")])
 
 
-def corpus_lexicon(documents: DataFrame, text: str = "text") -> Lexicon:
+def corpus_lexicon(documents: DataFrame, text: str = "text", share: float = LEXICON_SHARE) -> Lexicon:
+    """The classes of words that stand before at least ``share`` of all points; rarer ones are left to their document and the seed list."""
     counts = corpus_counts(documents, text)
     counts = through_table(counts, "points")
-    # at most 1 / LEXICON_SHARE rows pass, whatever the corpus; rare words are left to their document
+    # at most 1 / share rows pass, whatever the corpus
     points = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where((F.col("n") >= 30) & (F.col("n") >= LEXICON_SHARE * points)).collect()
+    rows = counts.where((F.col("n") >= LEAST) & (F.col("n") >= share * points)).collect()
     return learn((r["key"], r["n"], r["lower"], r["digit"], r["upper"], r["ends"]) for r in rows)
 
 
-def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
+def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
     """``(doc, start_char, end_char)``: one row per sentence, as code points from 0, end exclusive.
 
     Document-centred disambiguation: whether a word before a point is an abbreviation, a number an ordinal, and a capital
     a name, is decided by unambiguous occurrences: those elsewhere in the document first, then those of the whole corpus
-    where a word is frequent, then a seed list. Terminators follow the script: ideographic and Indic stops need no blank, Thai sentences end at blanks
+    where a word stands before at least ``lexicon_share`` of all points (and ``LEAST``), then a seed list. Terminators follow the script: ideographic and Indic stops need no blank, Thai sentences end at blanks
     between Thai letters, a point after Devanagari is an abbreviation.
 
     * Blank lines end sentences; a heading and each list item is one; other line breaks are blanks.
@@ -500,7 +536,7 @@ def sentences(documents: DataFrame, *, doc: str = "doc_id", text: str = "text",
     * A text without terminators is one sentence per paragraph. Whole texts are read, whatever their length.
     """
     spark = documents.sparkSession
-    lex = spark.sparkContext.broadcast(lexicon or corpus_lexicon(documents, text))
+    lex = spark.sparkContext.broadcast(lexicon or corpus_lexicon(documents, text, lexicon_share))
     kind = dict(documents.select(F.col(doc)).dtypes)[doc]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -54,10 +55,44 @@ def test_document_evidence_decides_unknown_words():
     assert len(sn.split_text(text, LEX)) == 2
 
 
+def test_document_evidence_has_no_length_limit():
+    for word in ("proceedngs", "x" * 200):
+        text = f"The {word}. of it is big, see {word}. 7 there and {word}. Vexor with Vexor in it. Then it ends."
+        assert [text[a:b] for a, b in sn.split_text(text, LEX)][-1] == "Then it ends." and len(sn.split_text(text, LEX)) == 2
+
+
 def test_corpus_evidence():
-    rows = [("foo", 100, 60, 20, 10, 0), ("end", 100, 0, 0, 70, 30), ("etc", 90, 30, 0, 30, 30), ("#am", 50, 0, 10, 40, 0), ("#vol", 60, 0, 5, 40, 15)]
+    rows = [("foo", 100, 60, 20, 10, 0), ("end", 100, 0, 0, 70, 30), ("etc", 90, 30, 0, 30, 30), ("#am", 50, 0, 10, 40, 0), ("#vol", 60, 0, 5, 40, 15), ("rare", 29, 29, 0, 0, 0)]
     lex = sn.learn(rows)
-    assert "foo" in lex.never_final and "end" in lex.ordinary and "etc" in lex.may_end and "am" in lex.ordinals and "vol" in lex.not_ordinals
+    assert "foo" in lex.never_final and "end" in lex.ordinary and "etc" in lex.may_end and lex.ordinal("am") and "vol" in lex.not_ordinals
+    assert lex.of("rare") is None and lex.of("etc") == sn.MAY and lex.of("Mr") == sn.NEVER
+    # the corpus overrules the seeds, which are asked only where it has nothing
+    lex = sn.learn([("no", 100, 0, 0, 70, 30), ("#am", 60, 0, 5, 40, 15)])
+    assert lex.of("no") == sn.ORDINARY and not lex.ordinal("am") and lex.ordinal("vom")
+
+
+def test_without_seeds_the_corpus_shows_the_abbreviations():
+    """A corpus of the cases in other orders, as paragraphs, in place of the seed list."""
+    none = (frozenset(),) * 3
+    counts = sn.Counter()
+    for seed in range(60):
+        for parts in CASES.values():
+            parts = parts[:]
+            random.Random(seed).shuffle(parts)
+            counts += sn.gather([" ".join(parts[:2]) + "\n\n" + " ".join(parts[2:])])
+    rows: dict = {}
+    for (key, kind), n in counts.items():
+        r = rows.setdefault(key, dict.fromkeys("nldUE", 0))
+        r["n"] += n
+        r[kind if kind in "ldUE" else "n"] += n if kind in "ldUE" else 0
+    lex = replace(sn.learn((k, r["n"], r["l"], r["d"], r["U"], r["E"]) for k, r in rows.items()), seeds=none)
+    right = whole = 0
+    for parts in CASES.values():
+        text = " ".join(parts)
+        got = {text[a:b] for a, b in sn.split_text(text, lex)}
+        right += len(got & set(parts))
+        whole += len(parts)
+    assert right >= 0.9 * whole, (right, whole)
 
 
 @pytest.mark.parametrize("text", ["", " ", "\n\n", "...", "?!", "“", '"', "»", ".", "a", "x" * 100_000, '"a. B. ' * 20_000, "“Abc def. " * 20_000, "a.\n" * 50_000, "　。"])
