@@ -20,20 +20,12 @@ def _encode(max_gap: int, least: int):
     """Encodes one sorted chunk, batch by batch; the last run of a batch stays open for the next one."""
 
     def chunk(batches):
-        open_run, prior, is_first = None, None, True
+        open_run, is_first = None, True
         for pdf in batches:
             if pdf.empty:
                 continue
             a = {c: pdf[c].to_numpy() for c in ("k1", "k2", "ts", "seq", "code")}
-            same = np.ones(len(pdf), bool)
-            same[0] = prior is not None and all(a[c][0] == prior[c] for c in ("k1", "k2", "ts", "seq"))
-            for c in ("k1", "k2", "ts", "seq"):
-                same[1:] &= a[c][1:] == a[c][:-1]
-            prior = {c: v[-1] for c, v in a.items()}
-            a = {c: v[~same] for c, v in a.items()}
-            size = len(a["seq"])
-            if not size:
-                continue
+            size = len(pdf)
             start = np.ones(size, bool)
             start[1:] = (
                 (a["k1"][1:] != a["k1"][:-1])
@@ -89,6 +81,7 @@ def collapse_runs(
     *,
     ts: str = "timestamp_us",
     seq: str = "seq",
+    arrived: str | None = "received_at",
     max_gap: int = 2_000_000,
     least: int = 1,
 ) -> DataFrame:
@@ -97,23 +90,25 @@ def collapse_runs(
     A run is a longest stretch of entries of one key, ordered by (``ts``, ``seq``), of the same ``kind`` (an int code) and each at
     most ``max_gap`` after the one before. Runs shorter than ``least`` are left out.
 
-    * Rows in which key, kind, time or seq is null are left out before runs are formed.
-    * Copies of an entry (same key, time and seq) are neighbours once sorted and count once, the lowest kind if they differ.
+    * One row per seq counts: of copies, amended or not, the one that arrived last, then the one greatest in key hash, time and kind.
+      Without ``arrived`` (None) only the latter decides. Rows without seq are left out.
+    * Rows whose key, kind or time is null then are left out before runs are formed.
     * Equal times are ordered by seq. No rows give no runs. Other columns are ignored.
 
-    Rows are range-partitioned by (key, time, seq), so a key with a third of all rows spreads over many chunks. Each chunk is
-    encoded on its own in one pass; the first and last run of each chunk then meet their neighbours: at most two rows a chunk.
-    A key takes part as two 64-bit hashes, so that rows are five numbers wide.
+    Copies meet in a shuffle by seq. Rows are then range-partitioned by (key, time, seq), so a key with a third of all rows
+    spreads over many chunks. Each chunk is encoded on its own in one pass; the first and last run of each chunk then meet
+    their neighbours: at most two rows a chunk. A key takes part as two 64-bit hashes, so that rows are five numbers wide.
     """
-    rows = (
-        events.select(key.alias("key"), kind.cast("int").alias("code"), F.col(ts).cast("long").alias("ts"), F.col(seq).cast("long").alias("seq"))
-        .where("key is not null and code is not null and ts is not null and seq is not null")
-        .select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), "ts", "seq", "code")
-    )
+    hashed = [F.when(key.isNotNull(), F.xxhash64(key)).alias("k1"), F.when(key.isNotNull(), F.xxhash64(F.lit("second"), key)).alias("k2")]
+    at = F.lit(None).cast("timestamp") if arrived is None else F.col(arrived)
+    rows = events.select(*hashed, kind.cast("int").alias("code"), F.col(ts).cast("long").alias("ts"), F.col(seq).cast("long").alias("seq"), at.alias("arrived")).where("seq is not null")
+    last = Window.partitionBy("seq").orderBy(F.desc_nulls_last("arrived"), *[F.desc_nulls_last(c) for c in ("k1", "k2", "ts", "code")])
+    once = rows.repartition("seq").withColumn("copy", F.row_number().over(last)).where("copy = 1").drop("copy", "arrived")
+    once = once.where("k1 is not null and code is not null and ts is not null")
     chunks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["k1", "k2", "ts", "seq", "code"]
+    order = ["k1", "k2", "ts", "seq"]
     coded = (
-        rows.repartitionByRange(chunks, *order)
+        once.repartitionByRange(chunks, *order)
         .sortWithinPartitions(*order)
         .mapInPandas(_encode(max_gap, least), RUN_SCHEMA)
     )

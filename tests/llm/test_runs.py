@@ -1,18 +1,21 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
 from findgrain.llm.runs import collapse_runs
 
-SCHEMA = "key string, kind int, timestamp_us long, seq long, n int, code string, k1 string"
+SCHEMA = "key string, kind int, timestamp_us long, seq long, received_at timestamp, n int, code string, k1 string"
+DAY = dt.datetime(2025, 1, 1)
 
 
 def brute(rows, gap, least):
-    seen, by_key = set(), {}
-    for key, kind, ts, seq in sorted((r for r in rows if None not in r), key=lambda r: (r[0], r[2], r[3], r[1])):
-        if (key, ts, seq) not in seen:
-            seen.add((key, ts, seq))
-            by_key.setdefault(key, []).append((ts, seq, kind))
+    last, by_key = {}, {}
+    for i, r in enumerate(rows):
+        if r[3] is not None:
+            last[r[3]] = r
+    for key, kind, ts, seq in sorted((r for r in last.values() if None not in r), key=lambda r: (r[0], r[2], r[3])):
+        by_key.setdefault(key, []).append((ts, seq, kind))
     out = []
     for events in by_key.values():
         run = [events[0]]
@@ -27,7 +30,8 @@ def brute(rows, gap, least):
 
 
 def got(spark, rows, gap=10, least=1):
-    df = spark.createDataFrame([(*r, 1, "c", "k") for r in rows], SCHEMA)
+    df = spark.createDataFrame([(*r, DAY + dt.timedelta(seconds=i), 1, "c", "k") for i, r in enumerate(rows)], SCHEMA)
+    df = df.orderBy(F.rand(1))
     return sorted(map(tuple, collapse_runs(df, F.col("key"), F.col("kind"), max_gap=gap, least=least).collect()))
 
 
@@ -50,3 +54,13 @@ def test_one_run_over_all_chunks(spark):
 def test_gap_is_inclusive_and_empty(spark):
     assert got(spark, [("a", 1, 0, 1), ("a", 1, 10, 2), ("a", 1, 21, 3)]) == [(1, 2, 1, 2, 0, 10), (3, 3, 1, 1, 21, 21)]
     assert got(spark, []) == []
+
+
+def test_amended_copies_count_once(spark):
+    # the last to arrive: another time, another key, another kind, nothing readable
+    rows = [("a", 1, 10, 1), ("a", 1, 20, 1), ("a", 1, 25, 2), ("b", 1, 0, 3), ("a", 1, 30, 3), ("a", 1, 40, 4), ("a", 2, 40, 4), ("a", 1, 50, 5), ("a", None, 50, 5)]
+    assert got(spark, rows) == [(1, 3, 1, 3, 20, 30), (4, 4, 2, 1, 40, 40)]
+    # without arrival times the greatest counts, whatever the order
+    df = spark.createDataFrame([("a", 1, 10, 1, None, 1, "c", "k"), ("a", 1, 20, 1, None, 1, "c", "k"), ("a", 1, 20, 1, None, 1, "c", "k")], SCHEMA)
+    for arrived in ("received_at", None):
+        assert [tuple(r) for r in collapse_runs(df, F.col("key"), F.col("kind"), arrived=arrived).collect()] == [(1, 1, 1, 1, 20, 20)]
