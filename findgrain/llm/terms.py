@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findgrain.functions.text import fold_term
+from findgrain.operators.maintenance import allocate_ids
 from findgrain.session import through_table
 
 HEAVY = 1000
@@ -25,35 +26,57 @@ def occurrences(tokens: DataFrame, *, record: str = "doc_id", term: str = "term"
     return rows.groupBy("record", *places).agg(F.min("term").alias("term")).select("record", "term")
 
 
+#: Record identifiers of one container of a bitmap.
+CONTAINER = 1 << 16
+
+
+def numbered(occ: DataFrame) -> DataFrame:
+    """The same occurrences with records numbered densely from 1, for identifiers that are sparse or hashed, or no integers."""
+    none = occ.select("record", F.lit(0).cast("long").alias("doc_id")).limit(0)
+    ids = allocate_ids(none, occ.select("record").distinct(), ["record"])
+    return occ.join(ids, "record").select("term", F.col("doc_id").alias("record"))
+
+
 def vertical_index(occ: DataFrame) -> DataFrame:
-    """``(term, word, bits, n)``: per term a bitmap of record identifiers and its occurrences.
+    """``(term, chunk, words, n)``: per term a bitmap of record identifiers in containers of 65,536, with its occurrences.
 
-    A bitmap is stored as its non-zero 64-bit words, keyed by position, so a rare term takes one row and a common one at most
-    one row per 64 identifiers. Words of the same position merge by bitwise or, which combines before the shuffle; a term in
-    every record is spread over as many keys as it has words.
+    A container holds its non-zero 64-bit words only, each with its place: a rare term takes one row of one word, a common one
+    a row per 65,536 identifiers of at most 1,024 words. Words are made by bitwise or before the shuffle, so a term in every record
+    spreads over as many keys as it has words until they are small; then containers are put together.
     """
     bit = F.expr("shiftleft(1L, cast(pmod(record, 64) as int))")
     word = F.expr("(record - pmod(record, 64)) div 64")
-    return occ.select("term", word.alias("word"), bit.alias("bit")).groupBy("term", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    words = occ.select("term", word.alias("word"), bit.alias("bit")).groupBy("term", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    per = CONTAINER // 64
+    at = F.expr(f"pmod(word, {per})").cast("short")
+    chunk = F.expr(f"(word - pmod(word, {per})) div {per}")
+    return words.groupBy("term", chunk.alias("chunk")).agg(F.collect_list(F.struct(at.alias("at"), "bits")).alias("words"), F.sum("n").alias("n"))
+
+
+def cardinality(words: Column) -> Column:
+    """Records in a container."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w["bits"]))
 
 
 def union_bitmaps(index: DataFrame, *by: str) -> DataFrame:
-    """Cardinality of the union of bitmaps, per ``by`` or over all."""
-    words = index.groupBy(*by, "word").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
-    return words.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.bit_count("bits").cast("long")).alias("records"))
+    """``(by, records)``: cardinality of the union of bitmaps, per ``by`` or over all."""
+    words = index.select(*by, "chunk", F.explode("words").alias("w")).groupBy(*by, "chunk", "w.at").agg(F.bit_or("w.bits").alias("bits"))
+    return words.groupBy(*by).agg(F.sum(F.bit_count("bits").cast("long")).alias("records"))
 
 
-def term_frequencies(tokens: DataFrame, *, common_share: float = 0.1, **columns) -> DataFrame:
+def term_frequencies(tokens: DataFrame, *, common_share: float = 0.1, dense: bool = True, **columns) -> DataFrame:
     """``(term, occurrences, records, mark)`` for every distinct term; mark is rare, common or null.
 
     ``rare``: in exactly one record. ``common``: in more than ``common_share`` of the records with at least one counted term.
     A term that is both, as can only be among fewer than ten records, is rare. No rows give no terms.
+    ``dense`` says that records are integers without wide gaps; others (False) are numbered first.
     """
-    index = through_table(vertical_index(occurrences(tokens, **columns)), "term-index")
+    occ = occurrences(tokens, **columns)
+    index = through_table(vertical_index(occ if dense else numbered(through_table(occ, "occurrences"))), "term-index")
     # one row for the driver: the number of records
     everything = union_bitmaps(index).first()["records"] or 0
-    # the words of one term differ already, so its cardinality is the sum over its words
-    per = index.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum(F.bit_count("bits").cast("long")).alias("records"))
+    # the containers of one term differ already, so its cardinality is the sum over them
+    per = index.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum(cardinality(F.col("words"))).alias("records"))
     # records > share * everything, in whole numbers
     limit = int(Fraction(str(common_share)) * everything)
     mark = F.when(F.col("records") == 1, "rare").when(F.col("records") > limit, "common")
@@ -121,6 +144,16 @@ def distinctive_terms(tokens: DataFrame, only: DataFrame | None = None, **column
 
 
 def best_terms(scored: DataFrame, *, least_records: int = 2) -> DataFrame:
-    """Per record the term with the greatest weight among those in at least ``least_records`` records; ties to the smaller term in byte order."""
-    best = scored.where(F.col("records") >= least_records).groupBy("record").agg(F.min(F.struct((-F.col("weight")).alias("w"), "term")).alias("b"))
-    return best.select("record", F.col("b.term").alias("term"))
+    """``(record, term, by_ratio)``: per record the most distinctive term, of those in at least ``least_records`` records.
+
+    Candidates are the terms that the two-by-two table shows over-represented in the record (``llr`` above zero). Among them the
+    required value (``weight``) decides; ties go to the smaller term in byte order. An exact check follows: a term that is not over-represented but
+    has a greater weight takes the place, and ``by_ratio`` is false there.
+    """
+    at = F.struct((-F.col("weight")).alias("w"), "term")
+    candidate = F.min(F.when(F.col("llr") > 0, at))
+    other = F.min(F.when(~(F.col("llr") > 0), at))
+    best = scored.where(F.col("records") >= least_records).groupBy("record").agg(candidate.alias("c"), other.alias("o"))
+    kept = F.col("o").isNull() | (F.col("c") <= F.col("o"))
+    kept = F.coalesce(kept, F.lit(False))
+    return best.select("record", F.when(kept, F.col("c.term")).otherwise(F.col("o.term")).alias("term"), kept.alias("by_ratio"))

@@ -68,8 +68,31 @@ def test_distinctive(spark):
 
 
 def test_best_term_ties_go_to_the_smaller(spark):
-    scored = spark.createDataFrame([(1, "b", 3, 1.0), (1, "a", 3, 1.0), (1, "z", 1, 9.0), (2, "q", 1, 5.0)], "record int, term string, records int, weight double")
-    assert list(map(tuple, terms.best_terms(scored).collect())) == [(1, "a")]
+    rows = [(1, "b", 3, 1.0, 2.0), (1, "a", 3, 1.0, 1.0), (1, "z", 1, 9.0, 9.0), (2, "q", 1, 5.0, 5.0), (3, "x", 2, 2.0, 1.0), (3, "y", 2, 3.0, -1.0), (4, "n", 2, 1.0, 0.0), (5, "c", 2, 1.0, 1.0), (5, "d", 2, 1.0, -1.0)]
+    scored = spark.createDataFrame(rows, "record int, term string, records int, weight double, llr double")
+    assert sorted(map(tuple, terms.best_terms(scored).collect())) == [(1, "a", True), (3, "y", False), (4, "n", False), (5, "c", True)]
+
+
+def test_best_term_is_the_greatest_weight(spark):
+    scored = terms.distinctive_terms(table(spark, sample(5)))
+    want: dict = {}
+    for r in scored.where("records >= 2").collect():
+        want[r["record"]] = min(want.get(r["record"], (1.0, "")), (-r["weight"], r["term"])) if r["record"] in want else (-r["weight"], r["term"])
+    assert {r["record"]: r["term"] for r in terms.best_terms(scored).collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_bitmaps_of_wide_and_odd_identifiers(spark):
+    rows = [(d, 1, 1, "a") for d in [*range(0, 200_000, 7), -1, -65_536, 2**40]] + [(d, 1, 2, "b") for d in range(64)]
+    index = terms.vertical_index(terms.occurrences(table(spark, rows)))
+    # a container a term and 65,536 identifiers, with its non-zero words only
+    assert index.where("term = 'b'").select("chunk", F.size("words"), "n").collect() == [(0, 1, 64)]
+    assert index.where("term = 'a'").count() == 4 + 2 and index.agg(F.max(F.size("words"))).first()[0] <= 1024
+    assert {r["term"]: r["records"] for r in terms.union_bitmaps(index, "term").collect()} == {"a": 28572 + 3, "b": 64}
+    assert terms.union_bitmaps(index).first()["records"] == 28572 + 3 + 64 - 10
+    # identifiers that are no integers, or sparse
+    tokens = table(spark, rows).select(F.concat(F.lit("r"), "doc_id").alias("doc_id"), "field", "token_pos", "term")
+    got = {r["term"]: (r["records"], r["mark"]) for r in terms.term_frequencies(tokens, dense=False).collect()}
+    assert got == {"a": (28575, "common"), "b": (64, None)}
 
 
 def test_join_counts_splits_heavy_keys(spark):
