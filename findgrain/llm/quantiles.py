@@ -7,27 +7,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Values below 2**BITS keep all digits; above, their leading BITS bits. That gives fewer than 2**LEVELS leaves for any bigint.
+#: Leading bits of a number that a leaf keeps: whole numbers below 2**BITS are exact.
 BITS = 11
-LEVELS = 16
+#: Any double has a leaf below 2**LEVELS: its sign, exponent and leading bits, in order.
+LEVELS = 22
+_ZERO = 1 << (LEVELS - 1)
+_STEP = 1 << (BITS - 1)
+_LEAST_EXPONENT, _MOST_EXPONENT = -1022, 1023
 NODE_SCHEMA = "level int, node long, n long"
 
 
 def quantize(v: Column) -> Column:
-    """Leaf of a value of 0 or more in the ordered universe; order is kept and the relative width of a leaf is under 0.1 percent."""
-    shift = F.length(F.bin(v)) - BITS
-    # shift is a column, so the division is spelled with the SQL operator
-    coded = shift * (1 << (BITS - 1)) + F.call_function("shiftright", v, shift)
-    return F.when(v < (1 << BITS), v).otherwise(coded).cast("long")
+    """Leaf of a number in the ordered universe; order is kept and a leaf is under 0.1 percent wide.
+
+    Any sign and fraction. Numbers nearer to zero than 2**-1022 count as zero, infinite ones are the ends; NaN and null have no leaf.
+    """
+    v = v.cast("double")
+    a = F.abs(v)
+    guess = F.floor(F.log2(a))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    # a logarithm may fall on the wrong side of a power of two
+    exponent = guess + F.when(two(guess + 1) <= a, 1).when(two(guess) > a, -1).otherwise(0)
+    exponent = F.least(F.greatest(exponent, F.lit(_LEAST_EXPONENT)), F.lit(_MOST_EXPONENT))
+    inside = (exponent - _LEAST_EXPONENT) * _STEP + F.floor(a / two(exponent) * _STEP) - _STEP + 1
+    size = F.when(a == float("inf"), _ZERO - 1).when(a < 2.0**_LEAST_EXPONENT, 0).otherwise(inside)
+    return F.when(v.isNull() | F.isnan(v), None).otherwise(_ZERO + F.when(v < 0, -size).otherwise(size)).cast("long")
 
 
 def leaf_value(leaf: np.ndarray) -> np.ndarray:
-    """Middle of a leaf's values; exact below 2**BITS."""
-    half = 1 << (BITS - 1)
-    leaf = np.asarray(leaf, dtype=np.int64)
-    shift = np.where(leaf < (1 << BITS), 0, leaf // half - 1)
-    low = np.where(shift == 0, leaf, (leaf - shift * half) << shift)
-    return low + np.where(shift > 0, (1 << shift) // 2, 0)
+    """The number of a leaf that is nearest to zero; whole numbers below 2**BITS come back as they were."""
+    place = np.asarray(leaf, dtype=np.int64) - _ZERO
+    size = np.abs(place)
+    exponent = (size - 1) // _STEP + _LEAST_EXPONENT
+    with np.errstate(over="ignore"):
+        out = np.ldexp(((size - 1) % _STEP + _STEP) / _STEP, exponent)
+    out = np.where(size == 0, 0.0, np.where(size >= _ZERO - 1, np.inf, out))
+    return np.where(place < 0, -out, out)
 
 
 def compress(level: np.ndarray, node: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,18 +82,17 @@ def _compressor(groups: list[str], k: int):
 def _compressed(nodes: DataFrame, groups: list[str], eps: float) -> DataFrame:
     kinds = dict(nodes.dtypes)
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), NODE_SCHEMA])
-    # a group has at most as many rows as the tree has nodes, 2 ** (LEVELS + 1), however many values it holds
+    # a group has at most as many rows as its values have leaves, and never more than 2 ** LEVELS, however many values it holds
     return nodes.groupBy(*groups).applyInPandas(_compressor(groups, int(np.ceil(LEVELS / eps))), schema)
 
 
 def build_digests(values: DataFrame, groups: list[str], value: str, *, eps: float = 0.001) -> DataFrame:
     """Digest ``(groups, level, node, n)`` per group; ranks found in it are wrong by at most ``eps`` of the group's size.
 
-    Null and negative values are left out; a null group is a group. No values give no digest. Counting per leaf combines before
-    the shuffle, so a group with a third of all values sends no more than its leaves.
+    Any numeric column, negative and fractional values too. Null and NaN values are left out; a null group is a group. No values give
+    no digest. Counting per leaf combines before the shuffle, so a group with a third of all values sends no more than its leaves.
     """
-    v = F.col(value).cast("long")
-    leaves = values.where(v >= 0).select(*groups, quantize(v).alias("node")).groupBy(*groups, "node").agg(F.count("*").alias("n"))
+    leaves = values.select(*groups, quantize(F.col(value)).alias("node")).where("node is not null").groupBy(*groups, "node").agg(F.count("*").alias("n"))
     return _compressed(leaves.select(*groups, F.lit(0).alias("level"), "node", "n"), groups, eps)
 
 
@@ -104,7 +118,7 @@ def percentiles(digests: DataFrame, groups: list[str], pcts: list[int]) -> DataF
             out.insert(i, g, pdf[g].iloc[0])
         return out
 
-    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "pct int, value long, size long"])
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "pct int, value double, size long"])
     return digests.groupBy(*groups).applyInPandas(one, schema)
 
 
@@ -113,3 +127,20 @@ def counted_queries(metrics: DataFrame, value: str, *, key: str = "query_id", ts
     ok = metrics.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & (F.col(value) >= 0))
     once = ok.groupBy(key).agg(F.min(ts).alias("t"), F.min(value).alias("value"))
     return once.select(F.date_format("t", "yyyy-MM-dd").alias("metric_day"), "value")
+
+
+def rank_errors(found: DataFrame, values: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """``(groups, pct, size, error)``: by how many ranks each row of ``percentiles`` is off, counted over all values.
+
+    0 where the leaf that was found holds the rank asked for. Groups and percentiles are joined to counts per leaf, not to values.
+    """
+    leaves = values.select(*groups, quantize(F.col(value)).alias("leaf")).where("leaf is not null").groupBy(*groups, "leaf").agg(F.count("*").alias("n"))
+    asked = found.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], "pct", "size", quantize(F.col("value")).alias("at"))
+    same = [F.col(g).eqNullSafe(F.col(f"g{i}")) for i, g in enumerate(groups)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    both = leaves.join(asked, on).groupBy(*groups, "pct", "size")
+    counted = both.agg(F.sum(F.when(F.col("leaf") < F.col("at"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("leaf") <= F.col("at"), F.col("n")).otherwise(0)).alias("upto"))
+    rank = F.least(F.expr("size * pct div 100"), F.col("size") - 1)
+    return counted.select(*groups, "pct", "size", F.greatest(F.lit(0), F.col("below") - rank, rank - F.col("upto") + 1).alias("error"))

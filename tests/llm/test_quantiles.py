@@ -7,12 +7,18 @@ from findgrain.llm import quantiles as q
 
 
 def test_quantize_keeps_order(spark):
-    values = sorted({0, 1, 2047, 2048, 2049, 4095, 4096, 10**6, 10**12, 2**62, 2**63 - 1, *(3**k for k in range(39))})
-    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", q.quantize(F.col("v")).alias("l")).orderBy("v").collect()
+    whole = {0, 1, 2047, 2048, 2049, 4095, 4096, 10**6, 10**12, 2**62, 2**63 - 1, *(3**k for k in range(39))}
+    fractions = {0.2, 0.9, 1e-300, 1e300, 0.1 + 0.2, 1 / 3, 2.0**-1022, 1.7976931348623157e308, *(2.0**k for k in range(-60, 60)), *(np.nextafter(2.0**k, 0) for k in range(-60, 60))}
+    values = sorted({float(s * v) for v in whole | fractions for s in (1, -1)})
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", q.quantize(F.col("v")).alias("l")).orderBy("v").collect()
     leaves = [r["l"] for r in rows]
-    assert leaves == sorted(leaves) and max(leaves) < 2**q.LEVELS
+    assert leaves == sorted(leaves) and 0 < min(leaves) and max(leaves) < 2**q.LEVELS
     back = q.leaf_value(np.array(leaves))
-    assert all(abs(int(b) - v) <= v / 1024 for b, v in zip(back, values)) and all(int(b) == v for b, v in zip(back, values) if v < 2048)
+    assert all(abs(b - v) <= abs(v) / 1024 for b, v in zip(back, values)) and all(b == v for b, v in zip(back, values) if v == int(v) and abs(v) < 2048)
+    odd = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),), (float("-inf"),), (5e-324,), (-0.0,)], "v double").select(q.quantize(F.col("v")).alias("l")).collect()
+    assert [r["l"] for r in odd[:2]] == [None, None] and list(q.leaf_value(np.array([r["l"] for r in odd[2:]]))) == [np.inf, -np.inf, 0, 0]
+    longs = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "v long").select(q.quantize(F.col("v")).alias("l")).collect()
+    assert max(r["l"] for r in longs) < 2**q.LEVELS
 
 
 def digest(values, k):
@@ -45,7 +51,26 @@ def test_exact_when_small(spark):
     df = spark.createDataFrame(rows, "g string, v long")
     digests = q.build_digests(df, ["g"], "v")
     got = {(r["g"], r["pct"]): r["value"] for r in q.percentiles(digests, ["g"], [0, 50, 99, 100]).collect()}
-    assert got == {("d1", 0): 0, ("d1", 50): 50, ("d1", 99): 99, ("d1", 100): 99, (None, 0): 7, (None, 50): 7, (None, 99): 7, (None, 100): 7}
+    same = {(g, p): v for g, v in ((None, 7), ("d2", -5)) for p in (0, 50, 99, 100)}
+    assert got == {("d1", 0): 0, ("d1", 50): 50, ("d1", 99): 99, ("d1", 100): 99} | same
+
+
+def test_negative_and_fractional_values(spark):
+    df = spark.createDataFrame([("g", v) for v in (-5.0, -4.0, -3.0, 0.2, 0.9, float("nan"))], "g string, v double")
+    got = q.percentiles(q.build_digests(df, ["g"], "v"), ["g"], [0, 50, 99]).collect()
+    assert {r["size"] for r in got} == {5} and [r["value"] for r in got[:2]] == [-5, -3] and abs(got[2]["value"] - 0.9) < 0.001
+
+
+def test_rank_errors(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"d{i % 2}", float(v)) for i, v in enumerate(rng.normal(0, 1e4, 20_000))], "g string, v double")
+    digests = q.build_digests(df, ["g"], "v", eps=0.02)
+    # nodes above the leaves: there is something to be wrong
+    assert digests.where("level > 0").count() > 0
+    errors = q.rank_errors(q.percentiles(digests, ["g"], [1, 50, 99]), df, ["g"], "v").collect()
+    assert len(errors) == 6 and all(r["size"] == 10_000 and r["error"] <= 200 for r in errors)
+    wrong = spark.createDataFrame([("d0", 50, -1e9, 10_000)], "g string, pct int, value double, size long")
+    assert q.rank_errors(wrong, df, ["g"], "v").first()["error"] == 5_001
 
 
 def test_merge_equals_whole(spark):
