@@ -15,9 +15,9 @@ PCTS = [50, 90, 99]
 
 
 def _runs(spark: SparkSession, sf: str, least: int) -> DataFrame:
-    log = read_table(spark, sf, "wal_entries").where("path is not null and event_type is not null")
-    log = with_plain_path(log.withColumn("code", event_code(F.col("event_type"))), "path", "file")
-    return runs.collapse_runs(log.where(F.col("code") != CHECKPOINT), F.col("file"), F.col("code"), least=least)
+    log = read_table(spark, sf, "wal_entries").select("seq", "timestamp_us", "event_type", "path", "received_at")
+    log = with_plain_path(log.withColumn("code", F.nullif(event_code(F.col("event_type")), F.lit(CHECKPOINT))), "path", "file")
+    return runs.collapse_runs(log, F.col("file"), F.col("code"), least=least)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +60,20 @@ def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("metric", "metric_day", "pct", "value", "size")
 
 
+def p5_rank_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether digests of a hundredth, in which nodes are merged at any size, keep their bound: ranks per day within it, those over all days within twice."""
+    metrics, eps, out = read_table(spark, sf, "query_metrics"), 0.01, None
+    for column in ("latency_ms", "result_count"):
+        values = quantiles.counted_queries(metrics, column)
+        days = quantiles.build_digests(values, ["metric_day"], "value", eps=eps)
+        every = quantiles.merge_digests(days.select(F.lit("all").alias("metric_day"), "level", "node", "n"), ["metric_day"], eps=eps)
+        for digests, rows, bound in ((days, values, eps), (every, values.withColumn("metric_day", F.lit("all")), 2 * eps)):
+            errors = quantiles.rank_errors(quantiles.percentiles(digests, ["metric_day"], PCTS), rows, ["metric_day"], "value")
+            part = errors.select(F.lit(column).alias("metric"), "metric_day", "pct", "size", (F.col("error") <= bound * F.col("size")).alias("within"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _unusable(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("score")
     bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")) | (s < 0)
@@ -67,6 +81,7 @@ def _unusable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The value asked for is n ln(N/d); it decides among the terms that the ratio test finds over-represented, and an exact check follows."""
     scored = terms.distinctive_terms(read_table(spark, sf, "tokens"), _unusable(spark, sf))
     return terms.best_terms(scored).select(F.col("record").alias("doc_id"), "term")
 
@@ -87,22 +102,21 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_leaks(spark, sf).where("verbatim > 0").select("doc_id", "item_id")
 
 
-def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    sized = mixing.sized_documents(read_table(spark, sf, "documents"))
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, list[mixing.Planned], int]:
+    sized = through_table(mixing.sized_documents(read_table(spark, sf, "documents")), "sized-documents")
     sources, total = mixing.read_sources(sized, read_table(spark, sf, "mix_targets"))
     plan = mixing.plan_mix(sources, total)
-    return spark.createDataFrame([(p.source.name,) for p in plan if not p.reachable], "source string")
+    return mixing.realise(sized, plan), plan, total
 
 
-def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, list[mixing.Planned]]:
-    sized = through_table(mixing.sized_documents(read_table(spark, sf, "documents")), "sized-documents")
-    plan = mixing.plan_mix(*mixing.read_sources(sized, read_table(spark, sf, "mix_targets")))
-    return mixing.realise(sized, plan), plan
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that stay below their share in the realised mix with every document used as often as it may be."""
+    return p9_shares(spark, sf).where("not reachable").select("source")
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
-    mix, _ = _mix(spark, sf)
+    mix, _, _ = _mix(spark, sf)
     return mix.select(F.col("doc").alias("doc_id"), "source", "tokens", "copies")
 
 
@@ -123,6 +137,7 @@ def queries() -> dict:
         p2_terms,
         p5_found,
         p5_percentiles,
+        p5_rank_error,
         p7_found,
         p7_scores,
         p8_found,

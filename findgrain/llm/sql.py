@@ -35,6 +35,13 @@ p AS (SELECT unnest([50, 90, 99])::INT AS pct)
 SELECT metric_day, pct FROM d, a, p WHERE d.s[len(d.s) * pct // 100 + 1] > 1.5 * a.s[len(a.s) * pct // 100 + 1]
 """
 
+P5_RANK = """
+WITH q AS (SELECT query_id, min(ts) AS ts, 'latency_ms' AS metric FROM query_metrics WHERE latency_ms >= 0 GROUP BY query_id
+  UNION ALL SELECT query_id, min(ts), 'result_count' FROM query_metrics WHERE result_count >= 0 GROUP BY query_id),
+g AS (SELECT metric, strftime(ts, '%Y-%m-%d') AS metric_day, count(*) AS size FROM q GROUP BY 1, 2 UNION ALL SELECT metric, 'all', count(*) FROM q GROUP BY 1)
+SELECT metric, metric_day, pct, size, true AS within FROM g, (SELECT unnest([50, 90, 99])::INT AS pct)
+"""
+
 _TFIDF = f"""
 WITH {_OCC}, tf AS (SELECT doc_id, term, count(*) AS n FROM o GROUP BY doc_id, term),
 t AS (SELECT term, count(*) AS files, sum(n)::BIGINT AS term_n FROM tf GROUP BY term),
@@ -74,6 +81,14 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (k, g)
 """
 
 
+# sized in tokens of the tokenizer whose tokens are bytes
+P9 = """
+WITH d AS (SELECT lower(trim(source)) AS source, strlen(text)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size) AS size FROM d GROUP BY source), w AS (SELECT sum(size) AS size FROM d)
+SELECT lower(trim(t.source)) AS source FROM mix_targets t LEFT JOIN s ON s.source = lower(trim(t.source)), w WHERE coalesce(s.size, 0) * t.max_repeats < t.target_share * w.size
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1,
@@ -81,7 +96,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2,
         "p2_terms": P2_TERMS,
         "p5_found": P5,
+        "p5_rank_error": P5_RANK,
         "p7_found": P7,
         "p7_scores": P7_SCORES,
         "p8_found": P8,
+        "p9_found": P9,
     }
