@@ -15,11 +15,26 @@ def _typed_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The next run over the files of the log. The tables hold no manifest of the runs before: it is taken over from what they had read."""
     upto = incremental.last_success(read_table(spark, sf, "index_runs")).first()["upto"]
-    is_checkpoint = F.coalesce(F.col("code") == EVENT_TYPES["Checkpoint"], F.lit(False))
-    log = _typed_log(spark, sf).where(~is_checkpoint)
+    at = f"{sf}/wal_entries.parquet"
+    columns = ["seq", "mtime_ns", "event_type", "received_at"]
+
+    def read(names: list[str], arrived=None) -> DataFrame:
+        log = spark.read.parquet(*names).where("seq is not null and received_at is not null")
+        log = log.select(*columns, F.col("_metadata.file_path").alias("file"))
+        log = log if arrived is None else log.where(arrived)
+        is_checkpoint = event_code(F.col("event_type")) == EVENT_TYPES["Checkpoint"]
+        return log.where(~F.coalesce(is_checkpoint, F.lit(False)))
+
     store = incremental.BatchStore(spark, fresh_dir(spark, "index-runs"))
-    return incremental.new_entries(spark, log, upto, store)
+    listing = incremental.list_files(spark, at)
+    if upto is not None:
+        after = F.col("received_at") > F.lit(upto)
+        later = spark.read.parquet(at).where(after).select(F.col("_metadata.file_path").alias("file")).distinct()
+        incremental.adopt(store, read([at], ~after), listing.join(later, "file", "left_anti"), key="seq", version="mtime_ns")
+    new = incremental.new_entries(store, listing, lambda names: read(names, None if upto is None else F.col("received_at") > F.lit(upto)))
+    return store.rows(new) if new is not None else read([at]).select("seq").limit(0)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,9 +15,10 @@ class Folder:
         self.spark = spark
         jvm = spark.sparkContext._jvm
         self._path_of = jvm.org.apache.hadoop.fs.Path
-        # a path without a scheme is a local one here, whatever the default file system is
-        self.uri = (uri if "://" in uri or uri.startswith("file:") else f"file://{uri}").rstrip("/")
-        self._fs = self._path_of(self.uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # a path without a scheme is one of the default file system, as for every table that Spark reads or writes
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path_of(uri).getFileSystem(conf)
+        self.uri = self._fs.makeQualified(self._path_of(uri)).toString().rstrip("/")
         self._utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
         self._io = jvm.org.apache.commons.io.IOUtils
         self._rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -61,13 +62,32 @@ class Folder:
         finally:
             stream.close()
 
-    def write_json(self, name: str, value: dict) -> None:
-        """Replaces a file whole: readers see the old one or the new one."""
+    def _put(self, name: str, value: dict, rename) -> None:
         new = f"{name}.{uuid.uuid4().hex}"
         stream = self._fs.create(self.path(new), True)
         stream.write(json.dumps(value).encode())
         stream.close()
         context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path().toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self._rename, 1)
-        options[0] = self._rename.OVERWRITE
-        context.rename(self.path(new), self.path(name), options)
+        options[0] = rename
+        try:
+            context.rename(self.path(new), self.path(name), options)
+        except Exception:
+            self._fs.delete(self.path(new), False)
+            raise
+
+    def write_json(self, name: str, value: dict) -> None:
+        """Replaces a file whole: readers see the old one or the new one."""
+        self._put(name, value, self._rename.OVERWRITE)
+
+    def create_json(self, name: str, value: dict) -> bool:
+        """Makes a file with its content at once; False where it was there already."""
+        if self.exists(name):
+            return False
+        try:
+            self._put(name, value, self._rename.NONE)
+        except Exception:
+            if self.exists(name):
+                return False
+            raise
+        return True
