@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findgrain.functions import analyze, paths
@@ -68,6 +68,20 @@ def path_bonus(path: Column, words: Column) -> Column:
     return F.get(bonus, F.lit(0))
 
 
+def with_path_bonus(rows: DataFrame, words: str = "words", path: str = "path", name: str = "bonus", longest: int = 1 << 30) -> DataFrame:
+    """``path_bonus`` as a column, in steps of which each is computed once. With few words at most (``longest``) it is compiled whole."""
+    p, n, h = F.col("b_path"), F.size(words), F.col("b_hits")
+    out = rows.withColumn("b_path", F.lower(path))
+    if longest <= 8:
+        hits = F.lit(0)
+        for i in range(longest):
+            hits = hits + F.coalesce(p.contains(F.get(words, F.lit(i))).cast("int"), F.lit(0))
+    else:
+        hits = F.size(F.filter(words, lambda w: p.contains(w)))
+    out = out.withColumn("b_hits", hits)
+    return out.withColumn(name, 0.2 * h + F.when((n > 1) & (h > 1), h / n).otherwise(0.0)).drop("b_path", "b_hits")
+
+
 @dataclass(frozen=True)
 class NameParts:
     """What scoring by name needs of a path: computed once per file where many queries meet it."""
@@ -92,16 +106,14 @@ class NameParts:
         return [getattr(self, f).alias(prefix + f) for f in self.__dataclass_fields__]
 
 
-def name_score(path: Column | NameParts, query: Column, words: Column) -> Column:
-    """How well a file name answers a query: layers for the whole phrase, for each word, for all words and their order.
+def with_name_score(rows: DataFrame, query: str = "q", words: str = "words", path: str = "path", name: str = "name") -> DataFrame:
+    """Adds how well a file name answers a query: layers for the whole phrase, for each word, for all words and their order.
 
-    ``query`` is lower-case, ``words`` are its query words. 0 where nothing fits; above 0 the location boost is added.
+    ``query`` is lower-case, ``words`` are its query words. 0 where nothing fits; above 0 the location boost is added. In steps, of
+    which each is computed once. A filter on the score would move below it and compute it twice: better to go on with nulls.
     """
-    f = path if isinstance(path, NameParts) else NameParts.of(path)
-
-    whole = F.when((f.name == query) | (f.stem == query), 250.0).when(F.array_contains(f.stem_words, query), 180.0).otherwise(0.0)
-    prefix = F.when(f.name.startswith(query) | f.stem.startswith(query), 160.0).otherwise(0.0)
-    inside = F.when(f.name.contains(query) | f.stem.contains(query) | (query.contains("/") & f.path.contains(query)), 110.0).otherwise(0.0)
+    f, q, n = NameParts.named(), F.col(query), F.size(words)
+    each, at = F.col("s_each"), F.col("s_at")
 
     def points(w: Column) -> Column:
         return (
@@ -112,17 +124,18 @@ def name_score(path: Column | NameParts, query: Column, words: Column) -> Column
             .otherwise(0.0)
         )
 
-    per_word = F.transform(words, points)
-    n = F.size(words)
-    some = F.aggregate(per_word, F.lit(0.0), lambda a, x: a + x)
-    every = F.when((n > 0) & F.forall(per_word, lambda x: x >= 22.0), 80.0).otherwise(0.0)
-    at = F.transform(words, lambda w: F.position(w, f.name))
-    steps = F.zip_with(F.slice(at, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(at, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a <= b)
-    ordered = F.when((n > 1) & F.forall(at, lambda x: x > 0) & F.forall(steps, lambda ok: ok), 50.0).otherwise(0.0)
-
-    score = whole + prefix + inside + some + every + ordered
-    wrong_extension = query.contains(".") & ~f.name.contains(query) & ~f.path.contains(query)
-    return F.when(wrong_extension | (score <= 0), 0.0).otherwise(score + f.location)
+    out = rows.select("*", *NameParts.of(F.col(path)).columns())
+    out = out.withColumn("s_each", F.transform(words, points)).withColumn("s_at", F.transform(words, lambda w: F.position(w, f.name)))
+    whole = F.when((f.name == q) | (f.stem == q), 250.0).when(F.array_contains(f.stem_words, q), 180.0).otherwise(0.0)
+    prefix = F.when(f.name.startswith(q) | f.stem.startswith(q), 160.0).otherwise(0.0)
+    inside = F.when(f.name.contains(q) | f.stem.contains(q) | (q.contains("/") & f.path.contains(q)), 110.0).otherwise(0.0)
+    some = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    every = F.when((n > 0) & (F.array_min(each) >= 22.0), 80.0).otherwise(0.0)
+    ordered = F.when((n > 1) & (F.array_min(at) > 0) & (F.sort_array(at) == at), 50.0).otherwise(0.0)
+    out = out.withColumn("s_sum", whole + prefix + inside + some + every + ordered)
+    wrong_extension = q.contains(".") & ~f.name.contains(q) & ~f.path.contains(q)
+    score = F.when(wrong_extension | (F.col("s_sum") <= 0), 0.0).otherwise(F.col("s_sum") + f.location)
+    return out.select(*rows.columns, score.alias(name))
 
 
 def name_gate(path: Column | NameParts, query: Column, words: Column, literal: Column) -> Column:

@@ -4,25 +4,49 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from findgrain.functions import analyze, paths
+from findgrain.functions import analyze, distance, paths, scoring
 from findgrain.functions.scoring import FIELD_CONTENT, FIELD_NAME, FIELD_PATH
 from findgrain.session import spread, through_table
 
 
+@dataclass
+class Lookups:
+    """Tables by which searches find names without looking at all of them, each sorted by its first column.
+
+    ``forms`` (form, name): every name term, and it with one or two letters left out. ``sounds`` (code, name): its phonetic code.
+    ``triples`` (t, segment) and ``triple_counts`` (t, n): letter triples of distinct lower-case path components, ``placed``
+    (segment, doc_id, is_name) the files that have them. ``stem_triples`` (t, stem, size) and ``stems`` (stem, doc_id): the
+    same for file names without extension.
+    """
+
+    forms: DataFrame
+    sounds: DataFrame
+    triples: DataFrame
+    triple_counts: DataFrame
+    placed: DataFrame
+    stem_triples: DataFrame
+    stems: DataFrame
+
+    def named(self) -> dict[str, DataFrame]:
+        return {f: getattr(self, f) for f in self.__dataclass_fields__}
+
+
 @dataclass
 class Index:
     """``files`` (doc_id, path, size, mtime_ns, tag, doc_len), ``postings`` (term, doc_id, field, tf), with whether terms are stems.
 
-    ``terms`` is the vocabulary as a table; where it is missing it is counted when first asked for, and kept.
+    ``terms`` is the vocabulary and ``found_by`` the lookups of names as tables; where they are missing they are made when first asked for, and kept.
     """
 
     files: DataFrame
     postings: DataFrame
     stems: bool = False
     terms: DataFrame | None = None
+    found_by: Lookups | None = None
+    sizes: Row | None = None
 
     @property
     def vocabulary(self) -> DataFrame:
@@ -31,10 +55,43 @@ class Index:
             self.terms = through_table(vocabulary(self.postings), "vocabulary")
         return self.terms
 
+    @property
+    def lookups(self) -> Lookups:
+        if self.found_by is None:
+            made = lookups(self.files, self.vocabulary)
+            self.found_by = Lookups(**{name: through_table(table, name) for name, table in made.named().items() if name != "triple_counts"}, triple_counts=None)
+            self.found_by.triple_counts = through_table(triple_counts(self.found_by.triples), "triple-counts")
+        return self.found_by
+
     @property
     def stats(self) -> DataFrame:
         return collection_stats(self.files)
 
+    @property
+    def totals(self) -> Row:
+        """The one row of ``stats``, read once."""
+        if self.sizes is None:
+            self.sizes = self.stats.first()
+        return self.sizes
+
+
+def triple_counts(triples: DataFrame) -> DataFrame:
+    return triples.groupBy("t").agg(F.count("*").alias("n"))
+
+
+def lookups(files: DataFrame, vocabulary: DataFrame) -> Lookups:
+    names = vocabulary.where("is_name").select(F.col("term").alias("name"))
+    forms = names.select(F.explode(distance.deletions(F.col("name"), 2)).alias("form"), "name")
+    sounds = names.select(analyze.sound("name").alias("code"), "name").where("code <> ''")
+    split = files.where("path is not null").select("doc_id", F.split(F.lower("path"), "/").alias("parts"))
+    every = split.select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "segment")).where("segment <> ''")
+    placed = every.groupBy("segment", "doc_id").agg(F.max(F.col("at") == F.col("n") - 1).alias("is_name"))
+    triples = placed.select("segment").distinct().select(F.explode(scoring.trigrams(F.col("segment"))).alias("t"), "segment")
+    stem = F.lower(F.regexp_replace(paths.file_name(F.col("path")), r"\.[^.]*$", ""))
+    stems = files.where("path is not null").select(stem.alias("stem"), "doc_id")
+    stem_triples = stems.select("stem").distinct().select(F.explode(scoring.trigrams(F.col("stem"))).alias("t"), "stem", (F.length("stem") - 2).alias("size"))
+    return Lookups(forms, sounds, triples, triple_counts(triples), placed, stem_triples, stems)
+
 
 def relative_dir(path: Column, root: Column) -> Column:
     """The folder of a file below its root; components above the root say nothing about it."""

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findgrain.operators.index import Index, vocabulary
+from findgrain.operators.index import Index, Lookups, lookups, vocabulary
 from findgrain.sources.store import Folder
 
 
@@ -99,7 +99,7 @@ class Generations:
     A reader that holds an old generation keeps it until ``remove_old``; a crash before the swap leaves the old manifest.
     """
 
-    VERSION = 1
+    VERSION = 2
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.folder = spark, Folder(spark, root)
@@ -120,7 +120,11 @@ class Generations:
         files.write.mode("overwrite").parquet(f"{at}/files")
         written = self.spark.read.parquet(f"{at}/postings")
         vocabulary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/vocabulary")
-        count = self.spark.read.parquet(f"{at}/files").count()
+        kept, terms = self.spark.read.parquet(f"{at}/files"), self.spark.read.parquet(f"{at}/vocabulary")
+        for name, table in lookups(kept, terms).named().items():
+            first = table.columns[0]
+            table.repartitionByRange(first).sortWithinPartitions(first).write.mode("overwrite").parquet(f"{at}/{name}")
+        count = kept.count()
         new = {"version": self.VERSION, "generation": n, "stems": index.stems, "snapshot_seq": snapshot_seq, "doc_count": count, "written_at": int(time.time())}
         self.folder.write_json("manifest.json", new)
         return n
@@ -133,7 +137,9 @@ class Generations:
         files = self.spark.read.parquet(f"{at}/files")
         if verify and files.count() != m["doc_count"]:
             return None
-        return Index(files, self.spark.read.parquet(f"{at}/postings"), m["stems"], self.spark.read.parquet(f"{at}/vocabulary"))
+        table = lambda name: self.spark.read.parquet(f"{at}/{name}")
+        found_by = Lookups(**{name: table(name) for name in Lookups.__dataclass_fields__})
+        return Index(files, table("postings"), m["stems"], table("vocabulary"), found_by)
 
     def remove_old(self) -> list[str]:
         m = self.manifest

@@ -95,10 +95,12 @@ def search_post_filtered(spark, sf):
 
 
 def name_score(spark, sf):
-    asked = _asked(spark).select("query_id", "q", "words", "literal")
-    pairs = fixtures.files(spark, sf).select("doc_id", "path").where("path is not null").join(F.broadcast(asked))
-    pairs = pairs.where(scoring.name_gate(F.col("path"), F.col("q"), F.col("words"), F.col("literal")))
-    return pairs.select("query_id", "doc_id", scoring.name_score(F.col("path"), F.col("q"), F.col("words")).alias("score")).where("score > 0")
+    """Files scored by name: those in whose name, or path for a literal query, a word of the query is found."""
+    files = fixtures.files(spark, sf).where("path is not null")
+    index = ix.Index(files, None, found_by=_name_lookups(spark, sf))
+    asked = _asked(spark)
+    pairs = search.name_candidates(index, asked, asked.collect()).join(asked.select("query_id", "q", "words"), "query_id").join(files.select("doc_id", "path"), "doc_id")
+    return scoring.with_name_score(pairs).select("query_id", "doc_id", F.col("name").alias("score")).where("score > 0")
 
 
 def recency_boost(spark, sf):
@@ -158,20 +160,25 @@ def _names(spark, sf):
     return ix.vocabulary(ix._counted(ix.name_occurrences(fixtures.files(spark, sf)), False)).select("term")
 
 
+def _name_lookups(spark, sf):
+    names = _names(spark, sf).withColumn("is_name", F.lit(True))
+    return ix.lookups(fixtures.files(spark, sf), names)
+
+
 def fuzzy_terms_k1(spark, sf):
     """Names within one edit of query words of up to four letters, which have radius 1."""
     words = spark.createDataFrame([("scna",), ("plna",), ("lgo",), ("note",), ("idea",), ("spce",), ("copi",)], "term string")
-    return search.fuzzy_matches(words, _names(spark, sf)).select("term", "name", "distance")
+    return search.fuzzy_matches(words, _name_lookups(spark, sf).forms).select("term", "name", "distance")
 
 
 def fuzzy_terms_k2(spark, sf):
     words = spark.createDataFrame([("inventry",), ("sumary",), ("reprot",), ("skecth",), ("budgte",), ("trvl",)], "term string")
-    return search.fuzzy_matches(words, _names(spark, sf)).select("term", "name", "distance")
+    return search.fuzzy_matches(words, _name_lookups(spark, sf).forms).select("term", "name", "distance")
 
 
 def phonetic_terms(spark, sf):
     words = spark.createDataFrame([("inventari",), ("minits",), ("resipe",), ("skech",), ("bujet",)], "term string")
-    return search.phonetic_matches(words, _names(spark, sf))
+    return search.phonetic_matches(words, _name_lookups(spark, sf).sounds)
 
 
 def stemmed_terms(spark, sf):
@@ -195,7 +202,8 @@ def trigram_jaccard(spark, sf):
 
 def trigram_fallback(spark, sf):
     asked = spark.createDataFrame([(1, ["inventry"]), (2, ["traval", "plans"]), (3, ["minutess"])], "query_id int, words array<string>")
-    rows = search.trigram_hits(fixtures.files(spark, sf).where("path is not null"), asked)
+    files = fixtures.files(spark, sf).where("path is not null")
+    rows = search.trigram_hits(ix.Index(files, None, found_by=_name_lookups(spark, sf)), asked).join(files.select("doc_id", "path"), "doc_id")
     tail = search.approximate_tail(rows.withColumn("score", F.round("score", 6)))
     return tail.select("query_id", "doc_id", "score")
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -50,16 +54,33 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return at
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Deletes the tables this application wrote to the shared folder on its way. DataFrames that still read them are lost."""
-    made = _made.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, made: list[str]) -> None:
     path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     for at in made:
         path = path_of(at)
         path.getFileSystem(conf).delete(path, True)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables this application wrote to the shared folder on its way. DataFrames that still read them are lost."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, made)
     return len(made)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables made inside are deleted on the way out; what is made of them must be complete by then."""
+    key = spark.sparkContext.applicationId
+    before = _made.get(key, [])
+    _made[key] = []
+    try:
+        yield
+    finally:
+        made, _made[key] = _made[key], before
+        _delete(spark, made)
+
+
 def through_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -71,6 +92,14 @@ def through_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.schema(df.schema).parquet(at) if not partition_by else spark.read.parquet(at)
 
 
+def local_rows(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """Few rows of the driver as a relation whose size the planner knows, so that joins with it are broadcast."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], type=to_arrow_type(f.dataType)) for i, f in enumerate(schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over all cores, where their files give fewer partitions than that, as one small file does.
 
