@@ -185,6 +185,13 @@ class Document:
         self.inner: Counter | None = None
         self.plain: set[str] | None = None
 
+    def _alone(self, word: str) -> bool:
+        """Whether the word has a point here only, so that no other place can show anything; long texts do not ask, they have it gathered."""
+        if len(self.text) > 20_000:
+            return False
+        pointed = word + "."
+        return self.text.find(pointed, self.text.find(pointed) + 1) < 0
+
     def _gather(self) -> None:
         if self.words is None:
             self.words = set(BARE_WORD.findall(self.text))
@@ -217,7 +224,7 @@ class Document:
 
     def shortens(self, word: str, kind: str) -> bool:
         """Whether this document has the word elsewhere with a point inside a clause, and nowhere without a point."""
-        if self._inner()[word] <= (kind in "lp"):
+        if self._alone(word) or self._inner()[word] <= (kind in "lp"):
             return False
         self._gather()
         return word not in self.words
@@ -227,6 +234,8 @@ class Document:
 
         ``kind`` is what follows here, which is no evidence for itself; a digit is none against a sentence that starts with one.
         """
+        if self._alone(word):
+            return False
         self._gather()
         if word in self.words:
             return False
@@ -254,13 +263,14 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
         return kind != "p"
     last = key.rpartition(".")[2]
     word = key == last and len(last) > 1
-    # an initial or a chain shows nothing of itself elsewhere; a word is what the document shows of it without doubt
-    if word and spaced and kind not in "ldp" and doc.uses_plain(last):
-        return True
-    shown = word and kind in "ldpU" and doc.shortens(last, kind)
     # what the corpus knows of it, else the seed list
     known = lex.of(key)
-    if shown and known not in (NEVER, MAY):
+    # a word is what the document shows of it without doubt, whatever is known; an initial or a chain shows nothing of itself elsewhere.
+    # The document is read where it can change the outcome: a plain word ends the sentence, as all but abbreviations do anyway
+    if word and known == NEVER and spaced and kind not in "ldp" and doc.uses_plain(last):
+        return True
+    shown = word and known not in (NEVER, MAY) and kind in "ldpU" and doc.shortens(last, kind)
+    if shown:
         return kind == "U" and not _name_follows(s, j, b, doc)
     if known == ORDINARY:
         return True
