@@ -17,21 +17,22 @@ _LEAST_EXPONENT, _MOST_EXPONENT = -1022, 1023
 NODE_SCHEMA = "level int, node long, n long"
 
 
-def quantize(v: Column) -> Column:
-    """Leaf of a number in the ordered universe; order is kept and a leaf is under 0.1 percent wide.
+def quantize(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the leaf of a number in the ordered universe; order is kept and a leaf is under 0.1 percent wide.
 
     Any sign and fraction. Numbers nearer to zero than 2**-1022 count as zero, infinite ones are the ends; NaN and null have no leaf.
     """
-    v = v.cast("double")
-    a = F.abs(v)
-    guess = F.floor(F.log2(a))
-    two = lambda e: F.pow(F.lit(2.0), e)
+    # in steps, so that nothing is computed twice where it is used twice
+    v, a, e, p = (F.col(f"{name}_{part}") for part in ("v", "a", "e", "p"))
+    out = rows.withColumn(f"{name}_v", F.col(value).cast("double")).withColumn(f"{name}_a", F.abs(v))
+    out = out.withColumn(f"{name}_e", F.least(F.greatest(F.floor(F.log2(a)), F.lit(_LEAST_EXPONENT)), F.lit(_MOST_EXPONENT)))
+    out = out.withColumn(f"{name}_p", F.pow(F.lit(2.0), e))
     # a logarithm may fall on the wrong side of a power of two
-    exponent = guess + F.when(two(guess + 1) <= a, 1).when(two(guess) > a, -1).otherwise(0)
-    exponent = F.least(F.greatest(exponent, F.lit(_LEAST_EXPONENT)), F.lit(_MOST_EXPONENT))
-    inside = (exponent - _LEAST_EXPONENT) * _STEP + F.floor(a / two(exponent) * _STEP) - _STEP + 1
+    place = (e - _LEAST_EXPONENT) * _STEP + 1
+    inside = F.when(a < p, place - _STEP + F.floor(a / p * (2 * _STEP)) - _STEP).when(a / p >= 2, place + F.floor(a / p * (_STEP // 2))).otherwise(place + F.floor(a / p * _STEP) - _STEP)
     size = F.when(a == float("inf"), _ZERO - 1).when(a < 2.0**_LEAST_EXPONENT, 0).otherwise(inside)
-    return F.when(v.isNull() | F.isnan(v), None).otherwise(_ZERO + F.when(v < 0, -size).otherwise(size)).cast("long")
+    leaf = F.when(v.isNull() | F.isnan(v), None).otherwise(_ZERO + F.when(v < 0, -size).otherwise(size)).cast("long")
+    return out.withColumn(name, leaf).drop(*[f"{name}_{part}" for part in ("v", "a", "e", "p")])
 
 
 def leaf_value(leaf: np.ndarray) -> np.ndarray:
@@ -92,7 +93,13 @@ def build_digests(values: DataFrame, groups: list[str], value: str, *, eps: floa
     Any numeric column, negative and fractional values too. Null and NaN values are left out; a null group is a group. No values give
     no digest. Counting per leaf combines before the shuffle, so a group with a third of all values sends no more than its leaves.
     """
-    leaves = values.select(*groups, quantize(F.col(value)).alias("node")).where("node is not null").groupBy(*groups, "node").agg(F.count("*").alias("n"))
+    rows = values.select(*groups, F.col(value).alias("node_of"))
+    if dict(rows.dtypes)["node_of"] in ("tinyint", "smallint", "int", "bigint"):
+        # whole numbers repeat: counted as they are, each is placed in the tree once
+        rows = rows.groupBy(*groups, "node_of").agg(F.count("*").alias("times"))
+    else:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    leaves = quantize(rows, "node_of", "node").where("node is not null").groupBy(*groups, "node").agg(F.sum("times").alias("n"))
     return _compressed(leaves.select(*groups, F.lit(0).alias("level"), "node", "n"), groups, eps)
 
 
@@ -134,8 +141,8 @@ def rank_errors(found: DataFrame, values: DataFrame, groups: list[str], value: s
 
     0 where the leaf that was found holds the rank asked for. Groups and percentiles are joined to counts per leaf, not to values.
     """
-    leaves = values.select(*groups, quantize(F.col(value)).alias("leaf")).where("leaf is not null").groupBy(*groups, "leaf").agg(F.count("*").alias("n"))
-    asked = found.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], "pct", "size", quantize(F.col("value")).alias("at"))
+    leaves = quantize(values.select(*groups, F.col(value).alias("leaf_of")), "leaf_of", "leaf").where("leaf is not null").groupBy(*groups, "leaf").agg(F.count("*").alias("n"))
+    asked = quantize(found.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)], "pct", "size", "value"), "value", "at")
     same = [F.col(g).eqNullSafe(F.col(f"g{i}")) for i, g in enumerate(groups)]
     on = same[0]
     for s in same[1:]:

@@ -10,14 +10,14 @@ def test_quantize_keeps_order(spark):
     whole = {0, 1, 2047, 2048, 2049, 4095, 4096, 10**6, 10**12, 2**62, 2**63 - 1, *(3**k for k in range(39))}
     fractions = {0.2, 0.9, 1e-300, 1e300, 0.1 + 0.2, 1 / 3, 2.0**-1022, 1.7976931348623157e308, *(2.0**k for k in range(-60, 60)), *(np.nextafter(2.0**k, 0) for k in range(-60, 60))}
     values = sorted({float(s * v) for v in whole | fractions for s in (1, -1)})
-    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", q.quantize(F.col("v")).alias("l")).orderBy("v").collect()
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").transform(lambda d: q.quantize(d, "v", "l")).orderBy("v").collect()
     leaves = [r["l"] for r in rows]
     assert leaves == sorted(leaves) and 0 < min(leaves) and max(leaves) < 2**q.LEVELS
     back = q.leaf_value(np.array(leaves))
     assert all(abs(b - v) <= abs(v) / 1024 for b, v in zip(back, values)) and all(b == v for b, v in zip(back, values) if v == int(v) and abs(v) < 2048)
-    odd = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),), (float("-inf"),), (5e-324,), (-0.0,)], "v double").select(q.quantize(F.col("v")).alias("l")).collect()
+    odd = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),), (float("-inf"),), (5e-324,), (-0.0,)], "v double").transform(lambda d: q.quantize(d, "v", "l")).collect()
     assert [r["l"] for r in odd[:2]] == [None, None] and list(q.leaf_value(np.array([r["l"] for r in odd[2:]]))) == [np.inf, -np.inf, 0, 0]
-    longs = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "v long").select(q.quantize(F.col("v")).alias("l")).collect()
+    longs = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "v long").transform(lambda d: q.quantize(d, "v", "l")).collect()
     assert max(r["l"] for r in longs) < 2**q.LEVELS
 
 
