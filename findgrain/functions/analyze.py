@@ -48,6 +48,12 @@ def stemmed(terms: pd.Series) -> pd.Series:
     return terms.map({t: stem.stem(t) for t in terms.dropna().unique()})
 
 
+@F.pandas_udf(StringType())
+def stemmed_all(texts: pd.Series) -> pd.Series:
+    """Stems of words divided by single blanks."""
+    return texts.map(lambda t: t if t is None else " ".join(stem.stem(w) for w in t.split(" ")))
+
+
 @F.pandas_udf(StringType())
 def sound(terms: pd.Series) -> pd.Series:
     return terms.map({t: phonetic.phonetic_code(t) for t in terms.dropna().unique()})

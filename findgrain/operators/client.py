@@ -12,27 +12,40 @@ from findgrain.functions import paths
 
 MIN_QUERY = 2
 HISTORY = 50
-# How the chips of a query look. Chip sizes count in powers of 1024, unlike the filters.
+# How the chips of a query look, in the order in which they are taken out of it. Chip sizes count in powers of 1024, unlike the filters.
 CHIPS = {
-    "kind": r"(?i)\bkind:(\S+)",
-    "in": r"(?i)\bin:(\S+)",
-    "after": r"(?i)\bafter:(\d{4}(?:-\d{2}){0,2})",
-    "before": r"(?i)\bbefore:(\d{4}(?:-\d{2}){0,2})",
-    "size": r"(?i)\bsize:([<>]\d+(?:b|kb|mb|gb)?)",
-    "tag": r"(?i)\btag:(\S+)",
-    "content": r"content:\"([^\"]*)\"",
-    "exclude": r"(?:^|\s)-(\S+)",
+    "kind": r"kind:(\w+)",
+    "in": r"in:([\w~/.-]+)",
+    "after": r"after:([\d-]+)",
+    "before": r"before:([\d-]+)",
+    "size": r"(?i)size:([><]\d+(?:mb|gb|kb))",
+    "tag": r"tag:(\w+)",
+    "content": r"content:\"([^\"]+)\"",
 }
 
 
 def chips(query: Column) -> dict[str, Column]:
-    """The first value of each kind of chip, null without one."""
-    return {name: F.nullif(F.regexp_extract(query, pattern, 1), F.lit("")) for name, pattern in CHIPS.items()}
+    """The first value of each kind of chip, null without one; the words excluded; and the text that is left.
+
+    A chip is taken out of the query wherever it stands in the same spelling. What is left is divided at blanks: a hyphen before
+    letters, digits and underscores alone excludes that word, other words are the text.
+    """
+    out, rest = {}, query
+    for name, pattern in CHIPS.items():
+        pattern = "(?U)" + pattern
+        token = F.regexp_extract(rest, pattern, 0)
+        out[name] = F.nullif(F.regexp_extract(rest, pattern, 1), F.lit(""))
+        rest = F.when(token == "", rest).otherwise(F.replace(rest, token, F.lit("")))
+    words = F.filter(F.split(rest, r"(?U)\s+"), lambda w: w != "")
+    excludes = lambda w: w.rlike(r"^-[\p{L}\p{N}_]+$")
+    out["exclude"] = F.transform(F.filter(words, excludes), lambda w: F.substr(w, F.lit(2)))
+    out["text"] = F.array_join(F.filter(words, lambda w: ~excludes(w)), " ")
+    return out
 
 
 def chip_bytes(size: str) -> int | None:
-    m = re.fullmatch(r"[<>](\d+)(b|kb|mb|gb|)", size.lower())
-    return int(m[1]) * {"": 1, "b": 1, "kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30}[m[2]] if m else None
+    m = re.fullmatch(r"[<>](\d+)(kb|mb|gb)", size.lower())
+    return int(m[1]) << {"kb": 10, "mb": 20, "gb": 30}[m[2]] if m else None
 
 
 def long_enough(query: Column) -> Column:

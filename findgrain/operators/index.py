@@ -36,7 +36,7 @@ class Lookups:
 
 @dataclass
 class Index:
-    """``files`` (doc_id, path, size, mtime_ns, tag, doc_len), ``postings`` (term, doc_id, field, tf), with whether terms are stems.
+    """``files`` (doc_id, path, size, mtime_ns, tag, is_dir, doc_len), ``postings`` (term, doc_id, field, tf), with whether terms are stems.
 
     ``terms`` is the vocabulary and ``found_by`` the lookups of names as tables; where they are missing they are made when first asked for, and kept.
     """
@@ -141,13 +141,14 @@ def collection_stats(files: DataFrame) -> DataFrame:
 
 
 def build_index(files: DataFrame, *, stems: bool = False) -> Index:
-    """An index over ``files`` (doc_id, path, root, size, mtime_ns, tag, content), one row per id.
+    """An index over ``files`` (doc_id, path, root, size, mtime_ns, tag, content, and is_dir where folders are among them), one row per id.
 
-    Rows without id or path are left out. Null content has no terms.
+    Rows without id or path are left out. Null content has no terms. A folder is a document with a name and no content.
     """
     ok = files.where("doc_id is not null and path is not null")
+    ok = ok.withColumn("is_dir", F.coalesce("is_dir", F.lit(False)) if "is_dir" in files.columns else F.lit(False))
     # as a table: lengths, vocabulary and searches read it, texts are analysed once
     postings = through_table(postings_of(spread(ok), stems), "postings")
-    meta = ok.select("doc_id", "path", "root", "size", "mtime_ns", "tag")
+    meta = ok.select("doc_id", "path", "root", "size", "mtime_ns", "tag", "is_dir")
     lengths = doc_lengths(postings)
     return Index(through_table(meta.join(lengths, "doc_id", "left").fillna(0, ["doc_len"]), "files"), postings, stems)

@@ -112,10 +112,10 @@ def prepared(requests: DataFrame, stems: bool = False) -> DataFrame:
     return out.withColumn("terms", F.when(F.col("literal"), F.array().cast("array<string>")).otherwise(terms)).drop("cut")
 
 
-def file_kinds(path: Column) -> Column:
-    """Extension and the names of the kind of a file."""
+def file_kinds(path: Column, is_dir: Column | None = None) -> Column:
+    """Extension and the names of the kind of a file, or of a folder."""
     ext = paths.extension(paths.file_name(path))
-    names = F.when(ext.isin(IMAGE_TYPES), F.array(*map(F.lit, KIND_NAMES["image"]))).when(ext.isin(CODE_TYPES), F.array(*map(F.lit, KIND_NAMES["code"])))
+    names = F.when(F.lit(False) if is_dir is None else is_dir, F.array(*map(F.lit, KIND_NAMES["folder"]))).when(ext.isin(IMAGE_TYPES), F.array(*map(F.lit, KIND_NAMES["image"]))).when(ext.isin(CODE_TYPES), F.array(*map(F.lit, KIND_NAMES["code"])))
     return F.array_append(names.otherwise(F.array(*map(F.lit, KIND_NAMES["document"]))), ext)
 
 
@@ -125,10 +125,10 @@ def day_ns(day: Column) -> Column:
     return (F.datediff(first, F.lit("1970-01-01").cast("date")).cast("long") + F.substring(day, 9, 2).cast("long") - 1) * 86_400_000_000_000
 
 
-def matches(r: str = "") -> Column:
-    """Whether a file (path, size, mtime_ns, tag) passes the filters of a request in columns prefixed ``r``. A missing attribute fails its filter."""
+def matches(r: str = "", is_dir: Column | None = None) -> Column:
+    """Whether a file (path, size, mtime_ns, tag; a folder by ``is_dir``) passes the filters of a request in columns prefixed ``r``. A missing attribute fails its filter."""
     c = lambda n: F.col(r + n)
-    kinds = file_kinds(F.col("path"))
+    kinds = file_kinds(F.col("path"), is_dir)
     folder, name = F.lower(paths.directory(F.col("path"))), F.lower(paths.file_name(F.col("path")))
     tags = F.split(F.lower(F.coalesce(F.col("tag"), F.lit(""))), ",")
     ok = (
@@ -145,14 +145,22 @@ def matches(r: str = "") -> Column:
 
 
 def parse_engine_query(query: Column) -> dict[str, Column]:
-    """The low-level grammar: scope from ``in:``, ``key:value`` filters, terms of the rest, and the intent."""
+    """The low-level grammar: scope from the last ``in:``, ``key:value`` filters with a letter in them (the last of a key counts), stemmed terms of the rest, and the intent.
+
+    A query that leaves no terms is read again as the words without a colon.
+    """
     parts = F.filter(F.split(F.trim(query), r"\s+"), lambda p: p != "")
+    is_filter = lambda p: p.contains(":") & p.rlike(r"\p{IsAlphabetic}")
     scoped = F.filter(parts, lambda p: p.startswith("in:"))
-    filters = F.filter(parts, lambda p: ~p.startswith("in:") & p.contains(":") & p.rlike(r"\p{IsAlphabetic}"))
-    pairs = F.transform(filters, lambda p: F.struct(F.substring_index(p, ":", 1).alias("key"), F.expr("1").alias("x"), p.alias("p")))
-    keys = F.transform(pairs, lambda s: s["key"])
-    rest = F.filter(parts, lambda p: ~p.startswith("in:") & ~(p.contains(":") & p.rlike(r"\p{IsAlphabetic}")))
-    terms = analyze.index_terms(F.array_join(rest, " "))
+    given = F.filter(parts, lambda p: ~p.startswith("in:") & is_filter(p))
+    keys = F.array_distinct(F.transform(given, lambda p: F.substring_index(p, ":", 1)))
+    value = lambda k: F.try_element_at(F.filter(given, lambda p: F.substring_index(p, ":", 1) == k), F.lit(-1))
+    filters = F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.substr(value(k), F.length(k) + 2).alias("value"))))
+    rest = F.array_join(F.filter(parts, lambda p: ~p.startswith("in:") & ~is_filter(p)), " ")
+    again = F.array_join(F.filter(parts, lambda p: ~p.contains(":")), " ")
+    words = analyze.index_terms(F.when(F.size(analyze.index_terms(rest)) > 0, rest).otherwise(again))
+    terms = F.split(analyze.stemmed_all(F.array_join(words, " ")), " ")
+    terms = F.filter(terms, lambda t: t != "")
     intent = (
         F.when(F.array_contains(keys, "after") | F.array_contains(keys, "before"), "Recovery")
         .when(F.exists(terms, lambda t: t.rlike(r"[*?]")), "Exploration")
@@ -160,4 +168,4 @@ def parse_engine_query(query: Column) -> dict[str, Column]:
         .otherwise("Lookup")
     )
     scope = F.regexp_replace(F.try_element_at(scoped, F.lit(-1)), "^in:", "")
-    return {"terms": terms, "scope": scope, "filter_keys": F.array_sort(F.array_distinct(keys)), "intent": intent}
+    return {"terms": terms, "words": words, "scope": scope, "filters": filters, "filter_keys": F.array_sort(keys), "intent": intent}

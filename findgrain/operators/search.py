@@ -225,14 +225,14 @@ def search_block(
         return spark.createDataFrame([], f"query_id {id_type}, rank int, doc_id long, path string, score double, exact boolean")
     keys = [c for c in asked.columns if c != "query_id"]
     filters = any(r[c] for r in known for c in ("kinds", "folders", "excluded", "tags", "from_day", "before_day")) or any(r[c] is not None for r in known for c in ("min_bytes", "max_bytes"))
-    attributes = files.select("doc_id", "path", "size", "mtime_ns", "tag")
+    attributes = files.select("doc_id", "path", "size", "mtime_ns", "tag", "is_dir")
 
     def filtered(rows: DataFrame) -> DataFrame:
         """Keeps rows whose file passes the filters of their query."""
         if not filters:
             return rows
         named = asked.select(F.col("query_id"), *[F.col(c).alias(f"r_{c}") for c in keys])
-        return rows.join(named, "query_id").where(requests.matches("r_")).drop(*[f"r_{c}" for c in keys])
+        return rows.join(named, "query_id").where(requests.matches("r_", F.col("is_dir"))).drop(*[f"r_{c}" for c in keys])
 
     with_path = lambda rows: rows.join(attributes if filters else attributes.select("doc_id", "path"), "doc_id")
     allowed = (lambda rows: filtered(with_path(rows))) if filter_mode == "push" else with_path

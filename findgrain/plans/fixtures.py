@@ -30,6 +30,26 @@ QUERIES = [
 ]
 
 
+#: More queries for the low-level grammar and for chips.
+ENGINE_QUERIES = [
+    (21, "report exists"),
+    (22, "find in:/Users/me draft ext:pdf"),
+    (23, "check report exists"),
+    (24, "in:/a notes in:/b ext:md ext:rst"),
+    (25, "the 12:30"),
+    (26, "12:30 of plan"),
+    (27, "finding myFile a:b:c"),
+    (28, "x after:2024 before:2025"),
+]
+CHIP_QUERIES = [
+    (31, "tax kind:pdf -draft size:>2KB content:\"a b\" after:2024-05"),
+    (32, "kind:pdf kind:md plan kind:pdf in:~/docs/x.y"),
+    (33, "size:>5 size:<3gb tag:work,red before:now before:2024-1"),
+    (34, "-a-b -c_1 - --d note"),
+    (35, "content:\"\" mykind:py"),
+]
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select(
         "doc_id", "path", F.col("folder").alias("root"), "size", "mtime_ns", "tag", F.col("text").alias("content")

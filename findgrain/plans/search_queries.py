@@ -150,9 +150,12 @@ def parse_requests(spark, sf):
 
 
 def query_intent(spark, sf):
+    """The low-level reading of queries: words before stemming, intent, scope and filters with their values."""
     parsed = requests.parse_engine_query(F.col("query"))
-    rows = fixtures.queries(spark).unionByName(spark.createDataFrame([(21, "check report exists"), (22, "find in:/Users/me draft ext:pdf")], "query_id int, query string"))
-    return rows.select("query_id", F.array_join(parsed["terms"], " ").alias("terms"), "query", parsed["intent"].alias("intent"), parsed["scope"].alias("scope"), F.array_join(parsed["filter_keys"], ",").alias("filter_keys")).drop("query")
+    more = fixtures.ENGINE_QUERIES
+    rows = fixtures.queries(spark).unionByName(spark.createDataFrame(more, "query_id int, query string"))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_keys(parsed["filters"])), lambda k: F.concat(k, F.lit("="), F.element_at(parsed["filters"], k))), ",")
+    return rows.select("query_id", F.array_join(parsed["words"], " ").alias("words"), parsed["intent"].alias("intent"), parsed["scope"].alias("scope"), pairs.alias("filters"))
 
 
 def _names(spark, sf):
@@ -270,7 +273,8 @@ def external_hits(spark, sf):
 
 def query_chips(spark, sf):
     found = client.chips(F.col("query"))
-    return fixtures.queries(spark).select("query_id", *[c.alias(n) for n, c in found.items()])
+    rows = fixtures.queries(spark).unionByName(spark.createDataFrame(fixtures.CHIP_QUERIES, "query_id int, query string"))
+    return rows.select("query_id", *[(F.array_join(c, ",") if n == "exclude" else c).alias(n) for n, c in found.items()])
 
 
 def row_details(spark, sf):

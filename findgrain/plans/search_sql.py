@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from findgrain.functions.analyze import STOP_WORDS
-from findgrain.operators.client import CHIPS
-from findgrain.plans.fixtures import NOW_NS, QUERIES
+from findgrain.plans.fixtures import CHIP_QUERIES, ENGINE_QUERIES, NOW_NS, QUERIES
 
 _BLANK = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _STOPPED = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -117,6 +116,29 @@ def _tri(e: str) -> str:
 _SPLIT_NAMES = f"WITH {_NAME_OCC}, v AS (SELECT DISTINCT term FROM np WHERE regexp_matches(term, '^[a-z]+$'))"
 
 
+def _values(rows) -> str:
+    return ", ".join(f"({i}, $${q}$$)" for i, q in rows)
+
+
+def _chips_sql() -> str:
+    """Each chip in turn: its first match, and the query without that text."""
+    steps = [
+        ("kind", "kind:([\\p{L}\\p{N}_]+)"), ("in", "in:([\\p{L}\\p{N}_~/.-]+)"), ("after", "after:([0-9-]+)"), ("before", "before:([0-9-]+)"),
+        ("size", "(?i)size:([><][0-9]+(?:mb|gb|kb))"), ("tag", "tag:([\\p{L}\\p{N}_]+)"), ("content", 'content:"([^"]+)"'),
+    ]
+    sql = f"WITH c0(query_id, rest) AS (VALUES {_Q}, {_values(CHIP_QUERIES)})"
+    names: list[str] = []
+    for i, (name, pattern) in enumerate(steps):
+        kept = "".join(f', "{n}"' for n in names)
+        found = f"regexp_extract(rest, '{pattern}')"
+        sql += f", c{i + 1} AS (SELECT query_id, CASE WHEN {found} = '' THEN rest ELSE replace(rest, {found}, '') END AS rest{kept}, nullif(regexp_extract(rest, '{pattern}', 1), '') AS \"{name}\" FROM c{i})"
+        names.append(name)
+    sql += f", w AS (SELECT *, list_filter(string_split_regex(rest, '\\s+'), lambda x: x <> '') AS l FROM c{len(steps)})"
+    out = "regexp_matches(x, '^-[\\p{L}\\p{N}_]+$')"
+    chips = ", ".join(f'"{n}"' for n in names)
+    return sql + f" SELECT query_id, {chips}, array_to_string(list_transform(list_filter(l, lambda x: {out}), lambda x: substr(x, 2)), ',') AS exclude, array_to_string(list_filter(l, lambda x: NOT {out}), ' ') AS text FROM w"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "tokenize_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({terms('text')}) AS term FROM documents) GROUP BY term",
@@ -149,14 +171,15 @@ array_to_string(kind, ',') AS kinds, array_to_string(inn, ',') AS folders,
 array_to_string(list_transform(list_filter(s, lambda x: starts_with(x, '-') AND length(x) > 1), lambda x: substr(lower(x), 2)), ',') AS excluded, array_to_string(tag, ',') AS tags, '' AS unrecognised,
 after[-1] || substr('0000-01-01', length(after[-1]) + 1) AS from_day, before[-1] || substr('0000-01-01', length(before[-1]) + 1) AS before_day,
 CASE WHEN starts_with(size[-1], '>') THEN substr(size[-1], 2) END AS min_bytes, CASE WHEN starts_with(size[-1], '<') THEN substr(size[-1], 2) END AS max_bytes FROM v""",
-        "query_intent": f"""WITH r(query_id, query) AS (VALUES {_Q}, (21, 'check report exists'), (22, 'find in:/Users/me draft ext:pdf')), s AS (SELECT query_id, string_split(query, ' ') AS s FROM r),
-x AS (SELECT query_id, s, list_filter(s, lambda x: contains(x, ':') AND NOT starts_with(x, 'in:')) AS f, list_filter(s, lambda x: NOT contains(x, ':')) AS rest FROM s),
-y AS (SELECT *, list_sort(list_distinct(list_transform(f, lambda x: regexp_replace(x, ':.*', '')))) AS keys, {terms("array_to_string(rest, ' ')")} AS t FROM x)
-SELECT query_id, array_to_string(t, ' ') AS terms, CASE WHEN list_has_any(keys, ['after', 'before']) THEN 'Recovery' WHEN list_has_any(t, ['exist', 'find', 'check']) THEN 'Verification' ELSE 'Lookup' END AS intent,
-substr(list_filter(s, lambda x: starts_with(x, 'in:'))[-1], 4) AS scope, array_to_string(keys, ',') AS filter_keys FROM y""",
-        "query_chips": f"WITH r(query_id, query) AS (VALUES {_Q}) SELECT query_id, "
-        + ", ".join(f"nullif(regexp_extract(query, '{pattern}', 1), '') AS \"{name}\"" for name, pattern in CHIPS.items())
-        + " FROM r",
+        "query_intent": f"""WITH r(query_id, query) AS (VALUES {_Q}, {_values(ENGINE_QUERIES)}), p AS (SELECT query_id, string_split_regex(trim(query), '\\s+') AS s FROM r),
+x AS (SELECT *, list_filter(s, lambda x: NOT starts_with(x, 'in:') AND contains(x, ':') AND regexp_matches(x, '\\p{{L}}')) AS f FROM p),
+y AS (SELECT *, array_to_string(list_filter(s, lambda x: NOT starts_with(x, 'in:') AND NOT (contains(x, ':') AND regexp_matches(x, '\\p{{L}}'))), ' ') AS rest, array_to_string(list_filter(s, lambda x: NOT contains(x, ':')), ' ') AS again FROM x),
+z AS (SELECT *, {terms("CASE WHEN len(" + terms("rest") + ") > 0 THEN rest ELSE again END")} AS t, list_sort(list_distinct(list_transform(f, lambda x: split_part(x, ':', 1)))) AS keys FROM y)
+SELECT query_id, array_to_string(t, ' ') AS words, CASE WHEN list_has_any(keys, ['after', 'before']) THEN 'Recovery'
+  WHEN len(list_filter(t, lambda x: regexp_matches(x, '^(exist(s|ed|ing)?|find(s|ing)?|check(s|ed|ing)?)$'))) > 0 THEN 'Verification' ELSE 'Lookup' END AS intent,
+substr(list_filter(s, lambda x: starts_with(x, 'in:'))[-1], 4) AS scope,
+array_to_string(list_transform(keys, lambda k: k || '=' || substr(list_filter(f, lambda x: split_part(x, ':', 1) = k)[-1], length(k) + 2)), ',') AS filters FROM z""",
+        "query_chips": _chips_sql(),
         "fuzzy_terms_k2": f"{_SPLIT_NAMES}, w(term) AS (VALUES ('inventry'), ('sumary'), ('reprot'), ('skecth'), ('budgte'), ('trvl')), x AS (SELECT w.term, v.term AS name, damerau_levenshtein(w.term, v.term)::INT AS distance FROM w, v) SELECT * FROM x WHERE distance <= CASE WHEN length(term) >= 5 THEN 2 ELSE 1 END",
         "in_scope": f"""WITH s AS (SELECT doc_id, path, CASE WHEN starts_with(path, '/Users/baba/') THEN '/Users/baba' WHEN starts_with(path, '/Volumes/team/') THEN '/Volumes/team' END AS r FROM documents WHERE path IS NOT NULL),
 t AS (SELECT *, string_split(substr(path, length(r) + 2), '/') AS parts FROM s)
