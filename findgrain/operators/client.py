@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +115,25 @@ def after_calls(order: Column, by: Column, n: int) -> Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(order)) > n
 
 
+class Provider(Protocol):
+    """An outside source of results for a batch of queries."""
+
+    def provide(self, queries: DataFrame) -> DataFrame:
+        """``(query_id, doc_id, path)`` for ``(query_id, query)``; ``doc_id`` may be null."""
+
+
+def provided(providers: Sequence[Provider], queries: DataFrame) -> DataFrame | None:
+    """The rows of all providers, each path once a query; one that fails has none."""
+    out = None
+    for p in providers:
+        try:
+            rows = p.provide(queries).select("query_id", F.col("doc_id").cast("long").alias("doc_id"), "path")
+        except Exception:
+            continue
+        out = rows if out is None else out.unionByName(rows)
+    return None if out is None else out.groupBy("query_id", "path").agg(F.min("doc_id").alias("doc_id"))
+
+
 def prefix_seed(files: DataFrame, prefix: str) -> DataFrame:
     """Files whose name starts with a one-word query, at score 1 and exact."""
     name = F.lower(paths.file_name(F.col("path")))

@@ -182,6 +182,30 @@ def click_counts(clicks: DataFrame) -> DataFrame:
     return once.select(F.explode(ancestors(F.col("path"))).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("clicks"))
 
 
+def top_queries(clicks: DataFrame, limit: int) -> DataFrame:
+    """``(query, clicks)``: the queries as typed whose results were opened most; ties go to the smaller text."""
+    per = clicks.where("query is not null").groupBy("query").agg(F.count("*").alias("clicks"))
+    return per.orderBy(F.desc("clicks"), "query").limit(limit)
+
+
+def top_paths(clicks: DataFrame, limit: int) -> DataFrame:
+    """``(path, clicks)``: the paths and folders above them that were opened most; ties go to the smaller path."""
+    return click_counts(clicks).orderBy(F.desc("clicks"), "path").limit(limit)
+
+
+def postings_bytes(postings: DataFrame) -> DataFrame:
+    """One row ``(bytes)``: what postings take in memory at a rate of 48 bytes and its letters a term and 16 a posting."""
+    per = postings.groupBy("term").agg(F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum(F.octet_length("term") + 48 + 16 * F.col("n")), F.lit(0)).alias("bytes"))
+
+
+def hits_in_scope(hits: DataFrame, files: DataFrame, scope: str) -> DataFrame:
+    """Hits of files at or below a folder."""
+    from findgrain.functions.paths import under
+
+    return hits.join(files.where(under(F.col("path"), scope)).select("doc_id"), "doc_id", "left_semi")
+
+
 def recent_folders(clicks: DataFrame, n: int = 3) -> DataFrame:
     """Folders of the last ``n`` distinct clicked paths; of clicks at one time the later number, then the greater path counts."""
     last = clicks.groupBy("path").agg(F.max(F.struct("ts", "click_id")).alias("at"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
-import os
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findgrain.functions import paths
+from findgrain.sources.documents import EXTRACTORS
 
 CONTENT_BYTES = 64 * 1024
 # What is left out, what is read, what is never indexed.
@@ -41,7 +47,7 @@ class Scope:
     max_depth: int = 12
     index_hidden: bool = False
     index_content: bool = True
-    memory_budget_mb: int = 64
+    memory_budget_mb: int = 256
 
     def normalised(self) -> Scope:
         """Home expanded, duplicate and nested roots dropped, numbers clamped."""
@@ -109,7 +115,7 @@ def read_text(content: bytes | None, limit: int | None = CONTENT_BYTES) -> tuple
     """The first ``limit`` bytes (None: all) as text and whether that is all; binary content (a NUL byte) has no text. Never cuts inside a character."""
     if content is None:
         return "", True
-    limit = len(content) if limit is None else limit
+    whole, limit = limit is None, len(content) if limit is None else limit
     head = content[:limit]
     if b"\0" in head:
         return "", True
@@ -122,40 +128,86 @@ def read_text(content: bytes | None, limit: int | None = CONTENT_BYTES) -> tuple
                 break
             if len(head) >= back and head[-back] < 0x80:
                 break
-    return head.decode("utf-8", "replace"), len(content) <= limit
+    # a text of exactly the limit may go on: nothing beyond it was looked at
+    return head.decode("utf-8", "replace"), whole or len(content) < limit
 
 
 Extractor = Callable[[str, bytes], str]
 
 
-def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None, max_bytes: dict[str, int] | None = None, limit: int | None = None) -> DataFrame:
-    """Adds ``content`` and ``full`` to ``(path, length, bytes)``; text is read here, other kinds by the extractor given for them.
+def read_bytes(uri: str, most: int | None = None) -> bytes:
+    """A file of any file system that Arrow knows, on the executor: all of it or its first ``most`` bytes."""
+    system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri)) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    with system.open_input_stream(path) as stream:
+        return stream.read(most) if most is not None else stream.readall()
+
+
+@contextmanager
+def time_limit(seconds: float):
+    """Raises ``TimeoutError`` inside after so many seconds, where this thread can be interrupted."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeoutError(f"longer than {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None, max_bytes: dict[str, int] | None = None, limit: int | None = None, timeout_s: float = 15.0) -> DataFrame:
+    """Adds ``content`` and ``full`` to files (``path`` and ``bytes``, or ``uri`` to read them from); each kind by its extractor.
 
-    Texts are whole, or their first ``limit`` bytes where that is given; ``full`` tells which.
-    A file that its extractor fails on has empty content; so have unsupported and too large ones.
+    Text is read here, word-processor and PDF files by ``documents.EXTRACTORS`` unless others are given. Texts are whole, or their
+    first ``limit`` bytes where that is given, of which no more is read; ``full`` tells which. Contents are read on the executors, file by
+    file, and only of kinds that have an extractor. A file whose extractor fails, or takes longer than ``timeout_s``, has empty
+    content, as have unsupported, secret and too large ones; the worker goes on with the next file.
     """
-    own = extractors or {}
+    own = EXTRACTORS | (extractors or {})
     largest = {"pdf": 100 << 20, "rich": 50 << 20} | (max_bytes or {})
 
+    def one(kind: str, path: str, uri: str | None, data: bytes | None, size) -> tuple[str, bool]:
+        if kind == "unsupported":
+            return "", True
+        if kind == "text":
+            # one byte more tells whether the limit cut anything off
+            data = read_bytes(uri, None if limit is None else limit + 1) if data is None else data
+            return read_text(data, limit)
+        if size is not None and size > largest.get(kind, 1 << 40):
+            return "", True
+        data = read_bytes(uri) if data is None else data
+        if len(data) > largest.get(kind, 1 << 40):
+            return "", True
+        with time_limit(timeout_s):
+            return read_text(own[kind](path, data).encode(), limit)
+
+    has_bytes, has_uri, has_size = ("bytes" in files.columns), ("uri" in files.columns), ("size" in files.columns)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = []
-            for kind, path, data in zip(pdf["kind"], pdf["path"], pdf["bytes"]):
+            for i in range(len(pdf)):
+                row = pdf.iloc[i]
                 try:
-                    if kind == "text":
-                        done.append(read_text(data, limit))
-                    elif kind in own and data is not None and len(data) <= largest.get(kind, 1 << 40):
-                        done.append(read_text(own[kind](path, data).encode(), limit))
-                    else:
-                        done.append(("", True))
+                    done.append(one(row["kind"], row["path"], row["uri"] if has_uri else None, row["bytes"] if has_bytes else None, row["size"] if has_size and pd.notna(row["size"]) else None))
                 except Exception:
                     done.append(("", True))
-            out = pdf.drop(columns=["bytes", "kind"])
+            out = pdf.drop(columns=[c for c in ("bytes", "uri", "kind") if c in pdf.columns])
             yield out.assign(content=[t for t, _ in done], full=[f for _, f in done])
 
-    rows = files.withColumn("kind", content_kind(F.col("path")))
-    keep = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c != "bytes")
-    return rows.select(*[c for c in files.columns if c != "bytes"], "bytes", "kind").mapInPandas(run, f"{keep}, content string, full boolean")
+    kept = [c for c in files.columns if c not in ("bytes", "uri")]
+    kind = F.when(never_indexed(F.col("path")), "unsupported").otherwise(content_kind(F.col("path")))
+    if "is_dir" in files.columns:
+        kind = F.when(F.col("is_dir"), "unsupported").otherwise(kind)
+    schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c in kept)
+    more = [c for c in ("bytes", "uri") if c in files.columns]
+    return files.withColumn("kind", kind).select(*kept, *more, "kind").mapInPandas(run, f"{schema}, content string, full boolean")
 
 
 def fingerprint(content: Column) -> Column:
@@ -163,13 +215,66 @@ def fingerprint(content: Column) -> Column:
     return F.coalesce(F.xxhash64(F.substring(content, 1, CONTENT_BYTES)), F.lit(0))
 
 
+def plain_name(uri: Column) -> Column:
+    """The path of a local file without its scheme; other URIs as they are."""
+    return F.regexp_replace(uri, "^file:/*", "/")
+
+
+def readable_roots(spark: SparkSession, scope: Scope) -> list[str]:
+    """The roots that can be listed now; a root that cannot be is no empty one."""
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for root in scope.normalised().roots:
+        try:
+            path = path_of(root)
+            path.getFileSystem(conf).listStatus(path)
+            out.append(root)
+        except Exception:
+            continue
+    return out
+
+
 def scan(spark: SparkSession, scope: Scope) -> DataFrame:
-    """``(path, root, is_dir, size, mtime_ns, bytes)`` of all entries in scope below the roots; folders are entries too."""
+    """``(path, root, is_dir, size, mtime_ns, uri)`` of all entries in scope below the roots that can be read; folders are entries too.
+
+    Metadata only: no content is read. Folders are those that have something in them.
+    """
     scope = scope.normalised()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(scope.roots)
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    rows = files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("content").alias("bytes"))
-    rows = rows.withColumn("root", root_of(F.col("path"), scope)).withColumn("is_dir", F.lit(False))
-    above = files.select(F.explode(paths.ancestors(paths.directory(path))).alias("path")).distinct()
-    folders = above.select("path", root_of(F.col("path"), scope).alias("root"), F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("mtime_ns"), F.lit(None).cast("binary").alias("bytes"))
-    return rows.unionByName(folders).where("root is not null").select("path", "root", "is_dir", "size", "mtime_ns", "bytes")
+    roots = readable_roots(spark, scope)
+    if not roots:
+        return spark.createDataFrame([], "path string, root string, is_dir boolean, size long, mtime_ns long, uri string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(roots)
+    path = plain_name(F.col("path"))
+    rows = files.select(path.alias("path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("path").alias("uri"))
+    above = files.select(paths.directory(path).alias("folder")).distinct().select(F.explode(paths.ancestors(F.col("folder"))).alias("path")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    folders = above.select("path", F.lit(True).alias("is_dir"), none("long").alias("size"), none("long").alias("mtime_ns"), none("string").alias("uri"))
+    both = rows.unionByName(folders).withColumn("root", root_of(F.col("path"), scope))
+    return both.where("root is not null").select("path", "root", "is_dir", "size", "mtime_ns", "uri")
+
+
+def stat(spark: SparkSession, names: list[str], scope: Scope) -> DataFrame:
+    """As ``scan``, of a few changed paths as they are now: files by themselves, folders with all that is in them. Paths that are gone have no rows."""
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    there, folders = [], []
+    for name in names:
+        path = path_of(name)
+        system = path.getFileSystem(conf)
+        if system.exists(path):
+            there.append(name)
+            if system.getFileStatus(path).isDirectory():
+                folders.append(name.rstrip("/"))
+    if not there:
+        return spark.createDataFrame([], "path string, root string, is_dir boolean, size long, mtime_ns long, uri string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(there)
+    own = files.select(plain_name(F.col("path")).alias("path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("path").alias("uri"))
+    # folders named, and those below them that have something in them
+    above = own.select(F.explode(paths.ancestors(paths.directory(F.col("path")))).alias("path")).distinct()
+    below = F.lit(False)
+    for folder in folders:
+        below = below | paths.under(F.col("path"), folder)
+    named = spark.createDataFrame([(f,) for f in folders], "path string").unionByName(above.where(below)).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    dirs = named.select("path", F.lit(True).alias("is_dir"), none("long").alias("size"), none("long").alias("mtime_ns"), none("string").alias("uri"))
+    rows = own.dropDuplicates(["path"]).unionByName(dirs)
+    return rows.withColumn("root", root_of(F.col("path"), scope.normalised())).where("root is not null").select("path", "root", "is_dir", "size", "mtime_ns", "uri")
