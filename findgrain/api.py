@@ -33,6 +33,9 @@ class SearchIndex:
         self.spark, self.stems = spark, stems
         self.store = Generations(spark, folder)
         self.folder = self.store.folder
+        self.started = maintenance.startup(self.folder)
+        if self.started == "crash":
+            maintenance.recover(self.store)
         self.scope = (scope or Scope.of(self.folder.read_json("config.json"))).normalised()
         if scope is not None:
             self.folder.write_json("config.json", asdict(self.scope))
@@ -167,8 +170,9 @@ class SearchIndex:
         return n
 
     def close(self) -> None:
-        """Removes the tables this session kept on the way; the index itself stays."""
+        """Removes the tables this session kept on the way; the index itself stays, and the next session starts warm."""
         drop_tables(self.spark)
+        maintenance.ended(self.folder)
 
     def merge_if_due(self, least_postings: int = 1_000_000) -> bool:
         if maintenance.needs_merge(self.delta, least_postings) or maintenance.snapshot_due(self._changes, time.time() - self._changed_at):

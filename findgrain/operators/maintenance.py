@@ -165,6 +165,47 @@ class Generations:
                 self.folder.delete("lock")
 
 
+def startup(folder: Folder) -> str:
+    """How the last session in a folder ended: ``first`` (there was none), ``warm`` (in order) or ``crash`` (its marker is still there). Sets the marker of this one."""
+    known = folder.exists("manifest.json") or folder.exists("ended")
+    how = "crash" if folder.exists("running") else "warm" if known else "first"
+    folder.create("running")
+    return how
+
+
+def ended(folder: Folder) -> None:
+    """An orderly end: takes the marker away."""
+    folder.create("ended")
+    folder.delete("running")
+
+
+def recover(store: Generations) -> list[str]:
+    """After a crash: removes what was half written (generations the manifest does not name, files not yet renamed); returns what went."""
+    gone = store.remove_old()
+    m = store.manifest
+    for name in store.folder.names():
+        half = name.startswith(("manifest.json.", "config.json.", "lock."))
+        if half or (m is None and name.startswith("generation=")):
+            store.folder.delete(name)
+            gone.append(name)
+    return gone
+
+
+def cancelled(spark: SparkSession, tag: str) -> None:
+    """Stops the running jobs of a search started under ``running(spark, tag)``."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+@contextmanager
+def running(spark: SparkSession, tag: str):
+    """Jobs started inside carry a tag by which another thread can stop them: a newer query makes an older one stale."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
 def prefix_cache(files: DataFrame, k: int, longest: int = 4) -> DataFrame:
     """``(prefix, rank, doc_id)``: for every prefix of one to four letters of a path component the ``k`` greatest ids."""
     parts = F.explode(F.array_distinct(F.filter(F.split(F.lower("path"), "/"), lambda c: c != "")))

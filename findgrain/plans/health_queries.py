@@ -10,12 +10,13 @@ from findgrain.plans import fixtures
 from findgrain.session import read_table
 from findgrain.sources.files import content_kind
 from findgrain.streaming import changes as stream
+from findgrain.streaming import log
 
 
 def latency_percentiles(spark, sf):
     """Exact nearest-rank latencies per day."""
-    log = fixtures.query_log(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return health.ranked_percentile(log, "latency_ms", [50, 99], ["day"])
+    queries = fixtures.query_log(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return health.ranked_percentile(queries, "latency_ms", [50, 99], ["day"])
 
 
 def zero_result_rate(spark, sf):
@@ -129,6 +130,12 @@ def event_debounce(spark, sf):
     return out.select("path", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
+def log_append(spark, sf):
+    """The changes as records of a log, numbered in order with a checkpoint after every 256."""
+    entries = fixtures.changes(spark, sf).withColumnRenamed("seq", "event_id")
+    return log.numbered(entries, 0, ["event_id"]).select("seq", "event_type", "path")
+
+
 def subtree_deletes(spark, sf):
     gone = spark.createDataFrame([("/Users/baba/Documents",), ("/Volumes/team/Projects/lantern/docs",), ("/Users/bace/Desk",)], "path string")
     return stream.subtree_deletes(fixtures.files(spark, sf).where("path is not null"), gone)
@@ -168,6 +175,6 @@ def queries() -> dict:
         for f in (
             latency_percentiles, zero_result_rate, retention, oldest_dropped, integrity_rates, content_coverage, health_status, reconcile_diff,
             reconcile_readable, path_differences, identity_allocate, delta_merge, dead_set_search, change_log_latest_state, log_monotonicity,
-            replay_after_seq, event_dedup_100ms, event_debounce, subtree_deletes, rbo_eval, rbo_gate, duplicate_ids, orphan_postings,
+            replay_after_seq, event_dedup_100ms, event_debounce, log_append, subtree_deletes, rbo_eval, rbo_gate, duplicate_ids, orphan_postings,
         )
     }

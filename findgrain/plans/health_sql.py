@@ -60,10 +60,16 @@ SELECT term, doc_id, field, sum(tf)::BIGINT AS tf FROM x WHERE term IN ('rewritt
         "event_dedup_100ms": """WITH RECURSIVE e AS (SELECT seq, min(path) AS path, min(timestamp_us) AS us FROM wal_entries WHERE path <> '' GROUP BY seq),
 k AS (SELECT path, min(us) AS us FROM e GROUP BY path UNION ALL SELECT k.path, min(e.us) AS us FROM k JOIN e ON e.path = k.path AND e.us >= k.us + 100000 GROUP BY k.path)
 SELECT path, us, min(seq) AS seq FROM k JOIN e USING (path, us) GROUP BY path, us""",
-        "event_debounce": """WITH e AS (SELECT DISTINCT path, timestamp_us AS us FROM wal_entries WHERE path <> ''),
+        "event_debounce": """WITH RECURSIVE e AS (SELECT path, timestamp_us AS us, count(DISTINCT timestamp_us) AS n FROM wal_entries WHERE path <> '' GROUP BY path, timestamp_us),
 b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY path ORDER BY us) < 300000 THEN 0 ELSE 1 END AS s FROM e),
-g AS (SELECT *, sum(s) OVER (PARTITION BY path ORDER BY us) AS k FROM b)
-SELECT path, min(us) AS start_us, max(us) + 300000 AS end_us, count(*) AS events FROM g GROUP BY path, k""",
+g AS (SELECT *, sum(s) OVER (PARTITION BY path ORDER BY us) AS k FROM b),
+w AS (SELECT path, k, min(us) AS start FROM g GROUP BY path, k
+  UNION ALL SELECT w.path, w.k, min(g.us) FROM w JOIN g ON g.path = w.path AND g.k = w.k AND g.us >= w.start + 2000000 GROUP BY w.path, w.k, w.start),
+p AS (SELECT g.path, g.us, g.n, max(w.start) AS start FROM g JOIN w ON w.path = g.path AND w.k = g.k AND w.start <= g.us GROUP BY g.path, g.us, g.n)
+SELECT path, start AS start_us, least(max(us) + 300000, start + 2000000) AS end_us, sum(n)::BIGINT AS events FROM p GROUP BY path, start""",
+        "log_append": """WITH e AS (SELECT event_id, CASE event_type WHEN 'signup' THEN 'Created' WHEN 'error' THEN 'Deleted' WHEN 'purchase' THEN 'Renamed' ELSE 'Modified' END AS event_type,
+  concat('/Users/me/Documents/u', CAST(user_id % 7 AS VARCHAR), '/file_', CAST(user_id AS VARCHAR), '.txt') AS path, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events)
+SELECT 1 + k + k // 256 AS seq, event_type, path FROM e UNION ALL SELECT 2 + k + k // 256, 'Checkpoint', NULL FROM e WHERE k % 256 = 255""",
         "subtree_deletes": "SELECT doc_id, path FROM documents WHERE starts_with(path, '/Users/baba/Documents/') OR starts_with(path, '/Volumes/team/Projects/lantern/docs/') OR starts_with(path, '/Users/bace/Desk/')",
         "rbo_eval": f"WITH {_RANKS} SELECT list_id, round(rbo, 12) AS rbo FROM rbo",
         "rbo_gate": f"WITH {_RANKS}, o AS (SELECT rbo, row_number() OVER (ORDER BY rbo, list_id) - 1 AS k, count(*) OVER () AS c FROM rbo) SELECT round(rbo, 12) AS p10, rbo >= 0.7 AS passes FROM o WHERE k = 10 * (c - 1) // 100",

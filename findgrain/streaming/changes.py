@@ -69,38 +69,78 @@ def bursts(changes: DataFrame, time_us: str, gap_us: int, block_us: int = 3_600_
     return rows.select("path", "us", "seq", F.coalesce("own", "carry").alias("burst"))
 
 
-def dedup_batch(changes: DataFrame, time_us: str = "us") -> DataFrame:
-    """The same over a finished table: ``(path, us, seq)`` kept.
+def _walk_bursts(cut: DataFrame, width: int) -> DataFrame:
+    """``(path, us, seq, burst, start)``: rows of ``bursts`` with the time of the row that began their part; a part begins ``width`` or more after the one before.
 
-    The first event of a burst without a gap of 100 ms is always kept, so bursts stand alone; each is walked through once,
-    in partitions of many.
+    The first event of a burst always begins one, so bursts stand alone; each is walked through once, in order, in partitions of
+    many. A burst that never pauses is the work of one task, which holds a batch of it at a time.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, last = None, None
         for pdf in batches:
-            keep = []
+            starts = []
             for key, t in zip(zip(pdf["path"], pdf["burst"]), pdf["us"]):
-                if key != at:
-                    at, last = key, None
-                ok = last is None or t - last >= DEDUP_US
-                keep.append(ok)
-                if ok:
-                    last = t
-            yield pdf.loc[keep, ["path", "us", "seq"]]
-
-    cut = bursts(changes, time_us, DEDUP_US).repartition("path", "burst").sortWithinPartitions("path", "burst", "us", "seq")
-    return cut.mapInPandas(walk, "path string, us long, seq long")
-
-
-def debounce(changes: DataFrame, gap_ms: int = GAP_MS, watermark: str = "10 seconds") -> DataFrame:
-    """``(path, start, end, events)``: bursts of a path's events separated by quiet of ``gap_ms``; works on streams and tables."""
-    rows = changes.where("path is not null")
-    if changes.isStreaming:
-        rows = rows.withWatermark("ts", watermark)
-    window = F.session_window(F.col("ts").cast("timestamp"), f"{gap_ms} milliseconds")
-    out = rows.groupBy(window, "path").agg(F.count("*").alias("events"))
-    return out.select("path", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+                if key != at or t - last >= width:
+                    at, last = key, t
+                starts.append(last)
+            yield pdf.assign(start=starts)[["path", "us", "seq", "burst", "start"]]
+
+    placed = cut.repartition("path", "burst").sortWithinPartitions("path", "burst", "us", "seq")
+    return placed.mapInPandas(walk, "path string, us long, seq long, burst long, start long")
+
+
+def dedup_batch(changes: DataFrame, time_us: str = "us") -> DataFrame:
+    """The same over a finished table: ``(path, us, seq)`` kept."""
+    walked = _walk_bursts(bursts(changes, time_us, DEDUP_US), DEDUP_US)
+    # of events at one time the first is kept
+    first = F.row_number().over(Window.partitionBy("path", "burst", "start").orderBy("us", "seq"))
+    return walked.where("us = start").withColumn("k", first).where("k = 1").select("path", "us", "seq")
+
+
+def debounce(changes: DataFrame, gap_ms: int = GAP_MS, cap_ms: int = CAP_MS) -> DataFrame:
+    """``(path, start, end, events)``: a path's events put together until ``gap_ms`` pass without one, or ``cap_ms`` since the first."""
+    rows = changes.where("path is not null").select("path", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    walked = _walk_bursts(bursts(rows.withColumn("seq", F.col("us")), "us", gap_ms * 1000), cap_ms * 1000)
+    per = walked.groupBy("path", "start").agg(F.max("us").alias("last"), F.count("*").alias("events"))
+    end = F.least(F.col("last") + gap_ms * 1000, F.col("start") + cap_ms * 1000)
+    return per.select("path", F.timestamp_micros("start").alias("start"), F.timestamp_micros(end).alias("end"), "events")
+
+
+def debounce_stream(changes: DataFrame, gap_ms: int = GAP_MS, cap_ms: int = CAP_MS, late: str = "10 seconds") -> DataFrame:
+    """``debounce`` over a stream: state per path is what is pending, and leaves when the watermark has passed its end."""
+
+    def end_of(start: int, last: int) -> int:
+        return min(last + gap_ms * 1000, start + cap_ms * 1000)
+
+    def one(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, n = state.get if state.exists else (None, None, 0)
+        done = []
+        if not state.hasTimedOut:
+            for t in sorted(t.value // 1000 for pdf in batches for t in pdf["ts"]):
+                if start is not None and t >= end_of(start, last):
+                    done.append((start, end_of(start, last), n))
+                    start, n = None, 0
+                if start is None:
+                    start, last = t, t
+                last, n = max(last, t), n + 1
+        if start is not None and end_of(start, last) // 1000 < state.getCurrentWatermarkMs():
+            done.append((start, end_of(start, last), n))
+            start = None
+        if start is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((start, last, n))
+            state.setTimeoutTimestamp(max(end_of(start, last) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame(done, columns=["start", "end", "events"])
+        for c in ("start", "end"):
+            out[c] = pd.to_datetime(out[c], unit="us")
+        out.insert(0, "path", key[0])
+        yield out
+
+    timed = changes.where("path is not null and ts is not null").withWatermark("ts", late)
+    return timed.groupBy("path").applyInPandasWithState(one, "path string, start timestamp, end timestamp, events long", "start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_per_path(changes: DataFrame) -> DataFrame:
