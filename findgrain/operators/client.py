@@ -105,6 +105,12 @@ def eta_minutes(elapsed_s: float, done: float) -> int | None:
     return max(1, math.ceil(elapsed_s * (1 - done) / done / 60))
 
 
+def minutes_left(elapsed_s: Column, done: Column) -> Column:
+    """The same for a table of tasks."""
+    known = (elapsed_s >= 3) & (done > 0.02) & (done < 1)
+    return F.when(known, F.greatest(F.lit(1).cast("long"), F.ceil(elapsed_s * (1 - done) / done / 60)))
+
+
 def sampled(key: Column, share: float, seed: int = 0) -> Column:
     """A fixed share of keys, the same in every run: where injected faults strike."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)

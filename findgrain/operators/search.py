@@ -40,7 +40,7 @@ def phonetic_matches(words: DataFrame, sounds: DataFrame) -> DataFrame:
     return w.join(sounds, "code").select("term", "name")
 
 
-def expand(terms: DataFrame, known: list[tuple], lookups: Lookups) -> DataFrame:
+def expand(terms: DataFrame, known: list[tuple], lookups: Lookups, sounds: bool = True) -> DataFrame:
     """``(query_id, term, weight, exact)``: typed terms at weight 1 for each time they are typed, near names and, where fewer than three are near, names of like sound.
 
     ``known`` are the rows of ``terms`` (query_id, position, term) on the driver. A name is added once per query, by the first
@@ -49,7 +49,7 @@ def expand(terms: DataFrame, known: list[tuple], lookups: Lookups) -> DataFrame:
     distinct = sorted({t for _, _, t in known})
     words = local_rows(terms.sparkSession, [(t, phonetic.phonetic_code(t)) for t in distinct], "term string, code string")
     near = _fuzzy_candidates(words, lookups.forms).withColumn("heard", F.lit(False))
-    alike = words.where("code <> ''").join(lookups.sounds, "code").select("term", "name", F.lit(0).alias("radius"), F.lit(True).alias("heard"))
+    alike = words.where("code <> ''" if sounds else "false").join(lookups.sounds, "code").select("term", "name", F.lit(0).alias("radius"), F.lit(True).alias("heard"))
     # one shuffle for both: candidates of a word meet, near ones are measured, and like sounds stay where few are near
     found = near.unionByName(alike).repartition("term").groupBy("term", "name").agg(F.max("radius").alias("radius"), F.max("heard").alias("heard"))
     found = found.withColumn("apart", F.when(F.col("radius") > 0, distance.osa_distance("term", "name")))
@@ -214,6 +214,7 @@ def search_block(
     clicks: DataFrame | None = None,
     recent_folders: list[str] | None = None,
     fuzzy: bool = True,
+    sounds: bool = True,
     filter_mode: str = "push",
     limit: int = RESULT_LIMIT,
     extra_hits: DataFrame | None = None,
@@ -240,7 +241,7 @@ def search_block(
     typed = [(r["query_id"], i, stem.stem(t) if index.stems else t) for r in known for i, t in enumerate(r["terms"])]
     terms = local_rows(spark, typed, f"query_id {id_type}, position int, term string")
     if fuzzy:
-        expanded = expand(terms, typed, lookups)
+        expanded = expand(terms, typed, lookups, sounds)
     else:
         expanded = terms.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight")).withColumn("exact", F.lit(True))
     # as tables: hits are read once for the best of each query, once for all. Names do not wait for them

@@ -84,11 +84,13 @@ def snapshot_changes(
     )
 
 
-def reconciliation_lists(changes: DataFrame, *, snapshot: str = "snapshot_id", root: str = "root", key: str = "path") -> DataFrame:
-    """Numbers of paths to add, delete and update per root and later snapshot, with a checksum of each list.
+LISTS = {"added": "to_add", "removed": "to_delete", "changed": "to_update"}
+#: Paths of one part of a list.
+LIST_PART = 10_000
 
-    The lists themselves stay rows: a root may hold any number of paths.
-    """
+
+def list_sizes(changes: DataFrame, *, snapshot: str = "snapshot_id", root: str = "root", key: str = "path") -> DataFrame:
+    """Numbers of paths to add, delete and update per root and later snapshot, with the first and last path of each list."""
     def of(kind: str, name: str):
         hit = F.col("change") == kind
         return [
@@ -97,4 +99,19 @@ def reconciliation_lists(changes: DataFrame, *, snapshot: str = "snapshot_id", r
             F.max(F.when(hit, F.col(key))).alias(f"last_{name}"),
         ]
 
-    return changes.groupBy(snapshot, root).agg(*of("added", "to_add"), *of("removed", "to_delete"), *of("changed", "to_update"))
+    return changes.groupBy(snapshot, root).agg(*[c for kind, name in LISTS.items() for c in of(kind, name)])
+
+
+def reconciliation_lists(changes: DataFrame, *, snapshot: str = "snapshot_id", root: str = "root", key: str = "path", part: int = LIST_PART) -> DataFrame:
+    """``(snapshot, root, list, part, paths)``: the lists to_add, to_delete and to_update of each root's diff, in order.
+
+    A list of more than about ``part`` paths comes in several parts, dealt by a hash of the path, so that no task and no row holds
+    more whatever the size of a root; a part is in order of its paths. Lists without paths have no row. A null root is a root.
+    """
+    named = changes.withColumn("list", F.element_at(F.create_map(*[F.lit(x) for pair in LISTS.items() for x in pair]), F.col("change")))
+    by = [snapshot, root, "list"]
+    # few rows: one a root, snapshot and list
+    sizes = named.groupBy(*by).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"s_{c}") for c in by], F.greatest(F.ceil(F.col("n") / part), F.lit(1)).alias("parts"))
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in by]
+    dealt = named.join(sizes, same[0] & same[1] & same[2]).withColumn("part", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.col("parts")).cast("int"))
+    return dealt.groupBy(*by, "part").agg(F.sort_array(F.collect_list(key)).alias("paths"))

@@ -43,7 +43,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_diff_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes and ends of the lists of each root's diff."""
-    return snapshots.reconciliation_lists(snapshots.snapshot_changes(read_table(spark, sf, "index_snapshots"), carry=["root"]))
+    return snapshots.list_sizes(snapshots.snapshot_changes(read_table(spark, sf, "index_snapshots"), carry=["root"]))
+
+
+def p4_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists of each root's diff, paths on lines."""
+    lists = snapshots.reconciliation_lists(snapshots.snapshot_changes(read_table(spark, sf, "index_snapshots"), carry=["root"]))
+    return lists.withColumn("paths", F.array_join("paths", "\n"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,4 +58,4 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_diff_sizes, p6_found)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_diff_sizes, p4_lists, p6_found)}

@@ -47,6 +47,10 @@ count(*) FILTER (change = 'removed') AS n_to_delete, min(path) FILTER (change =
 count(*) FILTER (change = 'changed') AS n_to_update, min(path) FILTER (change = 'changed') AS first_to_update, max(path) FILTER (change = 'changed') AS last_to_update
 FROM c JOIN o USING (i) GROUP BY o.snapshot_id, c.root"""
 
+P4_LISTS = f"""WITH {_STATES}, li AS (SELECT o.snapshot_id, c.root, CASE c.change WHEN 'added' THEN 'to_add' WHEN 'removed' THEN 'to_delete' ELSE 'to_update' END AS list, path FROM c JOIN o USING (i)),
+n AS (SELECT *, ceil(count(*) OVER (PARTITION BY snapshot_id, root, list) / 10000)::BIGINT AS parts FROM li)
+SELECT snapshot_id, root, list, (('0x' || substr(md5(path), 1, 8))::BIGINT % parts)::INT AS part, string_agg(path, chr(10) ORDER BY path) AS paths FROM n GROUP BY 1, 2, 3, 4"""
+
 P6 = f"""
 WITH e AS (SELECT seq, doc_id, path, {event_sql('event_type')} AS code, received_at FROM wal_entries),
 ok AS (SELECT * FROM e WHERE code <> 255 AND doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq ORDER BY received_at DESC) = 1),
@@ -56,4 +60,4 @@ SELECT doc_id, path FROM last WHERE code <> 3
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3, "p4_found": P4, "p4_diff_sizes": P4_DIFF, "p6_found": P6}
+    return {"p3_found": P3, "p4_found": P4, "p4_diff_sizes": P4_DIFF, "p4_lists": P4_LISTS, "p6_found": P6}

@@ -89,6 +89,12 @@ def search_batch_topk(spark, sf):
     return search.search(_index(spark, sf, stems=True), fixtures.queries(spark), now_ns=NOW_NS, clicks=clicks)
 
 
+def search_fuzzy_batch(spark, sf):
+    """Full searches but for stems and sounds: near names, fallback, clicks and filters."""
+    clicks = maintenance.click_counts(fixtures.clicks(spark, sf))
+    return search.search(_index(spark, sf), fixtures.queries(spark), now_ns=NOW_NS, clicks=clicks, sounds=False)
+
+
 def search_post_filtered(spark, sf):
     """The same with filters applied after ranking."""
     return search.search(_index(spark, sf, stems=True), fixtures.queries(spark), now_ns=NOW_NS, filter_mode="post")
@@ -216,9 +222,10 @@ def prefix_cache_topk(spark, sf):
 
 
 def prefix_search(spark, sf):
-    """Files whose name starts with a word."""
-    name = F.lower(paths.file_name(F.col("path")))
-    return fixtures.files(spark, sf).where(name.startswith("inv") | name.startswith("not")).select("doc_id", "path", F.lit(1.0).alias("score"))
+    """Files whose name starts with a word, as they seed a search for it."""
+    files = fixtures.files(spark, sf)
+    seeds = client.prefix_seed(files, "Inv").unionByName(client.prefix_seed(files, "not"))
+    return seeds.join(files.select("doc_id", "path"), "doc_id").select("doc_id", "path", "score")
 
 
 def substring_search(spark, sf):
@@ -236,7 +243,7 @@ def path_parts(spark, sf):
 
 
 def display_path(spark, sf):
-    return fixtures.files(spark, sf).where("path is not null").select("doc_id", F.regexp_replace("path", "^/Users/[^/]+", "~").alias("shown"), F.date_format(F.timestamp_millis(F.expr("mtime_ns div 1000000")), "yyyy-MM-dd").alias("modified"))
+    return fixtures.files(spark, sf).where("path is not null").select("doc_id", client.display_path(F.col("path"), "/Users/baba").alias("shown"), F.date_format(F.timestamp_millis(F.expr("mtime_ns div 1000000")), "yyyy-MM-dd").alias("modified"))
 
 
 def content_kinds(spark, sf):
@@ -266,7 +273,7 @@ def content_fingerprints(spark, sf):
 def external_hits(spark, sf):
     """Rows of an outside provider for queries with few of their own."""
     f = fixtures.files(spark, sf).where("path is not null")
-    own = f.where("path like '%inventory%'").select(F.lit(1).alias("query_id"), "doc_id", "path").unionByName(f.where("path like '%CHANGELOG%' and doc_id % 97 = 3").select(F.lit(2).alias("query_id"), "doc_id", "path"))
+    own = f.where("path like '%inventory%'").select(F.lit(1).alias("query_id"), "doc_id", "path")
     extra = f.where("path like '%note%'").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("query_id"), "doc_id", "path")
     return search.outside_hits(own, extra)
 
@@ -301,7 +308,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             tokenize_terms, name_terms, query_tokens, postings, vocab, doc_lengths, corpus_stats, bm25_single_term, bm25_multi_term_or,
-            bm25_normalized, search_exact_batch, search_batch_topk, search_post_filtered, name_score, recency_boost, location_boost,
+            bm25_normalized, search_exact_batch, search_batch_topk, search_fuzzy_batch, search_post_filtered, name_score, recency_boost, location_boost,
             click_boost, proximity_folders, top_clicked_terms, path_bonus, filter_files, parse_requests, query_intent, fuzzy_terms_k1,
             fuzzy_terms_k2, phonetic_terms, stemmed_terms, snippet, trigram_jaccard, trigram_fallback, prefix_cache_topk, prefix_search,
             substring_search, path_scope, path_parts, display_path, content_kinds, in_scope, file_kinds, content_fingerprints, external_hits, query_chips, row_details,

@@ -113,7 +113,37 @@ def _tri(e: str) -> str:
     return f"list_distinct(list_transform(range(1, length({e}) - 1), lambda i: substr({e}, i, 3)))"
 
 
-_SPLIT_NAMES = f"WITH {_NAME_OCC}, v AS (SELECT DISTINCT term FROM np WHERE regexp_matches(term, '^[a-z]+$'))"
+def _edits(term: str, name: str) -> str:
+    """Edit distance in letters: it is counted in bytes, so letters beyond ASCII, which no asked word has, become one byte each."""
+    return f"damerau_levenshtein({term}, regexp_replace({name}, '[^\\x00-\\x7F]', '~', 'g'))"
+
+
+_FULL = f"""WITH {_INDEX}, {_NAME_SCORE.replace('n AS (', 'nm AS (')}, {_ALLOWED}, {_CLICKS},
+ck AS (SELECT path, count(*) AS clicks FROM (SELECT array_to_string(parts[1:k], '/') AS path FROM (SELECT parts, unnest(range(2, len(parts) + 1)) AS k FROM (SELECT string_split(path, '/') AS parts FROM c))) GROUP BY path),
+qt AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM a WHERE NOT literal),
+v AS (SELECT DISTINCT term AS name FROM np), ww AS (SELECT DISTINCT term FROM qt),
+nr AS (SELECT term, name, {_edits('term', 'name')} AS dist FROM ww, v WHERE name <> term AND {_edits('term', 'name')} <= CASE WHEN length(term) >= 5 THEN 2 ELSE 1 END),
+ex AS (SELECT query_id, name AS term, arg_min(CASE WHEN dist <= 1 THEN 0.6 ELSE 0.25 END, pos) AS w, min(pos) AS pos FROM qt JOIN nr USING (term) GROUP BY query_id, name),
+ty AS (SELECT query_id, term, min(pos) AS at FROM qt GROUP BY query_id, term),
+wt AS (SELECT query_id, term, 1.0 AS w, true AS exact FROM qt UNION ALL SELECT ex.query_id, ex.term, ex.w, false FROM ex LEFT JOIN ty USING (query_id, term) WHERE ty.at IS NULL OR ty.at > ex.pos),
+h AS (SELECT query_id, doc_id, sum({_BM25} * w) AS raw, bool_or(exact) AS exact FROM wt JOIN p USING (term) JOIN df USING (term) JOIN dl USING (doc_id), sz GROUP BY query_id, doc_id),
+z AS (SELECT h.query_id, h.doc_id, exact, raw / max(raw) OVER (PARTITION BY h.query_id) AS s FROM h),
+b AS (SELECT z.query_id, z.doc_id, d.path, exact, s + {_BONUS} AS s FROM z JOIN ok USING (query_id, doc_id) JOIN (SELECT doc_id, path FROM documents) d USING (doc_id) JOIN a ON a.query_id = z.query_id),
+t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path, doc_id) <= 100),
+u AS (SELECT query_id, doc_id, 20 * s AS s, exact FROM t UNION ALL SELECT nm.query_id, nm.doc_id, score + {_AGE}, true FROM nm JOIN ok USING (query_id, doc_id)),
+m AS (SELECT query_id, doc_id, path, s + 40 * ln(1 + coalesce(clicks, 0)) AS s, exact FROM (SELECT query_id, doc_id, sum(s) AS s, bool_or(exact) AS exact FROM u GROUP BY query_id, doc_id)
+  JOIN (SELECT doc_id, path FROM documents) d USING (doc_id) LEFT JOIN ck USING (path)),
+th AS (SELECT query_id, w FROM a WHERE query_id NOT IN (SELECT query_id FROM m WHERE exact GROUP BY query_id HAVING count(*) >= 5)),
+tw AS (SELECT th.query_id, unnest(th.w) AS word FROM th JOIN a USING (query_id) WHERE NOT literal),
+tn AS (SELECT doc_id, path, lower(regexp_replace({NAME}, '\\.[^.]*$', '')) AS n FROM documents WHERE path IS NOT NULL),
+tk AS (SELECT query_id, doc_id, path, len(list_intersect({_tri('word')}, {_tri('n')})) AS k, length(word) + length(n) - 4 AS l FROM tw, tn WHERE length(n) >= 3 AND length(word) >= 3),
+al AS (SELECT query_id, doc_id, path, 20 * k / (l - k) AS s FROM tk JOIN ok USING (query_id, doc_id) WHERE k > 0 AND k / (l - k) >= 0.5 AND (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM m WHERE exact)),
+lo AS (SELECT query_id, doc_id, path, sum(s) AS s FROM (SELECT query_id, doc_id, path, s FROM al UNION ALL SELECT query_id, doc_id, path, s FROM m JOIN (SELECT query_id FROM th) th USING (query_id) WHERE NOT exact) GROUP BY query_id, doc_id, path),
+lt AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS top FROM lo) WHERE s >= 0.5 * top QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path, doc_id) <= 20),
+r2 AS (SELECT query_id, doc_id, path, round(s, 6) AS score, true AS exact FROM m WHERE exact UNION ALL SELECT query_id, doc_id, path, round(s, 6), false FROM lt)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, doc_id)::INT AS rank, doc_id, path, score, exact FROM r2 QUALIFY rank <= 100"""
+
+_ALL_NAMES = f"WITH {_NAME_OCC}, v AS (SELECT DISTINCT term FROM np)"
 
 
 def _values(rows) -> str:
@@ -153,6 +183,7 @@ def oracle_sql() -> dict[str, str]:
         + " SELECT query_id, doc_id, round(raw, 6) AS score FROM h",
         "bm25_normalized": _hits("(1, 'inventory'), (1, 'merge'), (2, 'notes')") + " SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM h",
         "search_exact_batch": _SEARCH,
+        "search_fuzzy_batch": _FULL,
         "name_score": f"WITH {_NAME_SCORE} SELECT query_id, doc_id, score FROM n WHERE score > 0",
         "recency_boost": f"SELECT doc_id, {_AGE} AS boost FROM documents",
         "location_boost": f"SELECT doc_id, ({_LOC})::DOUBLE AS boost FROM documents WHERE path IS NOT NULL",
@@ -164,7 +195,7 @@ SELECT doc_id, {FOLDER} AS folder, 1.5 AS boost FROM documents WHERE {FOLDER} IN
         "top_clicked_terms": f"WITH {_CLICKS} SELECT word, count(*) AS n FROM (SELECT unnest({words(NAME)}) AS word FROM c) GROUP BY word ORDER BY n DESC, word LIMIT 20",
         "path_bonus": f"WITH {_ASKED}, b AS (SELECT query_id, doc_id, round({_BONUS}, 6) AS bonus FROM documents, a WHERE path IS NOT NULL) SELECT * FROM b WHERE bonus > 0",
         "filter_files": " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id FROM documents WHERE path IS NOT NULL AND ({p})" for i, p in _PASSES.items()),
-        "fuzzy_terms_k1": f"{_SPLIT_NAMES}, w(term) AS (VALUES ('scna'), ('plna'), ('lgo'), ('note'), ('idea'), ('spce'), ('copi')) SELECT w.term, v.term AS name, damerau_levenshtein(w.term, v.term)::INT AS distance FROM w, v WHERE damerau_levenshtein(w.term, v.term) <= 1",
+        "fuzzy_terms_k1": f"{_ALL_NAMES}, w(term) AS (VALUES ('scna'), ('plna'), ('lgo'), ('note'), ('idea'), ('spce'), ('copi')) SELECT w.term, v.term AS name, {_edits('w.term', 'v.term')}::INT AS distance FROM w, v WHERE {_edits('w.term', 'v.term')} <= 1",
         "parse_requests": _PARSED
         + """SELECT query_id, array_to_string(list_filter(s, lambda x: NOT regexp_matches(lower(x), '^(kind|in|after|before|size|tag):') AND NOT (starts_with(x, '-') AND length(x) > 1)), ' ') AS text,
 array_to_string(kind, ',') AS kinds, array_to_string(inn, ',') AS folders,
@@ -180,18 +211,24 @@ SELECT query_id, array_to_string(t, ' ') AS words, CASE WHEN list_has_any(keys,
 substr(list_filter(s, lambda x: starts_with(x, 'in:'))[-1], 4) AS scope,
 array_to_string(list_transform(keys, lambda k: k || '=' || substr(list_filter(f, lambda x: split_part(x, ':', 1) = k)[-1], length(k) + 2)), ',') AS filters FROM z""",
         "query_chips": _chips_sql(),
-        "fuzzy_terms_k2": f"{_SPLIT_NAMES}, w(term) AS (VALUES ('inventry'), ('sumary'), ('reprot'), ('skecth'), ('budgte'), ('trvl')), x AS (SELECT w.term, v.term AS name, damerau_levenshtein(w.term, v.term)::INT AS distance FROM w, v) SELECT * FROM x WHERE distance <= CASE WHEN length(term) >= 5 THEN 2 ELSE 1 END",
+        "row_details": """WITH d AS (SELECT path, size, mtime_ns FROM index_snapshots WHERE snapshot_id = (SELECT max(snapshot_id) FROM index_snapshots)
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY walked_at DESC NULLS LAST, size DESC NULLS LAST, mtime_ns DESC NULLS LAST, root DESC) = 1),
+i AS (SELECT DISTINCT path FROM index_snapshots WHERE snapshot_id = (SELECT min(snapshot_id) FROM index_snapshots))
+SELECT i.path, CASE WHEN size >= 1e12 THEN round(size / 1e12, 1) || ' TB' WHEN size >= 1e9 THEN round(size / 1e9, 1) || ' GB' WHEN size >= 1e6 THEN round(size / 1e6, 1) || ' MB'
+  WHEN size >= 1000 THEN round(size / 1000, 1) || ' KB' ELSE size || ' B' END AS size,
+strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d %H:%M') AS modified, d.path IS NULL AS missing FROM i LEFT JOIN d USING (path)""",
+        "fuzzy_terms_k2": f"{_ALL_NAMES}, w(term) AS (VALUES ('inventry'), ('sumary'), ('reprot'), ('skecth'), ('budgte'), ('trvl')), x AS (SELECT w.term, v.term AS name, {_edits('w.term', 'v.term')}::INT AS distance FROM w, v) SELECT * FROM x WHERE distance <= CASE WHEN length(term) >= 5 THEN 2 ELSE 1 END",
         "in_scope": f"""WITH s AS (SELECT doc_id, path, CASE WHEN starts_with(path, '/Users/baba/') THEN '/Users/baba' WHEN starts_with(path, '/Volumes/team/') THEN '/Volumes/team' END AS r FROM documents WHERE path IS NOT NULL),
 t AS (SELECT *, string_split(substr(path, length(r) + 2), '/') AS parts FROM s)
 SELECT doc_id, CASE WHEN r IS NOT NULL AND len(parts) <= 6 AND len(list_filter(parts, lambda c: starts_with(c, '~$') OR starts_with(c, '.') OR lower(c) IN ('node_modules','target','dist','build','tmp','temp','cache','caches','deriveddata','modulecache','trash','__pycache__','venv','site-packages','pods'))) = 0
   AND len(list_filter(parts[1:len(parts) - 1], lambda c: regexp_matches(lower(c), '\\.(app|photoslibrary|framework|bundle|xcodeproj|xcworkspace)$'))) = 0 THEN r END AS root,
 regexp_matches(lower(path), '\\.(pem|key|p12|pfx|asc)$') AS secret, NOT starts_with(path, '/Volumes/') AS queryable,
 CASE WHEN regexp_matches(path, '/(Desktop|Documents|Downloads)/') THEN 100 WHEN regexp_matches(path, '/\\.(cache|local|config)/') THEN 1 ELSE 10 END AS priority FROM t""",
-        "external_hits": """WITH f AS (SELECT doc_id, path FROM documents WHERE path IS NOT NULL), o AS (SELECT 1 AS query_id, path FROM f WHERE path LIKE '%inventory%' UNION ALL SELECT 2, path FROM f WHERE path LIKE '%CHANGELOG%' AND doc_id % 97 = 3),
+        "external_hits": """WITH f AS (SELECT doc_id, path FROM documents WHERE path IS NOT NULL), o AS (SELECT 1 AS query_id, path FROM f WHERE path LIKE '%inventory%'),
 n AS (SELECT query_id, count(*) AS n FROM o GROUP BY query_id), e AS (SELECT q AS query_id, doc_id, path FROM f, (SELECT unnest([1, 2]) AS q) WHERE path LIKE '%note%')
 SELECT query_id, doc_id, path, 0.5::DOUBLE AS score, false AS exact FROM e WHERE query_id NOT IN (SELECT query_id FROM n WHERE n >= 5) AND (query_id, path) NOT IN (SELECT query_id, path FROM o)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY path) <= 20""",
-        "trigram_jaccard": f"""{_SPLIT_NAMES}, w(word) AS (VALUES ('inventory'), ('summaries'), ('quarterly'), ('changelogs')),
+        "trigram_jaccard": f"""{_ALL_NAMES}, w(word) AS (VALUES ('inventory'), ('summaries'), ('quarterly'), ('changelogs')),
 x AS (SELECT word, term, {_tri('word')} AS a, {_tri('term')} AS b FROM w, v WHERE length(term) >= 3),
 y AS (SELECT word, term, len(list_intersect(a, b)) AS k, len(a) + len(b) AS n FROM x) SELECT word, term, round(k / (n - k), 6) AS score FROM y WHERE k / (n - k) >= 0.3""",
         "trigram_fallback": f"""WITH w(query_id, word) AS (VALUES (1, 'inventry'), (2, 'traval'), (2, 'plans'), (3, 'minutess')),
@@ -208,7 +245,7 @@ SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY doc_id DESC)::INT
         "substring_search": f"SELECT doc_id, path FROM documents WHERE contains(lower({NAME}), 'vent')",
         "path_scope": "SELECT doc_id, path FROM documents WHERE path = '/Volumes/team/Projects/lantern/docs' OR starts_with(path, '/Volumes/team/Projects/lantern/docs/')",
         "path_parts": f"SELECT doc_id, {NAME} AS name, {STEM} AS stem, {EXT} AS ext, {FOLDER} AS folder, {BELOW} AS below FROM documents WHERE path IS NOT NULL".replace(" AS folder,", " AS folder_,").replace("folder_", '"folder"'),
-        "display_path": "SELECT doc_id, regexp_replace(path, '^/Users/[^/]+', '~') AS shown, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d') AS modified FROM documents WHERE path IS NOT NULL",
+        "display_path": "SELECT doc_id, regexp_replace(path, '^/Users/baba(/|$)', '~\\1') AS shown, strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%d') AS modified FROM documents WHERE path IS NOT NULL",
         "content_kinds": f"""SELECT CASE WHEN {EXT} = 'pdf' THEN 'pdf' WHEN {EXT} IN ('docx','doc','rtf','odt') THEN 'rich' WHEN {EXT} IN ('txt','md','markdown','rst','org','tex','log','csv','tsv','json','yaml','yml','toml','xml','html','htm','css','py','rs','sh','sql') THEN 'text' ELSE 'unsupported' END AS kind, count(*) AS n FROM documents WHERE path IS NOT NULL GROUP BY 1""",
         "file_kinds": f"SELECT doc_id, array_to_string(list_append({_DOC}, {EXT}), ',') AS kinds FROM documents WHERE path IS NOT NULL",
         "content_phrase": "SELECT doc_id FROM documents WHERE contains(lower(text), 'joke of the week')",

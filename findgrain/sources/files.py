@@ -99,6 +99,16 @@ def queryable(path: Column, network_volumes: bool = False) -> Column:
     return F.lit(True) if network_volumes else ~path.startswith("/Volumes/")
 
 
+def read_contents(network: Column, opted_in: Column) -> Column:
+    """Whether contents of a volume's files are indexed: those of a network volume only where it was asked for."""
+    return ~network | opted_in
+
+
+def watch_strategy(network: Column) -> Column:
+    """How changes on a volume are noticed."""
+    return F.when(network, "poll every 300 s").otherwise("events")
+
+
 def in_access_scope(path: Column, access: str, home: str) -> Column:
     """``full`` sees all, ``limited`` three folders of the home, anything else nothing."""
     if access == "full":

@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from findgrain.operators.snapshots import reconciliation_lists, snapshot_changes
+from findgrain.operators.snapshots import list_sizes, reconciliation_lists, snapshot_changes
 
 SCHEMA = "snapshot_id int, taken_at timestamp, path string, size long, mtime_ns long, content_hash long, walked_at long, root string, idx int, change string"
 
@@ -62,5 +62,16 @@ def test_empty_and_single(spark):
 
 def test_carry_and_lists(spark):
     rows = [(2, "/a", 1, 1, 1, 1), (2, "/b", 1, 1, 1, 1), (1, "/b", 2, 1, 1, 1), (1, "/z", 1, 1, 1, 1)]
-    row = reconciliation_lists(snapshot_changes(table(spark, rows), carry=["root"])).collect()
+    found = snapshot_changes(table(spark, rows), carry=["root"])
+    row = list_sizes(found).collect()
     assert [(r["root"], r["n_to_add"], r["n_to_delete"], r["n_to_update"], r["first_to_add"]) for r in row] == [("r", 1, 1, 1, "/z")]
+    lists = {(r["list"], r["part"]): r["paths"] for r in reconciliation_lists(found).collect()}
+    assert lists == {("to_add", 0): ["/z"], ("to_delete", 0): ["/a"], ("to_update", 0): ["/b"]}
+
+
+def test_long_lists_come_in_parts(spark):
+    found = spark.createDataFrame([(2, None, f"/f{i:03d}", "added") for i in range(100)], "snapshot_id int, root string, path string, change string")
+    parts = reconciliation_lists(found, part=10).collect()
+    assert len(parts) == 10 and max(len(r["paths"]) for r in parts) < 30 and all(r["paths"] == sorted(r["paths"]) for r in parts)
+    assert sorted(p for r in parts for p in r["paths"]) == [f"/f{i:03d}" for i in range(100)]
+    assert reconciliation_lists(found.limit(0)).count() == 0
