@@ -156,7 +156,8 @@ class Words:
         # after a short capitalised word, as "Dr", a point ends no sentence
         title = before(capital & (self.end - self.start <= 3)) & (gap == 2) & is_["point"][mark] & (within("stop") == 1)
         opens = first | (within("line") >= 2) | ((within("stop") > 0) & ~title)
-        unit = before(number) & ~first & (gap <= 1) & np.isin(self.hash, _unit_hashes())
+        follows = before(number) & ~first & np.isin(self.hash, _unit_hashes())
+        unit = follows & (gap <= 1)
         bare = capital & ~number & ~unit
         text = np.asarray(owner, np.uint64)[self.piece] if n else np.zeros(0, np.uint64)
         keyed = self.hash ^ _mix(text + np.uint64(1))
@@ -168,9 +169,9 @@ class Words:
         name = bare & ~opens
         name[doubtful] = np.isin(keyed[doubtful], inside) & ~np.isin(keyed[doubtful], small)
 
-        #: Type of each word for windows of words: its own form and the word before decide.
-        self.plain_type = np.where(number, NUMBER, np.where(unit, UNIT, 0))
-        self.type = np.where(name, NAME, self.plain_type)
+        #: Type of each word for windows of words: its own form and the word before decide, whatever is between them.
+        self.plain_type = np.where(number, NUMBER, np.where(follows, UNIT, 0))
+        self.type = np.where(name, NAME, np.where(number, NUMBER, np.where(unit, UNIT, 0)))
         same_name = before(name) & name & ~opens & (all_blank | (gap == 1) & is_["joint"][mark])
         same_number = before(number & whole_number) & number & (gap == 1) & is_["point"][mark]
         self.token = np.flatnonzero(~((same_name | same_number) & ~first))
@@ -327,7 +328,7 @@ def _filter_bits(windows: DataFrame, n: int) -> np.ndarray:
     return bits
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", names: bool = True, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``(doc, item, windows, verbatim)``: windows of a document that have the template of the item, and how many have its very words.
 
     Texts become templates in two families of windows. Windows of 13 words in a row (or the whole item, where it is shorter)
@@ -337,6 +338,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", i
     a filter of template hashes. ``windows`` counts those of the family that has more; ``verbatim`` the windows of words in
     which slot values are equal too: a pair without any is a re-parameterised item.
 
+    Without ``names`` there are windows of words alone: names are literal words.
+
     * Words are runs of letters and digits, composed and lower-cased; each Han or kana letter is one.
     * Whether a word is a name shows in its own document or item alone: a capital inside a sentence. Scripts without case have no names.
     * A window without any literal word is a window of its words.
@@ -352,6 +355,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", i
     texts = items.where(F.col(item).isNotNull() & (F.length(text) > 0)).select(F.col(item).alias("item"), F.col(text).alias("text"))
     item_kind = dict(texts.dtypes)["item"]
     made = texts.mapInPandas(_item_windows, f"item {item_kind}, {WINDOW_SCHEMA}").distinct()
+    made = made if names else made.where("family = 'w'")
     windows = through_table(made, "item-windows")
     # at most 26 rows: which lengths windows have
     lengths = windows.groupBy("family", "length").agg(F.count("*").alias("n")).collect()

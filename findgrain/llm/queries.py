@@ -97,6 +97,11 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
 
 
+def p8_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the items in them where only numbers and their units may differ."""
+    return leakage.find_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"), names=False)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Of the leaks those with the item's very words."""
     return p8_leaks(spark, sf).where("verbatim > 0").select("doc_id", "item_id")
@@ -142,6 +147,7 @@ def queries() -> dict:
         p7_scores,
         p8_found,
         p8_leaks,
+        p8_numbers,
         p9_found,
         p9_mix,
         p9_shares,

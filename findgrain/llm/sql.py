@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from findgrain.llm.leakage import UNITS
 from findgrain.plans.data_sql import event_sql, plain_path_sql
 
 _RUNS = f"""
@@ -81,6 +82,28 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (k, g)
 """
 
 
+_UNITS = ", ".join(f"'{u}'" for u in UNITS)
+_NUMBER = "regexp_matches({w}, '^\\p{{Nd}}')"
+
+
+def _templates(windows: str) -> str:
+    """Windows ``(id, k, g, x)`` with words ``g`` and the word before each ``x``: a template in which numbers and units after numbers stand as the place of their first occurrence."""
+    number, follows = _NUMBER.format(w="g[i]"), _NUMBER.format(w="g[i - 1]")
+    return f"""SELECT id, k, array_to_string(g, ' ') AS words, CASE WHEN len(list_filter(t, lambda v: v = '')) = 0 THEN '= ' || array_to_string(g, ' ')
+  ELSE array_to_string(list_transform(range(1, k + 1), lambda i: CASE WHEN t[i] = '' THEN g[i] ELSE t[i] || list_position(list_transform(range(1, k + 1), lambda j: t[j] || g[j]), t[i] || g[i]) END), ' ') END AS template
+FROM (SELECT *, list_transform(range(1, k + 1), lambda i: CASE WHEN {number} THEN '#' WHEN i > 1 AND g[i] IN ({_UNITS}) AND {follows} THEN '%' ELSE '' END) AS t FROM {windows})"""
+
+
+P8_NUMBERS = f"""
+WITH i AS (SELECT item_id AS id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+il AS (SELECT id, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT id, k, w[s:s + k - 1] AS g FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM il)),
+d AS (SELECT doc_id AS id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT id, k, w[s:s + k - 1] AS g, s FROM (SELECT id, w, ks.k, unnest(range(1, len(w) - ks.k + 2)) AS s FROM d, (SELECT DISTINCT k FROM il) ks)),
+it AS ({_templates('iw')}), dt AS ({_templates('dw')})
+SELECT dt.id AS doc_id, it.id AS item_id, count(*) AS windows, count(*) FILTER (dt.words = it.words) AS verbatim FROM dt JOIN it USING (k, template) GROUP BY dt.id, it.id
+"""
+
 # sized in tokens of the tokenizer whose tokens are bytes
 P9 = """
 WITH d AS (SELECT lower(trim(source)) AS source, strlen(text)::BIGINT AS size FROM documents),
@@ -100,5 +123,6 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": P7,
         "p7_scores": P7_SCORES,
         "p8_found": P8,
+        "p8_numbers": P8_NUMBERS,
         "p9_found": P9,
     }
