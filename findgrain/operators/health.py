@@ -6,17 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findgrain.functions.scoring import health_status
+from findgrain.session import through_table
+
+
+def running_counts(counts: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """Adds ``upto`` and ``whole`` to ``(by, value, n)`` with one row a value: rows up to each value in order, and of the group.
+
+    Range-sorted partitions sum up their own rows and start after those before, so a group with any number of distinct values spreads
+    over partitions; only one row a group and partition meets in one place.
+    """
+    order = [*by, value]
+    placed = through_table(counts.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "value-counts")
+    sums = placed.groupBy(*by, "part").agg(F.sum("n").alias("m"))
+    over = Window.partitionBy(*by)
+    ends = sums.withColumn("before", F.sum("m").over(over.orderBy("part")) - F.col("m")).withColumn("whole", F.sum("m").over(over))
+    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in by], F.col("part").alias("e_part"), "before", "whole")
+    same = F.col("part") == F.col("e_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    inside = F.sum("n").over(Window.partitionBy(*by, "part").orderBy(value))
+    return placed.join(ends, same).select(*by, value, "n", (F.col("before") + inside).alias("upto"), "whole")
 
 
 def ranked_percentile(values: DataFrame, value: str, pcts: list[int], by: list[str] | None = None) -> DataFrame:
     """``(by, p<n>)``: the value at index floor(n * pct / 100) of the sorted values, exactly, without gathering them.
 
-    Counts per distinct value are summed up in order, so a group costs its distinct values, not its rows. Null values do not count.
+    Counts per distinct value are summed up in order, over range partitions, so neither rows nor distinct values of a group meet in one task.
+    Null values do not count.
     """
     by = by or []
     counts = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("v")
-    run = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("whole", F.sum("n").over(Window.partitionBy(*by)))
+    run = running_counts(counts, by)
     at = lambda p: F.expr(f"whole * {p} div 100")
     return run.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{p}") for p in pcts])
 
@@ -39,12 +59,10 @@ def order_statistic(rows: DataFrame, value: str, index: Column, bucket: Column)
     """
     ok = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), bucket.alias("bucket"))
     per = ok.groupBy("bucket").agg(F.count("*").alias("n"))
-    run = per.withColumn("upto", F.sum("n").over(Window.orderBy("bucket"))).withColumn("whole", F.sum("n").over(Window.partitionBy()))
-    run = run.withColumn("index", index.cast("long"))
+    run = running_counts(per, [], "bucket").withColumn("index", index.cast("long"))
     one = run.where("upto > index and upto - n <= index").select("bucket", (F.col("index") - F.col("upto") + F.col("n")).alias("left"))
     inside = ok.join(F.broadcast(one), "bucket").groupBy("v", "left").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v"))
-    return inside.withColumn("upto", upto).where("upto > left and upto - n <= left").select(F.col("v").alias("value"))
+    return running_counts(inside.select(F.col("left").alias("g"), "v", "n"), ["g"]).where("upto > g and upto - n <= g").select(F.col("v").alias("value"))
 
 
 def oldest_dropped(log: DataFrame, share: float = 0.1) -> DataFrame:

@@ -93,24 +93,42 @@ def snapshot_due(changes: int, since_s: float, on_mains: bool = True) -> bool:
     return changes > 0 and (since_s >= 1800 or on_mains and since_s >= 300 or changes >= 5000)
 
 
+def _checksum(table: DataFrame) -> str:
+    """Number and hash of a table's rows, whatever their order; repeated rows count."""
+    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(table.columns)])
+    row = table.select(h.alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF))).alias("s")).first()
+    return f"{row['n']}-{row['x'] or 0}-{row['s'] or 0}"
+
+
 class Generations:
     """Index generations in a folder all executors share: tables are written under a new number, then the manifest is swapped.
 
     A reader that holds an old generation keeps it until ``remove_old``; a crash before the swap leaves the old manifest.
     """
 
-    VERSION = 2
+    VERSION = 3
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.folder = spark, Folder(spark, root)
 
     @property
     def manifest(self) -> dict | None:
+        """The manifest of an index that this code can read: of its own version, or of a later one, which has more."""
         found = self.folder.read_json("manifest.json")
-        return found if found and migration(found["version"], self.VERSION) == "none" else None
+        return found if found and migration(found["version"], self.VERSION) != "rebuild" else None
+
+    def back_up(self) -> str | None:
+        """Keeps the manifest of an index that must be built anew; its generation stays until ``remove_old`` after the next ``save``."""
+        found = self.folder.read_json("manifest.json")
+        if found is None or self.manifest is not None:
+            return None
+        name = f"backup-version={found['version']}.json"
+        self.folder.write_json(name, found)
+        return name
 
     def save(self, index: Index, snapshot_seq: int = 0) -> int:
-        old = self.manifest
+        self.back_up()
+        old = self.folder.read_json("manifest.json")
         n = (old["generation"] if old else 0) + 1
         at = self.folder.at(f"generation={n}")
         # sorted by term: a lookup reads the row groups of its terms only
@@ -125,7 +143,8 @@ class Generations:
             first = table.columns[0]
             table.repartitionByRange(first).sortWithinPartitions(first).write.mode("overwrite").parquet(f"{at}/{name}")
         count = kept.count()
-        new = {"version": self.VERSION, "generation": n, "stems": index.stems, "snapshot_seq": snapshot_seq, "doc_count": count, "written_at": int(time.time())}
+        sums = {"postings": _checksum(written), "files": _checksum(kept)}
+        new = {"checksums": sums, "version": self.VERSION, "generation": n, "stems": index.stems, "snapshot_seq": snapshot_seq, "doc_count": count, "written_at": int(time.time())}
         self.folder.write_json("manifest.json", new)
         return n
 
@@ -135,8 +154,10 @@ class Generations:
             return None
         at = self.folder.at(f"generation={m['generation']}")
         files = self.spark.read.parquet(f"{at}/files")
-        if verify and files.count() != m["doc_count"]:
-            return None
+        if verify:
+            sound = files.count() == m["doc_count"] and all(_checksum(self.spark.read.parquet(f"{at}/{name}")) == s for name, s in m.get("checksums", {}).items())
+            if not sound:
+                return None
         table = lambda name: self.spark.read.parquet(f"{at}/{name}")
         found_by = Lookups(**{name: table(name) for name in Lookups.__dataclass_fields__})
         return Index(files, table("postings"), m["stems"], table("vocabulary"), found_by)
@@ -206,6 +227,27 @@ def running(spark: SparkSession, tag: str):
         spark.sparkContext.removeJobTag(tag)
 
 
+def permission_changes(log: DataFrame) -> DataFrame:
+    """``(path, seq, was, mode)``: the audit of permissions ``(path, seq, mode)``: every change of a path's mode, its first one with ``was`` null.
+
+    Repeated deliveries and changes to the same mode are none; rows without path or mode say nothing.
+    """
+    once = log.where("path is not null and mode is not null").groupBy("path", "seq").agg(F.max("mode").alias("mode"))
+    # neighbours inside blocks of numbers, then the ends of blocks: a path with any number of changes costs a row a block there
+    once = once.withColumn("block", F.expr("(seq - pmod(seq, 65536)) div 65536"))
+    ends = once.groupBy("path", "block").agg(F.max(F.struct("seq", "mode")).alias("e"))
+    ends = ends.select("path", "block", F.lag("e.mode").over(Window.partitionBy("path").orderBy("block")).alias("before"))
+    rows = once.join(ends, ["path", "block"])
+    was = F.coalesce(F.lag("mode").over(Window.partitionBy("path", "block").orderBy("seq")), F.col("before"))
+    return rows.withColumn("was", was).where("was is null or was <> mode").select("path", "seq", "was", "mode")
+
+
+def permission_state(log: DataFrame, needed: int = 0o400) -> DataFrame:
+    """``(path, mode, readable)``: the last mode of each path and whether it has the bits ``needed``."""
+    last = log.where("path is not null and mode is not null").groupBy("path").agg(F.max(F.struct("seq", "mode")).alias("l"))
+    return last.select("path", F.col("l.mode").alias("mode"), (F.col("l.mode").bitwiseAND(needed) == needed).alias("readable"))
+
+
 def prefix_cache(files: DataFrame, k: int, longest: int = 4) -> DataFrame:
     """``(prefix, rank, doc_id)``: for every prefix of one to four letters of a path component the ``k`` greatest ids."""
     parts = F.explode(F.array_distinct(F.filter(F.split(F.lower("path"), "/"), lambda c: c != "")))

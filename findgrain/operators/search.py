@@ -147,8 +147,8 @@ def name_hits(index: Index, queries: DataFrame, known: list[Row], now_ns: int) -
     return named.select("query_id", "doc_id", F.when(F.col("name") > 0, F.col("name") + scoring.recency_boost(F.col("mtime_ns"), now_ns)).alias("score"))
 
 
-def trigram_hits(index: Index, queries: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, score)``: sums of similarities of at least one half between query words and names.
+def _alike_names(index: Index, queries: DataFrame, least: float) -> DataFrame:
+    """``(query_id, at, doc_id, like)``: files whose name is alike to a query word by at least ``least`` of their letter triples.
 
     Words meet distinct names on the letter triples they share, so only names with something in common are looked at.
     """
@@ -156,9 +156,19 @@ def trigram_hits(index: Index, queries: DataFrame) -> DataFrame:
     right = words.select("word").distinct().select("word", (F.length("word") - 2).alias("own"), F.explode(scoring.trigrams(F.col("word"))).alias("t"))
     # triples of the words of a stated query set
     shared = index.lookups.stem_triples.join(F.broadcast(right), "t").groupBy("word", "own", "stem", "size").agg(F.count("*").alias("k"))
-    like = shared.withColumn("like", F.col("k") / (F.col("own") + F.col("size") - F.col("k"))).where(F.col("like") >= TRIGRAM_LEAST)
-    placed = like.select("word", "stem", "like").join(index.lookups.stems, "stem").join(words.select("query_id", "word"), "word")
-    return placed.groupBy("query_id", "doc_id").agg((INDEX_WEIGHT * F.sum("like")).alias("score"))
+    like = shared.withColumn("like", F.col("k") / (F.col("own") + F.col("size") - F.col("k"))).where(F.col("like") >= least)
+    return like.select("word", "stem", "like").join(index.lookups.stems, "stem").join(words, "word").select("query_id", "at", "doc_id", "like")
+
+
+def trigram_hits(index: Index, queries: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, score)``: sums of similarities of at least one half between query words and names."""
+    return _alike_names(index, queries, TRIGRAM_LEAST).groupBy("query_id", "doc_id").agg((INDEX_WEIGHT * F.sum("like")).alias("score"))
+
+
+def trigram_counts(index: Index, queries: DataFrame, least: float = TRIGRAM_LEAST) -> DataFrame:
+    """``(query_id, doc_id, raw, exact)``: how many words of a query the name of a file is alike to, as a provider beside the ranked one."""
+    alike = _alike_names(index, queries, least).groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("raw"))
+    return alike.withColumn("exact", F.lit(False))
 
 
 def approximate_tail(rows: DataFrame) -> DataFrame:

@@ -96,8 +96,8 @@ def search_fuzzy_batch(spark, sf):
 
 
 def search_post_filtered(spark, sf):
-    """The same with filters applied after ranking."""
-    return search.search(_index(spark, sf, stems=True), fixtures.queries(spark), now_ns=NOW_NS, filter_mode="post")
+    """The same without clicks and with filters applied after ranking."""
+    return search.search(_index(spark, sf), fixtures.queries(spark), now_ns=NOW_NS, filter_mode="post", sounds=False)
 
 
 def name_score(spark, sf):
@@ -217,6 +217,13 @@ def trigram_fallback(spark, sf):
     return tail.select("query_id", "doc_id", "score")
 
 
+def trigram_provider(spark, sf):
+    """How many words of a query are like the name of a file, as a provider of approximate hits."""
+    asked = spark.createDataFrame([(1, ["inventry"]), (2, ["traval", "plans"]), (3, ["minutess"])], "query_id int, words array<string>")
+    files = fixtures.files(spark, sf).where("path is not null")
+    return search.trigram_counts(ix.Index(files, None, found_by=_name_lookups(spark, sf)), asked)
+
+
 def prefix_cache_topk(spark, sf):
     return maintenance.prefix_cache(fixtures.files(spark, sf).where("path is not null"), 5)
 
@@ -310,7 +317,7 @@ def queries() -> dict:
             tokenize_terms, name_terms, query_tokens, postings, vocab, doc_lengths, corpus_stats, bm25_single_term, bm25_multi_term_or,
             bm25_normalized, search_exact_batch, search_batch_topk, search_fuzzy_batch, search_post_filtered, name_score, recency_boost, location_boost,
             click_boost, proximity_folders, top_clicked_terms, path_bonus, filter_files, parse_requests, query_intent, fuzzy_terms_k1,
-            fuzzy_terms_k2, phonetic_terms, stemmed_terms, snippet, trigram_jaccard, trigram_fallback, prefix_cache_topk, prefix_search,
+            fuzzy_terms_k2, phonetic_terms, stemmed_terms, snippet, trigram_jaccard, trigram_fallback, trigram_provider, prefix_cache_topk, prefix_search,
             substring_search, path_scope, path_parts, display_path, content_kinds, in_scope, file_kinds, content_fingerprints, external_hits, query_chips, row_details,
             content_phrase, provider_union,
         )

@@ -143,6 +143,15 @@ lt AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS top FROM
 r2 AS (SELECT query_id, doc_id, path, round(s, 6) AS score, true AS exact FROM m WHERE exact UNION ALL SELECT query_id, doc_id, path, round(s, 6), false FROM lt)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, doc_id)::INT AS rank, doc_id, path, score, exact FROM r2 QUALIFY rank <= 100"""
 
+#: The same with filters after ranking: every file may be ranked, and rows keep the rank they had. No clicks.
+_POST = (
+    _FULL.replace(_ALLOWED, _ALLOWED.replace("ok AS (", "passes AS (") + ", ok AS (SELECT query_id, doc_id FROM r, (SELECT doc_id FROM documents WHERE path IS NOT NULL))")
+    .replace("ln(1 + coalesce(clicks, 0))", "ln(1)")
+    .replace("path, score, exact FROM r2 QUALIFY rank <= 100", "path, score, exact FROM r2")
+)
+_POST = f"SELECT f.* FROM ({_POST}) f JOIN ({_ALLOWED[len('ok AS ('):-1]}) o USING (query_id, doc_id) WHERE rank <= 100"
+
+
 _ALL_NAMES = f"WITH {_NAME_OCC}, v AS (SELECT DISTINCT term FROM np)"
 
 
@@ -184,6 +193,11 @@ def oracle_sql() -> dict[str, str]:
         "bm25_normalized": _hits("(1, 'inventory'), (1, 'merge'), (2, 'notes')") + " SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM h",
         "search_exact_batch": _SEARCH,
         "search_fuzzy_batch": _FULL,
+        "search_post_filtered": _POST,
+        "trigram_provider": f"""WITH w(query_id, word) AS (VALUES (1, 'inventry'), (2, 'traval'), (2, 'plans'), (3, 'minutess')),
+d AS (SELECT doc_id, lower(regexp_replace({NAME}, '\\.[^.]*$', '')) AS n FROM documents WHERE path IS NOT NULL),
+x AS (SELECT query_id, doc_id, len(list_intersect({_tri('word')}, {_tri('n')})) AS k, length(word) + length(n) - 4 AS s FROM w, d WHERE length(n) >= 3)
+SELECT query_id, doc_id, count(*)::DOUBLE AS raw, false AS exact FROM x WHERE k > 0 AND k / (s - k) >= 0.5 GROUP BY query_id, doc_id""",
         "name_score": f"WITH {_NAME_SCORE} SELECT query_id, doc_id, score FROM n WHERE score > 0",
         "recency_boost": f"SELECT doc_id, {_AGE} AS boost FROM documents",
         "location_boost": f"SELECT doc_id, ({_LOC})::DOUBLE AS boost FROM documents WHERE path IS NOT NULL",

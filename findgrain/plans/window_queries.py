@@ -139,11 +139,28 @@ def name_segments(spark, sf):
     return search.segments_with(["note", "vent", "ar", "zzz", "résu", "2024"], ix.lookups(fixtures.files(spark, sf), names))
 
 
+def permission_audit(spark, sf):
+    """Changes of the mode of each path in the log; a path without one before has -1."""
+    changes = maintenance.permission_changes(read_table(spark, sf, "wal_entries").select("path", "seq", "mode"))
+    return changes.select("path", "seq", F.coalesce("was", F.lit(-1)).alias("was"), "mode")
+
+
+def permission_state(spark, sf):
+    return maintenance.permission_state(read_table(spark, sf, "wal_entries").select("path", "seq", "mode"))
+
+
+def merge_due(spark, sf):
+    """Whether a delta of each size, in hundreds of postings per first letter of a term, is due for a merge at 1,000 postings."""
+    postings = ix.postings_of(fixtures.files(spark, sf)).withColumn("letter", F.substring("term", 1, 1))
+    rows = [(letter, maintenance.needs_merge(ix.Index(None, postings.where(F.col("letter") == letter)), 1000)) for letter in "aeqxz"]
+    return spark.createDataFrame(rows, "letter string, due boolean")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             access_scope, volume_rules, window_scopes, long_enough, unread_filters, boundary_rows, word_spans, expansion_weights, time_left,
-            memory_states, postings_bytes, scope_hits, top_queries, top_paths, query_history, after_calls, roots, text_cut, generation_round_trip, name_segments,
+            memory_states, postings_bytes, scope_hits, top_queries, top_paths, query_history, after_calls, roots, text_cut, generation_round_trip, name_segments, permission_audit, permission_state, merge_due,
         )
     }

@@ -37,6 +37,10 @@ SELECT root FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE starts_with(d.root,
         "text_cut": f"""SELECT doc_id, CASE WHEN contains(text, chr(0)) THEN '' ELSE substr(text, 1, list_max(list_filter(range(0, 101), lambda k: strlen(substr(text, 1, k)) <= 100))) END AS head, strlen(text) < 100 AS "full"
 FROM documents WHERE path IS NOT NULL AND text IS NOT NULL AND {EXT} IN {_TEXT}""",
         "generation_round_trip": f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM p GROUP BY term",
+        "permission_audit": """WITH o AS (SELECT path, seq, max(mode) AS mode FROM wal_entries WHERE path IS NOT NULL AND mode IS NOT NULL GROUP BY path, seq),
+b AS (SELECT *, lag(mode) OVER (PARTITION BY path ORDER BY seq) AS was FROM o) SELECT path, seq, coalesce(was, -1) AS was, mode FROM b WHERE was IS NULL OR was <> mode""",
+        "permission_state": "SELECT path, mode, (mode & 256) = 256 AS readable FROM wal_entries WHERE path IS NOT NULL AND mode IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC, mode DESC) = 1",
+        "merge_due": f"WITH {_POSTINGS} SELECT l AS letter, (SELECT count(*) FROM p WHERE starts_with(term, l)) >= 1000 AS due FROM (SELECT unnest(['a', 'e', 'q', 'x', 'z']) AS l)",
         "name_segments": """WITH s AS (SELECT DISTINCT unnest(string_split(lower(path), '/')) AS segment FROM documents WHERE path IS NOT NULL), w(word) AS (VALUES ('note'), ('vent'), ('ar'), ('zzz'), ('résu'), ('2024'))
 SELECT word, segment FROM s, w WHERE segment <> '' AND contains(segment, word)""",
     }

@@ -86,6 +86,17 @@ def test_generations_round_trip(spark, built, tmp_path):
     assert store.remove_old() == ["generation=1"] and store.manifest["snapshot_seq"] == 7
     again = store.load(verify=True)
     assert again.postings.exceptAll(built.postings.select(again.postings.columns)).isEmpty() and again.files.count() == 7
+    # a table that was changed behind the manifest is noticed
+    at = str(tmp_path / "index" / "generation=2" / "postings")
+    rows = spark.read.parquet(at).collect()
+    spark.createDataFrame([(*r[:-1], r[-1] + 1) for r in rows[:1]] + rows[1:], spark.read.parquet(at).schema).write.mode("overwrite").parquet(at)
+    assert store.load() is not None and store.load(verify=True) is None
+    # an index of a later version is read, an older one is kept aside and built anew
+    m = store.folder.read_json("manifest.json")
+    store.folder.write_json("manifest.json", m | {"version": m["version"] + 1})
+    assert store.load() is not None and store.back_up() is None
+    store.folder.write_json("manifest.json", m | {"version": 0})
+    assert store.load() is None and store.save(built) == 3 and store.folder.exists("backup-version=0.json")
     with store.writer() as first, store.writer() as second:
         assert first and not second
 
