@@ -225,66 +225,125 @@ def fingerprint(content: Column) -> Column:
     return F.coalesce(F.xxhash64(F.substring(content, 1, CONTENT_BYTES)), F.lit(0))
 
 
-def plain_name(uri: Column) -> Column:
-    """The path of a local file without its scheme; other URIs as they are."""
-    return F.regexp_replace(uri, "^file:/*", "/")
+SCAN_SCHEMA = "path string, is_dir boolean, size long, mtime_ns long, uri string"
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a path or URI, the path on it, and what to put before a path on it to name it: nothing for local ones."""
+    if "://" in uri and not uri.startswith("file:"):
+        system, path = fs.FileSystem.from_uri(uri)
+        return system, path, uri[: len(uri) - len(path)] if uri.endswith(path) else uri.partition("://")[0] + "://"
+    return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri), ""
+
+
+def _entries(system: fs.FileSystem, folder: str, scope: Scope) -> list[fs.FileInfo]:
+    """What a folder has in it, without links and excluded names; nothing if it cannot be listed."""
+    try:
+        found = system.get_file_info(fs.FileSelector(folder))
+    except OSError:
+        return []
+    local = isinstance(system, fs.LocalFileSystem)
+    return [i for i in found if not shut_name(i.base_name, scope) and not (local and os.path.islink(i.path))]
+
+
+def shut_name(name: str, scope: Scope) -> bool:
+    """``excluded_name`` for one name."""
+    return name.startswith("~$") or name == ".DS_Store" or name.lower() in scope.excludes or (not scope.index_hidden and name.startswith("."))
+
+
+def _row(info: fs.FileInfo, before: str) -> tuple:
+    is_dir = info.type == fs.FileType.Directory
+    return before + info.path, is_dir, None if is_dir else info.size, info.mtime_ns if not is_dir else None, (before or "file://") + info.path
+
+
+def _open_folder(info: fs.FileInfo) -> bool:
+    return info.type == fs.FileType.Directory and not info.base_name.lower().endswith(tuple(PACKAGES))
+
+
+def _below(spark: SparkSession, folders: list[str], scope: Scope) -> DataFrame:
+    """Everything below some folders. Their upper levels are listed here until there is a folder for every core, the rest by the executors.
+
+    Excluded names, packages and links are not gone into, so their trees cost nothing.
+    """
+    enough, rows, waiting = 4 * spark.sparkContext.defaultParallelism, [], list(folders)
+    while waiting and len(waiting) < enough and len(rows) < 10_000:
+        nxt = []
+        for folder in waiting:
+            system, path, before = _opened(folder)
+            for info in _entries(system, path, scope):
+                rows.append(_row(info, before))
+                if _open_folder(info):
+                    nxt.append(before + info.path)
+        waiting = nxt
+    done = spark.createDataFrame(rows, SCAN_SCHEMA)
+    if not waiting:
+        return done
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
+        for pdf in batches:
+            found = []
+            for folder in pdf["folder"]:
+                system, path, before = _opened(folder)
+                stack = [path]
+                while stack:
+                    for info in _entries(system, stack.pop(), scope):
+                        found.append(_row(info, before))
+                        if _open_folder(info):
+                            stack.append(info.path)
+                    if len(found) >= 10_000:
+                        yield _frame(found, columns)
+                        found = []
+            yield _frame(found, columns)
+
+    seeds = spark.createDataFrame([(f,) for f in waiting], "folder string").repartition(min(len(waiting), enough))
+    return done.unionByName(seeds.mapInPandas(walk, SCAN_SCHEMA))
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    for c in ("size", "mtime_ns"):
+        out[c] = out[c].astype("Int64")
+    return out
 
 
 def readable_roots(spark: SparkSession, scope: Scope) -> list[str]:
     """The roots that can be listed now; a root that cannot be is no empty one."""
-    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for root in scope.normalised().roots:
+        system, path, _ = _opened(root)
         try:
-            path = path_of(root)
-            path.getFileSystem(conf).listStatus(path)
+            system.get_file_info(fs.FileSelector(path))
             out.append(root)
-        except Exception:
+        except OSError:
             continue
     return out
 
 
+def _in_scope(rows: DataFrame, scope: Scope) -> DataFrame:
+    placed = rows.withColumn("root", root_of(F.col("path"), scope)).where("root is not null")
+    return placed.select("path", "root", "is_dir", "size", "mtime_ns", "uri")
+
+
 def scan(spark: SparkSession, scope: Scope) -> DataFrame:
     """``(path, root, is_dir, size, mtime_ns, uri)`` of all entries in scope below the roots that can be read; folders are entries too.
 
-    Metadata only: no content is read. Folders are those that have something in them.
+    Metadata only: no content is read. Links are not followed.
     """
     scope = scope.normalised()
-    roots = readable_roots(spark, scope)
-    if not roots:
-        return spark.createDataFrame([], "path string, root string, is_dir boolean, size long, mtime_ns long, uri string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(roots)
-    path = plain_name(F.col("path"))
-    rows = files.select(path.alias("path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("path").alias("uri"))
-    above = files.select(paths.directory(path).alias("folder")).distinct().select(F.explode(paths.ancestors(F.col("folder"))).alias("path")).distinct()
-    none = lambda kind: F.lit(None).cast(kind)
-    folders = above.select("path", F.lit(True).alias("is_dir"), none("long").alias("size"), none("long").alias("mtime_ns"), none("string").alias("uri"))
-    both = rows.unionByName(folders).withColumn("root", root_of(F.col("path"), scope))
-    return both.where("root is not null").select("path", "root", "is_dir", "size", "mtime_ns", "uri")
+    return _in_scope(_below(spark, readable_roots(spark, scope), scope), scope)
 
 
 def stat(spark: SparkSession, names: list[str], scope: Scope) -> DataFrame:
     """As ``scan``, of a few changed paths as they are now: files by themselves, folders with all that is in them. Paths that are gone have no rows."""
-    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    there, folders = [], []
+    scope, rows, folders = scope.normalised(), [], []
     for name in names:
-        path = path_of(name)
-        system = path.getFileSystem(conf)
-        if system.exists(path):
-            there.append(name)
-            if system.getFileStatus(path).isDirectory():
-                folders.append(name.rstrip("/"))
-    if not there:
-        return spark.createDataFrame([], "path string, root string, is_dir boolean, size long, mtime_ns long, uri string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(there)
-    own = files.select(plain_name(F.col("path")).alias("path"), F.lit(False).alias("is_dir"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("path").alias("uri"))
-    # folders named, and those below them that have something in them
-    above = own.select(F.explode(paths.ancestors(paths.directory(F.col("path")))).alias("path")).distinct()
-    below = F.lit(False)
-    for folder in folders:
-        below = below | paths.under(F.col("path"), folder)
-    named = spark.createDataFrame([(f,) for f in folders], "path string").unionByName(above.where(below)).distinct()
-    none = lambda kind: F.lit(None).cast(kind)
-    dirs = named.select("path", F.lit(True).alias("is_dir"), none("long").alias("size"), none("long").alias("mtime_ns"), none("string").alias("uri"))
-    rows = own.dropDuplicates(["path"]).unionByName(dirs)
-    return rows.withColumn("root", root_of(F.col("path"), scope.normalised())).where("root is not null").select("path", "root", "is_dir", "size", "mtime_ns", "uri")
+        system, path, before = _opened(name)
+        info = system.get_file_info(path.rstrip("/") or "/")
+        if info.type == fs.FileType.NotFound:
+            continue
+        rows.append(_row(info, before))
+        if _open_folder(info):
+            folders.append(before + info.path)
+    own = spark.createDataFrame(rows, SCAN_SCHEMA)
+    return _in_scope(own.unionByName(_below(spark, folders, scope)).dropDuplicates(["path"]), scope)
