@@ -218,6 +218,9 @@ class Document:
 
     def uses_plain(self, word: str) -> bool:
         """Whether this document uses the word without a point, and nowhere with one inside a clause."""
+        if self.plain is None and len(self.text) <= 20_000 and self.text.count(word) == self.text.count(word + "."):
+            # never without a point
+            return False
         if self.plain is None:
             self.plain = set(PLAIN_WORD.findall(self.text))
         return word in self.plain and word not in self._inner()
@@ -299,10 +302,18 @@ def _point_ends(s: str, a: int, b: int, pos: int, j: int, kind: str, lex: Lexico
 def prose(s: str, a: int, b: int, lex: Lexicon, doc: Document) -> Iterator[tuple[int, int]]:
     """Sentences of one paragraph."""
     start = _skip(s, a, b)
+    candidates = CANDIDATE_THAI if HAS_THAI.search(s, a, b) else CANDIDATE
+    first = candidates.search(s, start, b)
+    if first is None or first.end() >= b:
+        # nothing but its end could end a sentence
+        while b > start and s[b - 1].isspace():
+            b -= 1
+        if b > start:
+            yield start, b
+        return
     guillemets = s.find("»", a, b) >= 0
     quotes = Quotes(s, a, b) if QUOTE_MARK.search(s, a, b) else None
-    candidates = CANDIDATE_THAI if HAS_THAI.search(s, a, b) else CANDIDATE
-    for m in candidates.finditer(s, a, b):
+    for m in candidates.finditer(s, first.start(), b):
         pos = m.start()
         if pos < start:
             continue
