@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -12,26 +14,39 @@ from findgrain.functions.scoring import FIELD_CONTENT, FIELD_NAME, FIELD_PATH
 from findgrain.session import spread, through_table
 
 
-@dataclass
 class Lookups:
-    """Tables by which searches find names without looking at all of them, each sorted by its first column.
+    """Tables by which searches find names without looking at all of them.
 
     ``forms`` (form, name): every name term, and it with one or two letters left out. ``sounds`` (code, name): its phonetic code.
     ``triples`` (t, segment) and ``triple_counts`` (t, n): letter triples of distinct lower-case path components, ``placed``
     (segment, doc_id, is_name) the files that have them. ``stem_triples`` (t, stem, size) and ``stems`` (stem, doc_id): the
-    same for file names without extension.
+    same for file names without extension. With ``keep`` each is written as a table when it is first asked for.
     """
 
-    forms: DataFrame
-    sounds: DataFrame
-    triples: DataFrame
-    triple_counts: DataFrame
-    placed: DataFrame
-    stem_triples: DataFrame
-    stems: DataFrame
+    NAMES = ("forms", "sounds", "triples", "triple_counts", "placed", "stem_triples", "stems")
+
+    def __init__(self, made: dict[str, DataFrame], keep: bool = False):
+        self._made, self._lock = dict(made), {name: threading.Lock() for name in self.NAMES}
+        self._open = set(self.NAMES) if keep else set()
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in Lookups.NAMES:
+            raise AttributeError(name)
+        with self._lock[name]:
+            if name in self._open:
+                made = triple_counts(self.triples) if name == "triple_counts" else self._made[name]
+                self._made[name] = through_table(made, name.replace("_", "-"), keep=True)
+                self._open.discard(name)
+            return self._made[name]
 
     def named(self) -> dict[str, DataFrame]:
-        return {f: getattr(self, f) for f in self.__dataclass_fields__}
+        return {name: getattr(self, name) for name in self.NAMES}
+
+    def ready(self) -> Lookups:
+        """Writes all that are open, side by side."""
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda name: getattr(self, name), self.NAMES))
+        return self
 
 
 @dataclass
@@ -52,15 +67,13 @@ class Index:
     def vocabulary(self) -> DataFrame:
         """``(term, is_name, df)``; df counts postings, so a file with a term in both name and content counts twice."""
         if self.terms is None:
-            self.terms = through_table(vocabulary(self.postings), "vocabulary")
+            self.terms = through_table(vocabulary(self.postings), "vocabulary", keep=True)
         return self.terms
 
     @property
     def lookups(self) -> Lookups:
         if self.found_by is None:
-            made = lookups(self.files, self.vocabulary)
-            self.found_by = Lookups(**{name: through_table(table, name) for name, table in made.named().items() if name != "triple_counts"}, triple_counts=None)
-            self.found_by.triple_counts = through_table(triple_counts(self.found_by.triples), "triple-counts")
+            self.found_by = Lookups(lookups(self.files, self.vocabulary).named(), keep=True)
         return self.found_by
 
     @property
@@ -90,7 +103,7 @@ def lookups(files: DataFrame, vocabulary: DataFrame) -> Lookups:
     stem = F.lower(F.regexp_replace(paths.file_name(F.col("path")), r"\.[^.]*$", ""))
     stems = files.where("path is not null").select(stem.alias("stem"), "doc_id")
     stem_triples = stems.select("stem").distinct().select(F.explode(scoring.trigrams(F.col("stem"))).alias("t"), "stem", (F.length("stem") - 2).alias("size"))
-    return Lookups(forms, sounds, triples, triple_counts(triples), placed, stem_triples, stems)
+    return Lookups(dict(forms=forms, sounds=sounds, triples=triples, triple_counts=triple_counts(triples), placed=placed, stem_triples=stem_triples, stems=stems))
 
 
 def relative_dir(path: Column, root: Column) -> Column:

@@ -159,7 +159,7 @@ class Generations:
             if not sound:
                 return None
         table = lambda name: self.spark.read.parquet(f"{at}/{name}")
-        found_by = Lookups(**{name: table(name) for name in Lookups.__dataclass_fields__})
+        found_by = Lookups({name: table(name) for name in Lookups.NAMES})
         return Index(files, table("postings"), m["stems"], table("vocabulary"), found_by)
 
     def remove_old(self) -> list[str]:

@@ -190,8 +190,7 @@ def search(index: Index, queries: DataFrame, **options) -> DataFrame:
     at most ``limit`` a query, are complete when this returns, and no table is left behind; larger batches leave one table of rows.
     """
     spark = queries.sparkSession
-    # what the index keeps is made outside the scratch of a call
-    _ = index.lookups, index.totals
+    _ = index.totals
     parsed = requests.prepared(requests.parse_requests(queries), index.stems)
     schema = parsed.schema
     block = parsed.limit(QUERY_BLOCK + 1).collect()

@@ -48,9 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
 _made: dict[str, list[str]] = {}
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
+_kept: dict[str, list[str]] = {}
+
+
+def fresh_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder for a table; one to ``keep`` outlives the scratch of the call that makes it."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(at)
+    (_kept if keep else _made).setdefault(spark.sparkContext.applicationId, []).append(at)
     return at
 
 
@@ -63,7 +67,7 @@ def _delete(spark: SparkSession, made: list[str]) -> None:
 
 def drop_tables(spark: SparkSession) -> int:
     """Deletes the tables this application wrote to the shared folder on its way. DataFrames that still read them are lost."""
-    made = _made.pop(spark.sparkContext.applicationId, [])
+    made = _made.pop(spark.sparkContext.applicationId, []) + _kept.pop(spark.sparkContext.applicationId, [])
     _delete(spark, made)
     return len(made)
 
@@ -81,10 +85,10 @@ def scratch(spark: SparkSession):
         _delete(spark, made)
 
 
-def through_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def through_table(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    at = fresh_dir(spark, name)
+    at = fresh_dir(spark, name, keep)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
