@@ -46,6 +46,30 @@ def test_batch_equals_single_searches(spark, built):
     assert together[7][0] == "MeetingNotes.txt"
 
 
+def test_blocks_and_tables_change_nothing(spark, built, monkeypatch):
+    texts = ["report", "zebrafish", "reprot", "meeting notes", "budget", "", "summary kind:doc", "main.py", "me"]
+    together = ask(spark, built, *texts)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    kept = search.few_or_table
+    monkeypatch.setattr(search, "few_or_table", lambda rows, name: kept(rows, name, 0))
+    assert ask(spark, built, *texts) == together
+
+
+def test_a_search_leaves_no_tables(spark, built):
+    from findgrain import session
+
+    built.lookups.ready()
+    before = list(session._made.get(spark.sparkContext.applicationId, []))
+    rows = search.search(built, spark.createDataFrame([(1, "report")], "query_id int, query string"), now_ns=NOW)
+    assert session._made.get(spark.sparkContext.applicationId, []) == before and rows.count() > 0
+
+
+def test_short_words_and_queries_without_words(spark, built):
+    # words of one or two letters are compared with all names, a query of marks alone with whole names
+    assert ask(spark, built, "py")[0] == "main.py" and ask(spark, built, "._") == []
+    assert sorted(ask(spark, built, "_")) == ["meyer_report.pdf", "quarterly_report.pdf"]
+
+
 def test_filters(spark, built):
     assert ask(spark, built, "report kind:code") == ["main.py"]
     assert ask(spark, built, "report in:docs") == ["quarterly_report.pdf"]
