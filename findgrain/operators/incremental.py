@@ -5,18 +5,30 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from findgrain.session import local_rows
+from findgrain.sources.files import arrow_reads, hash_bytes
 from findgrain.sources.store import Folder
 
 LISTING = ["file", "size", "checksum"]
-#: Files longer than this are told apart by length and time of change: a task holds a file whole to hash it.
-LARGEST_HASHED = 256 << 20
+#: Where Spark has to read files whole to hash them, a task holds no longer one. Their hash does not depend on it.
+HELD_WHOLE = 256 << 20
+
+
+@F.pandas_udf(StringType())
+def _hash_of(file: pd.Series) -> pd.Series:
+    return file.map(hash_bytes)
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*.parquet", known: DataFrame | None = None) -> DataFrame:
-    """The listing ``(file, size, modified, checksum)`` of real files below a folder: path, length in bytes, time of change, a hash of all bytes (of files over ``LARGEST_HASHED`` their time of change).
+    """The listing ``(file, size, modified, checksum)`` of real files below a folder: path, length in bytes, time of change, a hash of all bytes.
+
+    The hash is the same function of the bytes for files of any length. Executors read them piece by piece through Arrow. Where
+    Arrow cannot read the file system, Spark reads them whole, and those over ``HELD_WHOLE`` piece by piece through the driver.
 
     ``known`` may hold a manifest: files whose path, length and time it has keep the checksum noted there, so only others are
     read, and none where all are known. Names of unknown files pass through the driver, as all names do when Spark lists a folder.
@@ -27,15 +39,21 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*.parquet",
     if known is None:
         kept, unseen = None, load(directory)
     else:
-        noted = known.select("file", "size", "modified", "checksum").dropDuplicates(["file", "size", "modified"])
+        # earlier manifests note the time of long files, which tells nothing of their bytes
+        hashed_then = known.where(~F.startswith("checksum", F.lit("at ")))
+        noted = hashed_then.select("file", "size", "modified", "checksum").dropDuplicates(["file", "size", "modified"])
         kept = names.join(noted, ["file", "size", "modified"])
         fresh = [r["file"] for r in names.join(noted, ["file", "size", "modified"], "left_anti").select("file").collect()]
         if not fresh:
             return kept.select("file", "size", "modified", "checksum")
         unseen = load(*fresh)
-    small = unseen.where(F.col("length") <= LARGEST_HASHED).select(*named, F.hex(F.xxhash64("content")).alias("checksum"))
-    large = unseen.where(F.col("length") > LARGEST_HASHED).select(*named, F.concat(F.lit("at "), F.col("modificationTime").cast("string")).alias("checksum"))
-    hashed = small.unionByName(large)
+    if arrow_reads(Folder(spark, directory).uri):
+        hashed = unseen.select(*named, _hash_of("path").alias("checksum"))
+    else:
+        whole = unseen.where(F.col("length") <= HELD_WHOLE).select(*named, F.hex(F.xxhash64("content")).alias("checksum"))
+        longer = unseen.where(F.col("length") > HELD_WHOLE).select(*named)
+        sums = [(r["file"], Folder(spark, r["file"]).hash_bytes()) for r in longer.select("file").collect()]
+        hashed = whole.unionByName(longer.join(local_rows(spark, sums, "file string, checksum string"), "file"))
     return hashed if kept is None else kept.select(hashed.columns).unionByName(hashed)
 
 

@@ -9,6 +9,7 @@ import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -19,6 +20,7 @@ from findgrain.functions import paths
 from findgrain.sources.documents import EXTRACTORS
 
 CONTENT_BYTES = 64 * 1024
+HASHED_AT_ONCE = 1 << 20
 # What is left out, what is read, what is never indexed.
 EXCLUDED_NAMES = [
     "node_modules", "target", "dist", "build", "tmp", "temp", "cache", "caches",
@@ -236,6 +238,32 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str, str]:
     return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri), ""
 
 
+def _opened_name(name: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path of a name as Spark gives it, where nothing is escaped."""
+    return _opened(name if name.startswith(("file:", "/")) else quote(name, safe=":/@"))[:2]
+
+
+def arrow_reads(name: str) -> bool:
+    """Whether Arrow knows the file system of a name; other than local ones it must also see what is named there."""
+    try:
+        system, path = _opened_name(name)
+        return isinstance(system, fs.LocalFileSystem) or system.get_file_info(path).type != fs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def hash_bytes(name: str) -> str:
+    """What Spark's ``hex(xxhash64(content))`` gives for all bytes of a file, on the executor; read in pieces, so a file of any length fits."""
+    import xxhash
+
+    system, path = _opened_name(name)
+    made = xxhash.xxh64(seed=42)
+    with system.open_input_stream(path, compression=None) as stream:
+        while piece := stream.read(HASHED_AT_ONCE):
+            made.update(piece)
+    return format(made.intdigest(), "X")
+
+
 def _entries(system: fs.FileSystem, folder: str, scope: Scope) -> list[fs.FileInfo]:
     """What a folder has in it, without links and excluded names; nothing if it cannot be listed."""
     try:

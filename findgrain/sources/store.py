@@ -62,6 +62,17 @@ class Folder:
         finally:
             stream.close()
 
+    def hash_bytes(self) -> str:
+        """``hex(xxhash64(content))`` of the file that the URI names, read in pieces by the driver's JVM."""
+        jvm = self.spark.sparkContext._jvm
+        made = jvm.net.jpountz.xxhash.XXHashFactory.fastestInstance().newStreamingHash64(42)
+        stream = jvm.java.util.zip.CheckedInputStream(self._fs.open(self.path()), made.asChecksum())
+        try:
+            self._io.consume(stream)
+        finally:
+            stream.close()
+        return format(made.getValue() & (1 << 64) - 1, "X")
+
     def _put(self, name: str, value: dict, rename) -> None:
         new = f"{name}.{uuid.uuid4().hex}"
         stream = self._fs.create(self.path(new), True)

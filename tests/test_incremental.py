@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from findgrain.operators import incremental
+from pyspark.sql import functions as F
 
 START = datetime(2025, 1, 1)
 SCHEMA = "seq long, mtime_ns long, received_at timestamp, path string, file string"
@@ -193,3 +194,53 @@ def test_known_files_keep_their_checksum(spark, tmp_path):
     first = incremental.list_files(spark, data).persist()
     again = incremental.list_files(spark, data, known=first)
     assert sorted(map(tuple, again.select("file", "size", "checksum").collect())) == sorted(map(tuple, first.select("file", "size", "checksum").collect()))
+
+
+LONG = (256 << 20) + 1
+
+
+def _long_file(at, last):
+    """A sparse file of ``LONG`` bytes that ends in ``last``, always with the same time."""
+    with open(at, "wb") as f:
+        f.seek(LONG - 1)
+        f.write(last)
+    os.utime(at, (1_700_000_000, 1_700_000_000))
+
+
+def test_long_files_are_told_apart_by_their_bytes(spark, tmp_path):
+    at = tmp_path / "in" / "long.bin"
+    at.parent.mkdir()
+    listed = lambda known=None: incremental.list_files(spark, str(at.parent), "*.bin", known)
+    noted = lambda listing: spark.createDataFrame(listing.collect(), listing.schema)
+    _long_file(at, b"a")
+    first = noted(listed())
+    # other bytes, same length and time
+    _long_file(at, b"b")
+    assert incremental.changed_files(listed(), first).count() == 1
+    # same bytes, another time
+    _long_file(at, b"a")
+    os.utime(at, (1_800_000_000, 1_800_000_000))
+    assert incremental.changed_files(listed(), first).count() == 0
+    assert incremental.changed_files(listed(first), first).count() == 0
+    # a manifest from when only the time of long files was noted says nothing of their bytes
+    hashed = listed().first()
+    earlier = noted(listed().withColumn("checksum", F.concat(F.lit("at "), F.col("modified").cast("string"))))
+    assert listed(earlier).first()["checksum"] == hashed["checksum"]
+
+
+def test_checksum_is_that_of_the_whole_content(spark, tmp_path, monkeypatch):
+    r = random.Random(7)
+    data = tmp_path / "in"
+    data.mkdir()
+    lengths = [1, 3, 4, 7, 8, 31, 32, 33, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, (3 << 20) + 5]
+    for i, n in enumerate(lengths):
+        (data / f"{i} é%20#.gz").write_bytes(r.randbytes(n))
+    listed = lambda: sorted(map(tuple, incremental.list_files(spark, str(data), "*.gz").select("size", "checksum").collect()))
+    whole = spark.read.format("binaryFile").load(str(data)).select("length", F.hex(F.xxhash64("content")))
+    expected = sorted(map(tuple, whole.collect()))
+    assert len(expected) == len(lengths) and listed() == expected
+    # the same where Arrow cannot read the files, and wherever the longer ones begin
+    monkeypatch.setattr(incremental, "arrow_reads", lambda name: False)
+    for longest in (incremental.HELD_WHOLE, 1 << 20, 0):
+        monkeypatch.setattr(incremental, "HELD_WHOLE", longest)
+        assert listed() == expected
